@@ -1,13 +1,19 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from . import line_dedup, packing, quality
+from . import chat, decontaminate, line_dedup, packing, quality, secrets
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_secret_scans": secrets.op6_secret_scans,
     "op9_packing": packing.op9_packing,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op3_chat_formatting": chat.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op6_secret_scans": secrets.OP6_SQL,
 }
