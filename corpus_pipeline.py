@@ -1,2 +1,62 @@
-STAGES = []
-def run(spark, sf_dir): ...
+"""A corpus pipeline of five stages. Each takes (spark, docs, sf_dir), works on all rows that its predecessor kept,
+and returns the columns of documents; the last returns packed pieces. run() writes and rereads between stages.
+
+n_chars follows the text where a stage rewrites it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from permulocus.llm import decontaminate, line_dedup, packing, quality, simhash
+from permulocus.llm.common import stage, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that the base rules or the calibrated cutoffs reject go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: lines that an earlier document holds go; the document stays, with what is left of it."""
+    out = line_dedup.dedup_lines(docs)
+    changed = F.col("__ld_n_dropped") > 0
+    put = {"text": F.when(changed, F.col("__ld_kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("__ld_kept").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*(put[c].alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: of each group the document with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that contain a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: sequences of token ids, one row a piece."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER), with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packing_stage),
+]
+
+#: Tokenization is not SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, f in STAGES:
+        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -77,7 +77,8 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "__q_
     # Whole numbers from 0 to BINS: a cutoff of k rejects statistics of at least k / BINS.
     bins = lambda a, b: F.coalesce(F.least(F.lit(BINS), F.floor(BINS * col(a) / col(b))), F.lit(0)).cast("int")
     stat = {"symbols": bins("n_symbols", "word_chars"), "dup_lines": bins("n_dup_lines", "n_lines"), "repeats": bins("n_repeat_words", "n_words"), "capitals": bins("n_capitals", "word_chars"), "marks": bins("n_marks", "word_chars")}
-    return out.withColumn(f"{p}bins", F.array(*(F.when(col("n_words") > 0, stat[r]).otherwise(0) for r in RULES)))
+    # A row number beside the bins keeps filters above them: pushed below, they would compute words anew for each use.
+    return out.withColumns({f"{p}bins": F.array(*(F.when(col("n_words") > 0, stat[r]).otherwise(0) for r in RULES)), f"{p}row": F.monotonically_increasing_id()})
 
 
 def _binomial_tail(n: Column, k: Column, p: float) -> Column:
@@ -118,10 +119,14 @@ def _holdout(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.where(~F.col("__q_base_failed")).select("doc_id", "stratum", "__q_bins").join(best, "doc_id").select("stratum", "quality", F.col("__q_bins").alias("bins"))
 
 
+def _staged_statistics(docs: DataFrame, text_col: str, stratum: Column) -> DataFrame:
+    """A few numbers a document, computed once; what follows reads them, not texts."""
+    return stage(with_statistics(docs.select("doc_id", stratum.alias("stratum"), F.col(text_col).alias("text"))).drop("text"), "quality-statistics")
+
+
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One small row a document, without text: doc_id, the statistics, base_failed and kept."""
-    stats = with_statistics(docs.select(F.col("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("und")).alias("stratum"), F.col(text_col).alias("text"))).drop("text")
-    stats = stage(stats, "quality-statistics")
+    stats = _staged_statistics(docs, text_col, F.coalesce(F.col(stratum_col).cast("string"), F.lit("und")))
     cutoffs = choose_cutoffs(_holdout(stats, labels))
     out = stats.join(cutoffs, "stratum", "left")
     kept = ~F.col("__q_base_failed") & ~_rejected(F.col("__q_bins"), F.col("cutoffs"))
@@ -132,10 +137,9 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum_co
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that pass, with all their columns. Texts are read twice rather than shuffled."""
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("und"))
-    stats = with_statistics(docs.select("doc_id", stratum.alias("stratum"), F.col(text_col).alias("text"))).drop("text")
-    cutoffs = choose_cutoffs(_holdout(stats, labels)).withColumnsRenamed({"stratum": "__q_stratum", "cutoffs": "__q_cutoffs"})
+    cutoffs = choose_cutoffs(_holdout(_staged_statistics(docs, text_col, stratum), labels)).withColumnsRenamed({"stratum": "__q_stratum", "cutoffs": "__q_cutoffs"})
     out = with_statistics(docs, text_col).join(cutoffs, stratum == F.col("__q_stratum"), "left")
-    return out.where(~F.col("__q_base_failed") & ~_rejected(F.col("__q_bins"), F.col("__q_cutoffs"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.where((F.col("__q_row") >= 0) & ~F.col("__q_base_failed") & ~_rejected(F.col("__q_bins"), F.col("__q_cutoffs"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import ascii_lower, shingle_hashes, stage, table, words_of
 from .components import components
 
 SHINGLE = 3
@@ -91,28 +91,30 @@ def group_tree(fps: np.ndarray, ids: np.ndarray, threshold: int) -> list[tuple[i
     return out
 
 
-def _links(threshold: int):
-    """For rows (anchor, fp, rep) sorted by anchor: each anchor's tree."""
+def _per_anchor(edges_of):
+    """For rows (anchor, ...) sorted by anchor: the edges that edges_of(other columns of one anchor) gives."""
 
-    def of(a: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    def of(cols: list[np.ndarray]) -> pa.RecordBatch:
         edges: list[tuple[int, int]] = []
-        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.array([], int)
-        ends = np.r_[starts[1:], len(a)]
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            edges += group_tree(fp[s:e], rep[s:e], threshold)
+        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if len(cols[0]) else np.array([], int)
+        ends = np.r_[starts[1:], len(cols[0])]
+        many = ends - starts > 1
+        for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            edges += edges_of(*(c[s:e] for c in cols[1:]))
         x = np.array(edges, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.array([], np.int64)] * 3
+        held: list[np.ndarray] = []
         for b in batches:
-            now = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last anchor may go on in the next batch
-            yield of(*(c[:cut] for c in now))
-            held = [c[cut:] for c in now]
-        yield of(*held)
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            if len(now[0]):
+                cut = int(np.searchsorted(now[0], now[0][-1]))  # the last anchor may go on in the next batch
+                yield of([c[:cut] for c in now])
+                held = [c[cut:] for c in now]
+        if held:
+            yield of(held)
 
     return run
 
@@ -121,7 +123,7 @@ def link_components(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """fps: staged rows (doc_id, fp). Gives (fp, component_id)."""
     reps = stage(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     at = reps.select(F.explode(anchors(F.col("fp"))).alias("anchor"), "fp", "rep")
-    edges = at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_links(threshold), "a long, b long")
+    edges = at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(lambda fp, rep: group_tree(fp, rep, threshold)), "a long, b long")
     labels = components(edges)
     return reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
@@ -133,6 +135,106 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+# --- near copies by similarity ---
+#
+# Two linked bits say little about a similarity of 0.8: such texts differ in about a tenth of the bits. So for a decision by similarity,
+# SimHash at anchors only finds candidates, which are then compared in full:
+# * fingerprints of 128 bits are taken over a text's distinct words, of which copies with single words changed share most;
+# * they are cut into four bands of 31 bits, each with the perfect Hamming code [31, 26] as anchors; texts that differ in at most two
+#   bits of some band meet at an anchor (16 anchors a band);
+# * at an anchor each text is paired with its NEAREST closest ones of smaller id within BITS bits, not with all;
+# * pairs stand if their five-word shingles have a Jaccard similarity of at least SIMILAR.
+
+BANDS = 4
+BITS = 26
+NEAREST = 2
+SIMILAR = 0.8
+WORDS = 5
+
+
+def word_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, k1, k2, fa, fb, n): a 128-bit key of the text's words in order, the fingerprint's halves, number of words."""
+
+    def one(text: bytes) -> tuple:
+        from xxhash import xxh64_intdigest
+
+        words = text.lower().split()
+        whole = b" ".join(words)
+        halves = [0, 0]
+        for i in range(2):
+            h = np.array([xxh64_intdigest(w, SEED + i) for w in set(words)], dtype="<u8")
+            if len(h):
+                counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+                halves[i] = np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view("<u8")[0]
+        return xxh64_intdigest(whole, 1), xxh64_intdigest(whole, 2), *halves, len(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = np.array([one(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64).reshape(-1, 5).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[:, i]) for i in range(5))], ["doc_id", "k1", "k2", "fa", "fb", "n"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, k1 long, k2 long, fa long, fb long, n long")
+
+
+def band_anchors(fa: Column, fb: Column) -> Column:
+    """All anchors of the four bands: the code word, with the band's number above it. See anchors()."""
+    flip = F.array(F.lit(0), *(F.lit(1 << (p - 1)) for p in range(1, 32)))
+    mask = lambda k: sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1)
+
+    def of(band: int) -> Column:
+        half = fa if band < 2 else fb
+        low = F.shiftrightunsigned(half, 32 * (band % 2)).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+        syndrome = sum(((F.bit_count(low.bitwiseAND(F.lit(mask(k)))) % 2) * (1 << k) for k in range(5)), F.lit(0)).cast("int")
+        pair = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: i < i.bitwiseXOR(syndrome))
+        words = F.when(syndrome == 0, F.array(low)).otherwise(F.transform(pair, lambda i: low.bitwiseXOR(F.get(flip, i)).bitwiseXOR(F.get(flip, i.bitwiseXOR(syndrome)))))
+        return F.transform(words, lambda w: w.cast("long") + F.lit(band << 31))
+
+    return F.concat(*(of(b) for b in range(BANDS)))
+
+
+def nearest_smaller(fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
+    """For each id its NEAREST closest ones of smaller id within BITS bits; memory is bounded by block rows."""
+    order = np.argsort(ids, kind="stable")
+    fa, fb, ids, out = fa[order], fb[order], ids[order], []
+    for s in range(0, len(ids), block):
+        e = min(len(ids), s + block)
+        d = np.bitwise_count(fa[s:e, None] ^ fa[None, :e]).astype(np.int16) + np.bitwise_count(fb[s:e, None] ^ fb[None, :e])
+        d[np.arange(e)[None, :] >= np.arange(s, e)[:, None]] = 999
+        for _ in range(NEAREST):
+            j = d.argmin(1)
+            i = np.flatnonzero(d[np.arange(e - s), j] <= BITS)
+            out += zip(ids[s + i].tolist(), ids[j[i]].tolist(), strict=True)
+            d[np.arange(e - s), j] = 999
+    return out
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs (a, b) whose texts' five-word shingles have a Jaccard similarity of at least SIMILAR."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    words = words_of(ascii_lower(F.col(text_col)))
+    sets = stage(docs.withColumn("__id", F.col(id_col).cast("long")).join(ids.withColumnRenamed("id", "__id"), "__id", "left_semi").select(F.col("__id").alias("id"), F.array_distinct(shingle_hashes(words, WORDS)).alias("s")).dropDuplicates(["id"]), "near-sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
+    return shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n")) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, component_id) of documents that are not the smallest of their group. Texts of equal words are copies; so are all without words."""
+    prints = stage(word_fingerprints(docs, id_col, text_col).where("doc_id IS NOT NULL"), "near-prints")
+    reps = stage(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("fa").alias("fa"), F.max("fb").alias("fb"), F.max("n").alias("n")), "near-reps")
+    at = reps.where("n > 0").select(F.explode(band_anchors(F.col("fa"), F.col("fb"))).alias("anchor"), "fa", "fb", "rep")
+    pairs = stage(at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(nearest_smaller), "a long, b long").distinct(), "near-pairs")
+    labels = components(similar_pairs(docs, pairs, id_col, text_col))
+    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, ["k1", "k2"]).where("doc_id <> component_id").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies of a document that has a smaller id."""
+    gone = stage(near_copies(docs, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
