@@ -211,8 +211,9 @@ def nearest_smaller(fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, block: int
 def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those pairs (a, b) whose texts' five-word shingles have a Jaccard similarity of at least SIMILAR."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = words_of(ascii_lower(F.col(text_col)))
-    sets = stage(docs.withColumn("__id", F.col(id_col).cast("long")).join(ids.withColumnRenamed("id", "__id"), "__id", "left_semi").select(F.col("__id").alias("id"), F.array_distinct(shingle_hashes(words, WORDS)).alias("s")).dropDuplicates(["id"]), "near-sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    words = texts.select("id", words_of(ascii_lower(F.col("text"))).alias("w"))  # a column of its own: a lambda would split the text for every shingle
+    sets = stage(words.select("id", F.array_distinct(shingle_hashes(F.col("w"), WORDS)).alias("s")).dropDuplicates(["id"]), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
     return shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n")) - 1e-9).select("a", "b")
