@@ -76,7 +76,7 @@ def anchors(fp: Column) -> Column:
 def group_tree(fps: np.ndarray, ids: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Edges (id, root) that connect exactly what links within threshold bits connect; root is a component's smallest id."""
     order = np.argsort(ids, kind="stable")
-    fps, ids = fps[order], ids[order]
+    fps, ids = fps[order].view(np.uint64), ids[order]  # unsigned: bits of a negative number count as its absolute value's
     rest, out = np.ones(len(ids), bool), []
     for i in range(len(ids)):
         if not rest[i]:
@@ -195,7 +195,7 @@ def band_anchors(fa: Column, fb: Column) -> Column:
 def nearest_smaller(fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
     """For each id its NEAREST closest ones of smaller id within BITS bits; memory is bounded by block rows."""
     order = np.argsort(ids, kind="stable")
-    fa, fb, ids, out = fa[order], fb[order], ids[order], []
+    fa, fb, ids, out = fa[order].view(np.uint64), fb[order].view(np.uint64), ids[order], []
     for s in range(0, len(ids), block):
         e = min(len(ids), s + block)
         d = np.bitwise_count(fa[s:e, None] ^ fa[None, :e]).astype(np.int16) + np.bitwise_count(fb[s:e, None] ^ fb[None, :e])
