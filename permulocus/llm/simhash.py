@@ -92,7 +92,7 @@ def group_tree(fps: np.ndarray, ids: np.ndarray, threshold: int) -> list[tuple[i
 
 
 def _per_anchor(edges_of):
-    """For rows (anchor, ...) sorted by anchor: the edges that edges_of(other columns of one anchor) gives."""
+    """For rows (anchor, ...) sorted by anchor: the edges that edges_of(anchor, other columns of its rows) gives."""
 
     def of(cols: list[np.ndarray]) -> pa.RecordBatch:
         edges: list[tuple[int, int]] = []
@@ -100,7 +100,7 @@ def _per_anchor(edges_of):
         ends = np.r_[starts[1:], len(cols[0])]
         many = ends - starts > 1
         for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            edges += edges_of(*(c[s:e] for c in cols[1:]))
+            edges += edges_of(int(cols[0][s]), *(c[s:e] for c in cols[1:]))
         x = np.array(edges, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
@@ -123,7 +123,7 @@ def link_components(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """fps: staged rows (doc_id, fp). Gives (fp, component_id)."""
     reps = stage(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     at = reps.select(F.explode(anchors(F.col("fp"))).alias("anchor"), "fp", "rep")
-    edges = at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(lambda fp, rep: group_tree(fp, rep, threshold)), "a long, b long")
+    edges = at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(lambda _, fp, rep: group_tree(fp, rep, threshold)), "a long, b long")
     labels = components(edges)
     return reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
@@ -192,14 +192,21 @@ def band_anchors(fa: Column, fb: Column) -> Column:
     return F.concat(*(of(b) for b in range(BANDS)))
 
 
-def nearest_smaller(fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
-    """For each id its NEAREST closest ones of smaller id within BITS bits; memory is bounded by block rows."""
+def nearest_smaller(band: int, fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
+    """For each id its NEAREST closest ones of smaller id within BITS bits; memory is bounded by block rows.
+
+    A pair counts in the first band that brings it together only, so not again at every later one.
+    """
+    bands = [(x >> np.uint64(shift)) & np.uint64(2**31 - 1) for x in (fa.view(np.uint64), fb.view(np.uint64)) for shift in (0, 32)][:band]
     order = np.argsort(ids, kind="stable")
+    bands = [b[order] for b in bands]
     fa, fb, ids, out = fa[order].view(np.uint64), fb[order].view(np.uint64), ids[order], []
     for s in range(0, len(ids), block):
         e = min(len(ids), s + block)
         d = np.bitwise_count(fa[s:e, None] ^ fa[None, :e]).astype(np.int16) + np.bitwise_count(fb[s:e, None] ^ fb[None, :e])
         d[np.arange(e)[None, :] >= np.arange(s, e)[:, None]] = 999
+        for b in bands:
+            d[np.bitwise_count(b[s:e, None] ^ b[None, :e]) <= 2] = 999
         for _ in range(NEAREST):
             j = d.argmin(1)
             i = np.flatnonzero(d[np.arange(e - s), j] <= BITS)
@@ -224,7 +231,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = stage(word_fingerprints(docs, id_col, text_col).where("doc_id IS NOT NULL"), "near-prints")
     reps = stage(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("fa").alias("fa"), F.max("fb").alias("fb"), F.max("n").alias("n")), "near-reps")
     at = reps.where("n > 0").select(F.explode(band_anchors(F.col("fa"), F.col("fb"))).alias("anchor"), "fa", "fb", "rep")
-    pairs = stage(at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(nearest_smaller), "a long, b long").distinct(), "near-pairs")
+    pairs = stage(at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(lambda anchor, *cols: nearest_smaller(anchor >> 31, *cols)), "a long, b long").distinct(), "near-pairs")
     labels = components(similar_pairs(docs, pairs, id_col, text_col))
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, ["k1", "k2"]).where("doc_id <> component_id").select("doc_id", "component_id")
