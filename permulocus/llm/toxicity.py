@@ -34,6 +34,8 @@ FEATURES = 4096
 MIN_TEXTS = 5
 TRAIN_PER_LABEL = 8000
 CUT = 0.7
+REGULARIZATION = 1e-5
+MAX_ITERATIONS = 100
 FOLDS = 3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -112,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
         return Vectors.sparse(len(r), held, r[held])
 
     rows = sample.select(F.col("label").cast("double").alias("label"), vector("text").alias("features"))
-    fitted = LogisticRegression(maxIter=40, regParam=0.001, standardization=False).fit(rows)
+    fitted = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=REGULARIZATION, standardization=False).fit(rows)
     prior = math.log(sizes[1] / sizes[0]) - math.log(n[1] / n[0])
     return Model(slots, fitted.coefficients.toArray() * r, float(fitted.intercept) + prior)
 
