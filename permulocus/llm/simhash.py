@@ -91,18 +91,18 @@ def group_tree(fps: np.ndarray, ids: np.ndarray, threshold: int) -> list[tuple[i
     return out
 
 
-def _per_anchor(edges_of):
-    """For rows (anchor, ...) sorted by anchor: the edges that edges_of(anchor, other columns of its rows) gives."""
+def _per_anchor(edges_of, names: tuple[str, ...] = ("a", "b")):
+    """For rows (anchor, ...) sorted by anchor: the rows of whole numbers that edges_of(anchor, other columns of its rows) gives."""
 
     def of(cols: list[np.ndarray]) -> pa.RecordBatch:
-        edges: list[tuple[int, int]] = []
+        edges: list[tuple[int, ...]] = []
         starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if len(cols[0]) else np.array([], int)
         ends = np.r_[starts[1:], len(cols[0])]
         many = ends - starts > 1
         for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
             edges += edges_of(int(cols[0][s]), *(c[s:e] for c in cols[1:]))
-        x = np.array(edges, dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+        x = np.array(edges, dtype=np.int64).reshape(-1, len(names))
+        return pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(len(names))], list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -142,12 +142,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # * fingerprints of 128 bits are taken over a text's distinct words, of which copies with single words changed share most;
 # * they are cut into four bands of 31 bits, each with the perfect Hamming code [31, 26] as anchors; texts that differ in at most two
 #   bits of some band meet at an anchor (16 anchors a band);
-# * at an anchor each text is paired with its NEAREST closest ones of smaller id within BITS bits, not with all;
-# * pairs stand if their five-word shingles have a Jaccard similarity of at least SIMILAR.
+# * at an anchor each text is paired with its closest one of smaller id within BITS bits; pairs stand if their five-word shingles have
+#   a Jaccard similarity of at least SIMILAR, and what they connect is one group from then on;
+# * anchors where some text has more candidates are gone over again, with twice as many a text, but none inside a group,
+#   until no text has one left. So a group of n near copies takes about n pairs, and no pair that could join two groups is passed over.
 
 BANDS = 4
 BITS = 26
-NEAREST = 2
 SIMILAR = 0.8
 WORDS = 5
 
@@ -192,26 +193,28 @@ def band_anchors(fa: Column, fb: Column) -> Column:
     return F.concat(*(of(b) for b in range(BANDS)))
 
 
-def nearest_smaller(band: int, fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
-    """For each id its NEAREST closest ones of smaller id within BITS bits; memory is bounded by block rows.
+def nearest_smaller(anchor: int, fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, groups: np.ndarray, nearest: int, block: int = 512) -> list[tuple[int, int, int, int]]:
+    """Rows (anchor, a, b, more): for each id its closest ones of smaller id and other group within BITS bits, nearest of them at most.
 
-    A pair counts in the first band that brings it together only, so not again at every later one.
+    more is 1 where an id has further ones. A pair counts in the first band that brings it together only, so not again at every later one. Memory is bounded by block rows.
     """
-    bands = [(x >> np.uint64(shift)) & np.uint64(2**31 - 1) for x in (fa.view(np.uint64), fb.view(np.uint64)) for shift in (0, 32)][:band]
+    bands = [(x >> np.uint64(shift)) & np.uint64(2**31 - 1) for x in (fa.view(np.uint64), fb.view(np.uint64)) for shift in (0, 32)][: anchor >> 31]
     order = np.argsort(ids, kind="stable")
     bands = [b[order] for b in bands]
-    fa, fb, ids, out = fa[order].view(np.uint64), fb[order].view(np.uint64), ids[order], []
+    fa, fb, ids, groups, out = fa[order].view(np.uint64), fb[order].view(np.uint64), ids[order], groups[order], []
     for s in range(0, len(ids), block):
         e = min(len(ids), s + block)
         d = np.bitwise_count(fa[s:e, None] ^ fa[None, :e]).astype(np.int16) + np.bitwise_count(fb[s:e, None] ^ fb[None, :e])
-        d[np.arange(e)[None, :] >= np.arange(s, e)[:, None]] = 999
+        d[(np.arange(e)[None, :] >= np.arange(s, e)[:, None]) | (groups[s:e, None] == groups[None, :e])] = 999
         for b in bands:
             d[np.bitwise_count(b[s:e, None] ^ b[None, :e]) <= 2] = 999
-        for _ in range(NEAREST):
-            j = d.argmin(1)
-            i = np.flatnonzero(d[np.arange(e - s), j] <= BITS)
-            out += zip(ids[s + i].tolist(), ids[j[i]].tolist(), strict=True)
-            d[np.arange(e - s), j] = 999
+        n = (d <= BITS).sum(1)
+        i, j = np.nonzero((d <= BITS) & (n <= nearest)[:, None])
+        out += zip([anchor] * len(i), ids[s + i].tolist(), ids[j].tolist(), [0] * len(i), strict=True)
+        many = np.flatnonzero(n > nearest)
+        if len(many):
+            at = d[many].argmin(1)[:, None] if nearest == 1 else np.argpartition(d[many], nearest - 1, axis=1)[:, :nearest]
+            out += zip([anchor] * at.size, np.repeat(ids[s + many], nearest).tolist(), ids[at.ravel()].tolist(), [1] * at.size, strict=True)
     return out
 
 
@@ -226,13 +229,32 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str)
     return shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n")) - 1e-9).select("a", "b")
 
 
+def similar_groups(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (node, component) of what similar pairs connect. reps: staged rows (rep, fa, fb, n), one a distinct text."""
+    prints, nearest, groups, links, tested, anchors_left = reps.where("n > 0"), 1, None, None, None, None
+    while True:
+        now = prints.withColumn("component", F.col("rep")) if groups is None else prints.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        at = now.select(F.explode(band_anchors(F.col("fa"), F.col("fb"))).alias("anchor"), "fa", "fb", "rep", "component")
+        if anchors_left is not None:
+            at = at.join(anchors_left, "anchor", "left_semi")
+        of = _per_anchor(lambda anchor, *cols, k=nearest: nearest_smaller(anchor, *cols, nearest=k), ("anchor", "a", "b", "more"))
+        found = stage(at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(of, "anchor long, a long, b long, more long"), "near-pairs")
+        pairs = found.select("a", "b").distinct()
+        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-untested")
+        good = stage(similar_pairs(docs, pairs, id_col, text_col), "near-links")
+        links, tested = (good, pairs) if links is None else (links.unionByName(good), tested.unionByName(pairs))
+        groups = components(links)
+        anchors_left = found.where("more = 1").select("anchor").distinct()
+        if anchors_left.isEmpty():
+            return groups
+        nearest *= 2
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, component_id) of documents that are not the smallest of their group. Texts of equal words are copies; so are all without words."""
     prints = stage(word_fingerprints(docs, id_col, text_col).where("doc_id IS NOT NULL"), "near-prints")
     reps = stage(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("fa").alias("fa"), F.max("fb").alias("fb"), F.max("n").alias("n")), "near-reps")
-    at = reps.where("n > 0").select(F.explode(band_anchors(F.col("fa"), F.col("fb"))).alias("anchor"), "fa", "fb", "rep")
-    pairs = stage(at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(lambda anchor, *cols: nearest_smaller(anchor >> 31, *cols)), "a long, b long").distinct(), "near-pairs")
-    labels = components(similar_pairs(docs, pairs, id_col, text_col))
+    labels = similar_groups(docs, reps, id_col, text_col)
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, ["k1", "k2"]).where("doc_id <> component_id").select("doc_id", "component_id")
 
