@@ -146,11 +146,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #   a Jaccard similarity of at least SIMILAR, and what they connect is one group from then on;
 # * anchors where some text has more candidates are gone over again, with twice as many a text, but none inside a group,
 #   until no text has one left. So a group of n near copies takes about n pairs, and no pair that could join two groups is passed over.
+#
+# These bits miss copies with a block added or cut off. What SimHash left in different groups is therefore searched once more, exactly, by prefixes:
+# * all texts' distinct shingles have one order: by hash, but the HOT_SHINGLES most frequent of a sample last. Sampling decides the order only;
+# * of two texts with similarity SIMILAR at least, each holds that share of the other's shingles, so their first common shingle is among the
+#   first n - ceil(SIMILAR * n) + 1 of both (n: a text's shingles); only these are joined, and only where they occur in two groups;
+# * a pair is compared in full if the sizes, and what is left of both texts from that shingle on, allow the similarity.
 
 BANDS = 4
 BITS = 26
 SIMILAR = 0.8
 WORDS = 5
+HOT_SHINGLES = 100_000
+HOT_SAMPLE = 16
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -229,6 +238,74 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str)
     return shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n")) - 1e-9).select("a", "b")
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """Hashes of a text's distinct five-word shingles, sorted; none for fewer words (such texts are similar only if equal)."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    n = len(words) - WORDS + 1
+    if n < 1:
+        return np.array([], np.int64)
+    h, s = np.array([xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64), np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        s = (s ^ h[k : k + n]) * _MIX
+        s ^= s >> np.uint64(29)
+    return np.unique(s.view(np.int64))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep IS NOT NULL")
+
+
+def hot_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample, sorted, and the place of each in the order from rare to frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b""))], ["token"])
+
+    sample = _texts(docs, id_col, text_col).where(F.pmod(F.xxhash64("rep"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(run, "token long")
+    top = sample.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).select("token").collect()
+    hot = np.array([r.token for r in reversed(top)], dtype=np.int64)
+    order = np.argsort(hot)
+    return hot[order], order
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (rep, n, tokens): number of distinct shingles and the first of them in the common order."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, id_col, text_col))
+
+    def one(s: np.ndarray, hot: np.ndarray, place: np.ndarray) -> np.ndarray:
+        need = len(s) - int(np.ceil(SIMILAR * len(s) - 1e-9)) + 1 if len(s) else 0
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+            late = hot[at] == s
+            s = np.concatenate([s[~late], s[late][np.argsort(place[at[late]])]])
+        return s[:need]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
+            tokens = pa.array([one(s, *sent.value) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), tokens], ["rep", "n", "tokens"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "rep long, n long, tokens array<long>")
+
+
+def prefix_pairs(docs: DataFrame, reps: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b), a > b, of different groups that may be similar: none that is similar is left out."""
+    named = reps.select("rep").distinct().join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    held = prefixes(docs, id_col, text_col).where("n > 0").join(named, "rep").select("rep", "component", "n", F.posexplode("tokens").alias("at", "token"))
+    held = stage(held, "near-prefixes")
+    shared = stage(held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "near-shared")
+    held = stage(held.join(shared, "token"), "near-shared-prefixes")
+    x, y = (held.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "at"))) for side in "xy")
+    rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))  # the most they can share if this is their first common shingle
+    fits = (F.col("rep_x") > F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (rest >= SIMILAR * (F.col("n_x") + F.col("n_y") - rest) - 1e-9)
+    return x.join(y, "token").where(fits).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (node, component) of what similar pairs connect. reps: staged rows (rep, fa, fb, n), one a distinct text."""
     prints, nearest, groups, links, tested, anchors_left = reps.where("n > 0"), 1, None, None, None, None
@@ -246,8 +323,10 @@ def similar_groups(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str)
         groups = components(links)
         anchors_left = found.where("more = 1").select("anchor").distinct()
         if anchors_left.isEmpty():
-            return groups
+            break
         nearest *= 2
+    pairs = stage(prefix_pairs(docs, reps, groups, id_col, text_col).join(tested, ["a", "b"], "left_anti"), "near-exact")
+    return components(links.unionByName(similar_pairs(docs, pairs, id_col, text_col)))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -254,6 +254,21 @@ def test_keep_one_of_near_copies(spark):
     assert left == {*range(20), *range(30, 40), 43}
 
 
+@pytest.mark.parametrize("sample", [1, 16])
+def test_keep_one_of_block_edits(spark, monkeypatch, sample):
+    monkeypatch.setattr(simhash, "HOT_SAMPLE", sample)  # decides the order of shingles, never the result
+    rng = random.Random(11)
+    new = lambda n: ["w%d" % rng.randrange(3000) for _ in range(n)]
+    common = new(30)
+    clean = [new(150) + (common if i % 2 else []) for i in range(40)]
+    head, foot, cut = ([f(c) for c in clean] for f in (lambda c: new(len(c) // 5) + c, lambda c: c + new(len(c) // 5), lambda c: c[: len(c) * 41 // 50]))
+    far = [c[: len(c) * 7 // 10] for c in clean]  # similarity 0.7 or less
+    for edited in (head, foot, cut):
+        left = {r.doc_id for r in simhash.keep_one(docs_of(spark, [" ".join(c) for c in clean + edited])).collect()}
+        assert left == set(range(40))
+    assert simhash.keep_one(docs_of(spark, [" ".join(c) for c in clean + far])).count() == 80
+
+
 # --- 8, 10 ---
 
 
