@@ -352,9 +352,9 @@ PERMS = 4
 _X = 'SELECT X.vid, X.perm, X.chrom, X.s AS "start", X.e AS "end", CAST(SV.extra AS DOUBLE) AS extra FROM X JOIN SV ON SV.vid = X.vid'
 
 
-def _permute_short(spark, sf_dir, preserve, k=3):
+def _permute_short(spark, sf_dir, preserve, k=3, whole=False):
     # The plain bins (SHORT_MIN of 1 absorbs none), so that the SQL needs no fold.
-    out = alg.permute_variants(t.short_variants(spark, sf_dir), t.short_blacklist(spark, sf_dir), t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, preserve, k, SEED)
+    out = alg.permute_variants(t.short_variants(spark, sf_dir), t.short_blacklist(spark, sf_dir, whole), t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, preserve, k, SEED)
     return out.withColumn("extra", F.col("extra").cast("double"))
 
 
@@ -390,9 +390,9 @@ def permuted_scores(spark, sf_dir):
 SHORT_ANN = f"SA AS (SELECT aid, chrom, s % {t.SHORT - 300} AS s, s % {t.SHORT - 300} + 20 + aid % 80 AS e FROM A WHERE aid % 10 < 5),\n"
 
 
-def _short_annotations(spark, sf_dir):
-    start = F.col("start") % (t.SHORT - 300)
-    return t.annotations(spark, sf_dir).where("aid % 10 < 5").select("aid", "chrom", start.alias("start"), (start + 20 + F.col("aid") % 80).alias("end"), "name")
+def _short_annotations(spark, sf_dir, whole=False):
+    start, a = F.col("start") % (t.SHORT - 300), t.annotations(spark, sf_dir)
+    return (a if whole else a.where("aid % 10 < 5")).select("aid", "chrom", start.alias("start"), (start + 20 + F.col("aid") % 80).alias("end"), "name")
 
 
 def _empirical_sql(cols: str) -> str:
@@ -408,10 +408,10 @@ ER AS (SELECT o.aid, o.n_obs, o.sig, p.perm, coalesce(e.n, 0) AS n, coalesce(e.s
     )
 
 
-def _empirical(spark, sf_dir, mode):
+def _empirical(spark, sf_dir, mode, whole=False):
     v = t.short_variants(spark, sf_dir).withColumnRenamed("extra", "signal")
-    moved = alg.permute_variants(v, t.short_blacklist(spark, sf_dir), t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, True, 3, SEED)
-    return alg.empirical_pvalues(v, _short_annotations(spark, sf_dir), t.short_blacklist(spark, sf_dir), moved, mode)
+    moved = alg.permute_variants(v, t.short_blacklist(spark, sf_dir, whole), t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, True, 3, SEED)
+    return alg.empirical_pvalues(v, _short_annotations(spark, sf_dir, whole), t.short_blacklist(spark, sf_dir, whole), moved, mode)
 
 
 @query(_empirical_sql(""))
@@ -429,6 +429,33 @@ def permutation_count(spark, sf_dir):
     return _permute_short(spark, sf_dir, True).select("perm").distinct().agg(F.count("*").alias("n"))
 
 
+# --- the same over all annotations and all blacklist intervals ---
+
+
+def _whole(sql: str) -> str:
+    return sql.replace(" WHERE s % 5 = 0", "").replace(" WHERE aid % 10 < 5", "")
+
+
+@query(_whole(_with(SHORT + _drawn("'*'", "permute0"), _X)))
+def permute_uniform_all(spark, sf_dir):
+    return _permute_short(spark, sf_dir, False, whole=True)
+
+
+@query(_whole(_with(SHORT + _drawn("q.k3", "permute3"), _X)))
+def permute_trimer_all(spark, sf_dir):
+    return _permute_short(spark, sf_dir, True, whole=True)
+
+
+@query(_whole(_with(SHORT + _drawn("q.k5", "permute5"), _X)))
+def permute_pentamer_all(spark, sf_dir):
+    return _permute_short(spark, sf_dir, True, 5, whole=True)
+
+
+@query(_whole(_empirical_sql(f", CAST(sig AS DOUBLE) AS signal_obs, count(*) FILTER (WHERE psig >= sig) / {PERMS} AS signal_p")))
+def empirical_signal_pvalue_all(spark, sf_dir):
+    return _empirical(spark, sf_dir, "p", whole=True).select("aid", "n_obs", "p", F.col("signal_obs").cast("double").alias("signal_obs"), "signal_p")
+
+
 # --- covariates, clusters, epochs, simulation ---
 
 COVARIATES = (
