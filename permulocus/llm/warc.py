@@ -1,8 +1,8 @@
 """Operator 5, WARC: a deterministic sharded writer, and a reader.
 
-Shards are ranges of the page id that hold about SHARD_BYTES of payload each, cut from a histogram of the ids, so they depend
-on the data alone. Records go to their shard in one shuffle, sorted by page id, together with one small row for
-each page whose payload is not unique; the writer thus needs no join with payloads. A shard's files roll when their
+Shards are ranges of the page id that hold about SHARD_BYTES of payload each, cut at multiples of that in the prefix sums of sizes in the
+order of the id, so they depend on the data alone, however ids are spread. Records go to their shard in one shuffle, one task a shard, sorted
+by page id, together with one small row for each page whose payload is not unique; the writer thus needs no join with payloads. A shard's files roll when their
 compressed size reaches ROLL_BYTES. Every record is a gzip member of its own; headers and digests are
 made anew from the payload, and dates are a parameter, so equal input gives equal files.
 
@@ -14,8 +14,8 @@ Equal payloads (of at least min_revisit bytes): the smallest page id's record is
 A revisit has the response's HTTP head alone, so its full payload's length and digest stay readable.
 
 Cases: null html is the empty payload; null urls give the record's own id as target; repeated rows are records of their own,
-the first a response or revisit like its page, later ones revisits of it; rows with a null id are responses;
-an empty table gives no file.
+the first a response or revisit like its page, later ones revisits of it; rows with a null id are responses,
+dealt to all shards by their hash; an empty table gives no file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stage, table
@@ -40,7 +41,8 @@ SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MOST_CELLS = 1 << 20
+#: Tasks that rename or read archives at once; each takes a share of the files.
+MOST_TASKS = 10_000
 
 _FILES = "name string, temporary string, bytes long, records long, sha256 string"
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -60,30 +62,35 @@ def _file_system(uri: str):
 
 
 def shard_starts(sizes: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
-    """First page ids of all shards but the first. sizes: page_id, n (bytes). Collects at most MOST_CELLS cell totals."""
-    ends = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if ends[0] is None:
+    """First page ids of all shards but the first. sizes: page_id, n (bytes). Gathers one number a range partition and one a shard."""
+    ids = sizes.where("page_id IS NOT NULL").select("page_id", "n")
+    ranged = stage(ids.repartitionByRange("page_id").select("page_id", "n", F.spark_partition_id().alias("part")), "warc-order")
+    base, total = {}, 0
+    for part, n in sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        base[part], total = total, total + n
+    if total <= shard_bytes:
         return []
-    lo, hi, total = int(ends[0]), int(ends[1]), int(ends[2] or 0)
-    cells = int(min(MOST_CELLS, max(16, 16 * total // shard_bytes)))
-    width = -(-(hi - lo + 1) // cells)
-    by_cell = sizes.where("page_id IS NOT NULL").groupBy(F.floor((F.col("page_id") - lo) / width).alias("cell")).agg(F.sum("n").alias("n")).collect()
-    starts, held = [], 0
-    for cell, n in sorted((int(r["cell"]), int(r["n"])) for r in by_cell):
-        if held and held + n > shard_bytes:
-            starts, held = [*starts, lo + cell * width], 0
-        held += n
-    return starts
-
-
-def _shard_of(page_id: Column, starts: list[int]) -> Column:
+    before = spark_map(base)
+    upto = F.sum("n").over(W.partitionBy("part").orderBy("page_id")) + F.try_element_at(before, F.col("part"))
+    cut = ranged.select("page_id", F.floor((upto - 1) / shard_bytes).alias("shard")).groupBy("shard").agg(F.min("page_id").alias("first"))
+    firsts = cut.select("first").toArrow().column("first").to_numpy()
+    return np.unique(firsts)[1:].tolist()
+
+
+def spark_map(numbers: dict[int, int]) -> Column:
+    return F.create_map(*(F.lit(x).cast(t) for k, v in numbers.items() for x, t in ((k, "int"), (v, "long"))))
+
+
+def _shard_of(page_id: Column, other: Column, starts: list[int]) -> Column:
+    """A page's shard; where the id is null, one by other's hash."""
     at = np.array(starts, np.int64)
 
     @F.pandas_udf("int")
     def shard(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, ids.fillna(-(2**63)).to_numpy(np.int64), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(at, ids.to_numpy(np.int64), side="right").astype(np.int32))
 
-    return shard(page_id)
+    spread = F.pmod(F.xxhash64(other), F.lit(len(starts) + 1)).cast("int")
+    return F.when(page_id.isNull(), spread).otherwise(shard(F.coalesce(page_id, F.lit(0))))
 
 
 # --- records ---
@@ -95,7 +102,7 @@ def _record(head: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def _page_record(page_id: int | None, copy: int, url: str | None, payload: bytes, refers_to: tuple[int, int] | None, date: str) -> bytes:
+def _page_record(page_id: int | None, copy: int | str, url: str | None, payload: bytes, refers_to: tuple[int, int] | None, date: str) -> bytes:
     name = f"urn:page:{'' if page_id is None else page_id}:{copy}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to else http + payload
@@ -159,7 +166,8 @@ def write_archives(pages: DataFrame, uri: str, min_revisit: int = 0, shard_bytes
         return df.select("page_id", F.lit(kind).alias("kind"), *(F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in (("url", "string"), ("payload", "binary"), ("digest", "string"), ("first", "long"))))
 
     both = shaped(told, 0).unionByName(shaped(rows.withColumn("digest", F.sha1("payload")), 1))
-    dealt = both.withColumn("shard", _shard_of(F.col("page_id"), starts)).repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+    shards = len(starts) + 1
+    dealt = both.withColumn("shard", _shard_of(F.col("page_id"), F.col("digest"), starts)).repartitionById(shards, "shard").sortWithinPartitions("page_id", "kind", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Rolling(archive, roll_bytes, date)
@@ -175,7 +183,7 @@ def write_archives(pages: DataFrame, uri: str, min_revisit: int = 0, shard_bytes
                 if page_id is not None and digest in known:
                     refers = (known[digest], 0) if known[digest] != page_id else (page_id, done[digest]) if digest in done else None
                 done.setdefault(digest, copies)
-                files.put(shard, _page_record(page_id, copies, url, payload, refers, date))
+                files.put(shard, _page_record(page_id, copies if page_id is not None else f"{shard}.{copies}", url, payload, refers, date))
                 copies += 1
         files.close()
         cols = list(zip(*files.done, strict=True)) or [[]] * 5
@@ -193,7 +201,7 @@ def write_archives(pages: DataFrame, uri: str, min_revisit: int = 0, shard_bytes
                     fs.move(f"{folder}/{temporary}", f"{folder}/{name}")
             yield b.select(["name"])
 
-    manifest.select("name", "temporary").mapInArrow(rename, "name string").count()
+    manifest.select("name", "temporary").repartition(min(MOST_TASKS, shards), "name").mapInArrow(rename, "name string").count()
     _close(archive)
     return manifest
 
@@ -251,7 +259,9 @@ def read_archives(spark: SparkSession, uri: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _RECORDS.split(", ")])
 
-    return spark.read.schema(_FILES).parquet(f"{uri}/manifest").select("name").repartition("name").mapInArrow(read, _RECORDS)
+    manifest = spark.read.schema(_FILES).parquet(f"{uri}/manifest").select("name")
+    # A numbered repartition is not coalesced: rows here are only names.
+    return manifest.repartition(max(1, min(MOST_TASKS, manifest.count())), "name").mapInArrow(read, _RECORDS)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
