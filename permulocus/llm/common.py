@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 #: The same characters, for translate() and trim().
 WS_CHARS = " \t\n\x0b\x0c\r"
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     Where the setting is absent (local tests), a temporary folder is set for the session once.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="permulocus-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -41,12 +44,27 @@ def stage(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name, or the beginning of some, that no column begins with (upper and lower case are the same to Spark)."""
+    name, taken = f"__{name}", [c.lower() for c in columns]
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a staged folder that nothing reads any more."""
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
     to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the staged table's values are BROADCAST_BYTES at most (a number counts 16)."""
+    sizes = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) + 16 if f.dataType.typeName() == "string" else F.lit(16) for f in df.schema.fields]
+    total = df.agg(F.sum(sum(sizes, F.lit(0)).cast("long")).alias("n")).first().n or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

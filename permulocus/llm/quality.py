@@ -12,12 +12,13 @@ statistic reaches a cutoff, chosen per stratum (lang) from a grid of BINS steps
 * of the certified cutoffs that one is taken which rejects most bad less good texts, the most lenient of equals,
   and none where none rejects more bad than good ones.
 
-Text is read once or twice and never shuffled; what is grouped are small rows, counted per (stratum, rule, bin)
-with map-side combine.
+Text is read once and never shuffled; what is grouped are small rows, counted per (stratum, rule, bin)
+with map-side combine. A document is one trial, however many rows it has.
 
 Cases: null or empty text has no words and fails the base rules; null lang is the stratum "und"; strata
 with too few labels get no cutoff, so only the base rules hold there; of several labels of one
-document the best counts; repeated rows each get the verdict; labels without documents do nothing; an empty table gives none.
+document the best counts; repeated rows each get the verdict, and of several texts of one labelled document that with
+the greatest stratum and bins counts; labels without documents do nothing; an empty table gives none; columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WS_CHARS, shingle_hashes, stage, table, words_of
+from .common import WS_CHARS, fresh, shingle_hashes, stage, table, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -114,20 +115,19 @@ def _rejected(bins: Column, cutoffs: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def _holdout(stats: DataFrame, labels: DataFrame) -> DataFrame:
+def _holdout(stats: DataFrame, labels: DataFrame, stratum: Column, prefix: str = "__q_") -> DataFrame:
     best = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return stats.where(~F.col("__q_base_failed")).select("doc_id", "stratum", "__q_bins").join(best, "doc_id").select("stratum", "quality", F.col("__q_bins").alias("bins"))
-
-
-def _staged_statistics(docs: DataFrame, text_col: str, stratum: Column) -> DataFrame:
-    """A few numbers a document, computed once; what follows reads them, not texts."""
-    return stage(with_statistics(docs.select("doc_id", stratum.alias("stratum"), F.col(text_col).alias("text"))).drop("text"), "quality-statistics")
+    passed = stats.where(~F.col(f"{prefix}base_failed")).select("doc_id", stratum.alias("stratum"), F.col(f"{prefix}bins").alias("bins"))
+    once = passed.join(best, "doc_id").groupBy("doc_id").agg(F.max(F.struct("stratum", "bins")).alias("at"), F.max("quality").alias("quality"))
+    return once.select("at.stratum", "quality", "at.bins")
 
 
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One small row a document, without text: doc_id, the statistics, base_failed and kept."""
-    stats = _staged_statistics(docs, text_col, F.coalesce(F.col(stratum_col).cast("string"), F.lit("und")))
-    cutoffs = choose_cutoffs(_holdout(stats, labels))
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("und"))
+    # A few numbers a document, computed once; what follows reads them, not texts.
+    stats = stage(with_statistics(docs.select("doc_id", stratum.alias("stratum"), F.col(text_col).alias("text"))).drop("text"), "quality-statistics")
+    cutoffs = choose_cutoffs(_holdout(stats, labels, F.col("stratum")))
     out = stats.join(cutoffs, "stratum", "left")
     kept = ~F.col("__q_base_failed") & ~_rejected(F.col("__q_bins"), F.col("cutoffs"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -135,11 +135,13 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of docs that pass, with all their columns. Texts are read twice rather than shuffled."""
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("und"))
-    cutoffs = choose_cutoffs(_holdout(_staged_statistics(docs, text_col, stratum), labels)).withColumnsRenamed({"stratum": "__q_stratum", "cutoffs": "__q_cutoffs"})
-    out = with_statistics(docs, text_col).join(cutoffs, stratum == F.col("__q_stratum"), "left")
-    return out.where((F.col("__q_row") >= 0) & ~F.col("__q_base_failed") & ~_rejected(F.col("__q_bins"), F.col("__q_cutoffs"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that pass, with all their columns. What passes the base rules is written once beside its statistics; texts are never shuffled."""
+    p, stratum = fresh(docs.columns, "q_"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("und"))
+    measured = with_statistics(docs, text_col, p).where((F.col(f"{p}row") >= 0) & ~F.col(f"{p}base_failed"))
+    passed = stage(measured.select(*(F.col(f"`{c}`") for c in docs.columns), f"{p}base_failed", f"{p}bins"), "quality-passed")
+    cutoffs = choose_cutoffs(_holdout(passed, labels, stratum, p)).withColumnsRenamed({"stratum": f"{p}stratum", "cutoffs": f"{p}cutoffs"})
+    out = passed.join(cutoffs, stratum == F.col(f"{p}stratum"), "left")
+    return out.where(~_rejected(F.col(f"{p}bins"), F.col(f"{p}cutoffs"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,19 +172,22 @@ WITH w AS (
          length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks
   FROM g LEFT JOIN rep ON g.doc_id = rep.doc_id
 ), f AS (
-  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s
+  SELECT *, row_number() OVER () AS rn, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s
 ), r AS (
-  SELECT doc_id, stratum, base_failed, rule,
+  SELECT doc_id, rn, stratum, base_failed, rule,
          CASE WHEN n_words > 0 AND den > 0 THEN least({BINS}, CAST(floor({BINS} * num / den) AS INTEGER)) ELSE 0 END AS bin
   FROM (SELECT f.*, v.rule,
                CASE v.rule WHEN 0 THEN n_symbols WHEN 1 THEN n_dup_lines WHEN 2 THEN n_repeat_words WHEN 3 THEN n_capitals ELSE n_marks END AS num,
                CASE v.rule WHEN 1 THEN n_lines WHEN 2 THEN n_words ELSE word_chars END AS den
         FROM f, (VALUES (0), (1), (2), (3), (4)) v(rule))
+), o AS (
+  SELECT doc_id, max(struct_pack(stratum := stratum, bins := bins)) AS best
+  FROM (SELECT doc_id, rn, any_value(stratum) AS stratum, list(bin ORDER BY rule) AS bins FROM r WHERE NOT base_failed GROUP BY doc_id, rn) GROUP BY doc_id
 ), lab AS (
   SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), c AS (
-  SELECT stratum, rule, bin, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad
-  FROM r JOIN lab ON r.doc_id = lab.doc_id WHERE NOT base_failed GROUP BY ALL
+  SELECT best.stratum AS stratum, rule, best.bins[rule + 1] AS bin, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad
+  FROM o JOIN lab ON o.doc_id = lab.doc_id, (VALUES (0), (1), (2), (3), (4)) v(rule) GROUP BY ALL
 ), t AS (
   SELECT stratum, rule, bin, CAST(sum(good) OVER (PARTITION BY stratum, rule) AS BIGINT) AS n,
          CAST(sum(good) OVER (PARTITION BY stratum, rule ORDER BY bin DESC) AS BIGINT) AS k,
