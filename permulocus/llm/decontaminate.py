@@ -9,12 +9,12 @@ By the pigeonhole principle a containing document holds some hash of the sketch,
 document only the hashes up to the largest in any sketch can match; only those are looked up.
 Verification: of candidate pairs, the shingles themselves are compared.
 
-Broadcast are sketches, item shingles and candidates only where they have at most BROADCAST_ROWS rows; beyond, they
+Broadcast are sketches, item shingles and candidates only where their values take at most BROADCAST_BYTES; beyond, they
 are joined by shuffle. A passage in very many documents makes one row a document, never pairs of documents.
 
 Cases: texts of fewer words are one shingle, the whole text; null or empty texts have none and match nothing; items of equal
 shingles match alike; repeated rows are one document; rows with a null id are searched like others; empty tables
-give no pairs.
+give no pairs; columns of documents may have any names.
 """
 
 from __future__ import annotations
@@ -22,22 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, shingle_texts, stage, table
+from .common import fresh, shingle_hashes, shingle_texts, small, stage, table
 
 SHINGLE = 5
 CONTAINED = 0.8
-BROADCAST_ROWS = 500_000
 
 
 def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the staged table is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _may_lack(n: Column, share: float) -> Column:
     return n - F.ceil(F.lit(share) * n - F.lit(1e-9)).cast("int")
 
@@ -55,14 +49,14 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = CONTAINED,
 
     whole = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), plain_words(F.col(text_col)).alias("w"))
     low = whole.select("doc", "text_hash", F.explode(F.array_distinct(F.filter(shingle_hashes(F.col("w"), shingle), lambda h: h <= F.lit(most)))).alias("h"))
-    hits = low.join(_small(sketch), "h").groupBy("doc", "text_hash", "item_id").agg(F.count("*").alias("hits"), F.first("least_hits").alias("least_hits"))
+    hits = low.join(small(sketch), "h").groupBy("doc", "text_hash", "item_id").agg(F.count("*").alias("hits"), F.first("least_hits").alias("least_hits"))
     candidates = stage(hits.where("hits >= least_hits").select("doc", "text_hash", "item_id"), "contain-candidates")
 
-    which = _small(candidates.select(F.col("doc").alias("d"), F.col("text_hash").alias("x")).distinct())
+    which = small(candidates.select(F.col("doc").alias("d"), F.col("text_hash").alias("x")).distinct())
     texts = whole.join(which, (F.col("text_hash") == F.col("x")) & F.col("doc").eqNullSafe(F.col("d")), "left_semi")
     shingles = texts.select("doc", "text_hash", F.explode(F.array_distinct(shingle_texts(F.col("w"), shingle))).alias("s"))
     of_items = item.select("item_id", "n", F.explode("s").alias("s"))
-    pairs = shingles.join(F.broadcast(of_items) if (item.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS else of_items, "s")
+    pairs = shingles.join(small(of_items), "s")
     shared = pairs.groupBy("doc", "text_hash", "item_id").agg(F.count_distinct("s").alias("shared"), F.first("n").alias("item_shingles"))
     picked = candidates.select(F.col("doc").alias("d"), F.col("text_hash").alias("x"), F.col("item_id").alias("i"))
     shared = shared.join(picked, (F.col("text_hash") == F.col("x")) & (F.col("item_id") == F.col("i")) & F.col("doc").eqNullSafe(F.col("d")), "left_semi")
@@ -73,8 +67,9 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = CONTAINED,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that contain no item."""
-    bad = stage(contained_items(docs, items, id_col=id_col, text_col=text_col).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
-    return docs.join(_small(bad), (F.xxhash64(text_col) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__doc")), "left_anti")
+    doc, text_hash = fresh(docs.columns, "doc"), fresh(docs.columns, "hash")
+    bad = stage(contained_items(docs, items, id_col=id_col, text_col=text_col).select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash)).distinct(), "contaminated")
+    return docs.join(small(bad), (F.xxhash64(text_col) == F.col(text_hash)) & F.col(id_col).eqNullSafe(F.col(doc)), "left_anti")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
