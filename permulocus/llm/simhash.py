@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shingle_hashes, stage, table, words_of
+from .common import fresh, small, stage, table
 from .components import components
 
 SHINGLE = 3
@@ -91,18 +91,18 @@ def group_tree(fps: np.ndarray, ids: np.ndarray, threshold: int) -> list[tuple[i
     return out
 
 
-def _per_anchor(edges_of, names: tuple[str, ...] = ("a", "b")):
-    """For rows (anchor, ...) sorted by anchor: the rows of whole numbers that edges_of(anchor, other columns of its rows) gives."""
+def _per_anchor(edges_of):
+    """For rows (anchor, ...) sorted by anchor: the pairs (a, b) that edges_of(anchor, other columns of its rows) gives."""
 
     def of(cols: list[np.ndarray]) -> pa.RecordBatch:
-        edges: list[tuple[int, ...]] = []
+        edges: list[tuple[int, int]] = []
         starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if len(cols[0]) else np.array([], int)
         ends = np.r_[starts[1:], len(cols[0])]
         many = ends - starts > 1
         for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
             edges += edges_of(int(cols[0][s]), *(c[s:e] for c in cols[1:]))
-        x = np.array(edges, dtype=np.int64).reshape(-1, len(names))
-        return pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(len(names))], list(names))
+        x = np.array(edges, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -142,48 +142,134 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # * fingerprints of 128 bits are taken over a text's distinct words, of which copies with single words changed share most;
 # * they are cut into four bands of 31 bits, each with the perfect Hamming code [31, 26] as anchors; texts that differ in at most two
 #   bits of some band meet at an anchor (16 anchors a band);
-# * at an anchor each text is paired with its closest one of smaller id within BITS bits; pairs stand if their five-word shingles have
-#   a Jaccard similarity of at least SIMILAR, and what they connect is one group from then on;
-# * anchors where some text has more candidates are gone over again, with twice as many a text, but none inside a group,
-#   until no text has one left. So a group of n near copies takes about n pairs, and no pair that could join two groups is passed over.
+# * an anchor with more than BLOCK texts is dealt into blocks of about that many, each of which also gets the anchor's smallest id, so that
+#   a large group is neither one task nor compared with itself as a whole;
+# * in a block each text is paired with its closest one of smaller id within BITS bits, so pairs grow with texts; a pair stands if
+#   its five-word shingles have a Jaccard similarity of at least SIMILAR, and what pairs connect is one group from then on.
 #
-# These bits miss copies with a block added or cut off. What SimHash left in different groups is therefore searched once more, exactly, by prefixes:
+# That leaves near copies apart whose bits differ more (blocks added or cut off) or that met in no block. So what is in different groups
+# is searched once more, exactly, by prefixes:
 # * all texts' distinct shingles have one order: by hash, but the HOT_SHINGLES most frequent of a sample last. Sampling decides the order only;
-# * of two texts with similarity SIMILAR at least, each holds that share of the other's shingles, so their first common shingle is among the
-#   first n - ceil(SIMILAR * n) + 1 of both (n: a text's shingles); only these are joined, and only where they occur in two groups;
-# * a pair is compared in full if the sizes, and what is left of both texts from that shingle on, allow the similarity.
+# * two texts of similarity SIMILAR at least share a shingle among the first n - ceil(SIMILAR * n) + 1 of the longer and the first
+#   n - ceil(2 * SIMILAR / (1 + SIMILAR) * n) + 1 of the other (n: a text's shingles), as at least the rest of each must be common;
+# * only shingles of two groups are joined. For each, the group with most texts there is never joined to itself: its texts meet those of the
+#   others only. So a large group costs rows in proportion to itself;
+# * a pair is compared in full if the sizes, what is left of both texts from that shingle on, and the parities allow the similarity: each text
+#   has PARITIES bits, each the parity of how many of its shingles fall on it, and two texts differ in at least as many shingles as bits.
 
 BANDS = 4
 BITS = 26
+BLOCK = 2048
 SIMILAR = 0.8
 WORDS = 5
 HOT_SHINGLES = 100_000
 HOT_SAMPLE = 16
+PARITIES = 256
+_PARITY = tuple(f"p{i}" for i in range(PARITIES // 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_EPS = 1e-9
 
 
-def word_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, k1, k2, fa, fb, n): a 128-bit key of the text's words in order, the fingerprint's halves, number of words."""
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of a text's distinct five-word shingles, sorted, from its words' hashes; none for fewer words (such texts are similar only if equal)."""
+    n = len(hashes) - WORDS + 1
+    if n < 1:
+        return np.array([], np.int64)
+    s = np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        s = (s ^ hashes[k : k + n]) * _MIX
+        s ^= s >> np.uint64(29)
+    return np.unique(s.view(np.int64))
 
-    def one(text: bytes) -> tuple:
-        from xxhash import xxh64_intdigest
 
-        words = text.lower().split()
-        whole = b" ".join(words)
-        halves = [0, 0]
-        for i in range(2):
-            h = np.array([xxh64_intdigest(w, SEED + i) for w in set(words)], dtype="<u8")
-            if len(h):
-                counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-                halves[i] = np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view("<u8")[0]
-        return xxh64_intdigest(whole, 1), xxh64_intdigest(whole, 2), *halves, len(words)
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+
+
+def _hashed(text: bytes | None) -> tuple[bytes, np.ndarray]:
+    """A text's words, joined by single blanks, and their hashes."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").lower().split()
+    return b" ".join(words), np.array([xxh64_intdigest(w, SEED) for w in words], dtype="<u8")
+
+
+def hot_shingles(docs: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample, sorted, and the place of each in the order from rare to frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = np.array([one(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64).reshape(-1, 5).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[:, i]) for i in range(5))], ["doc_id", "k1", "k2", "fa", "fb", "n"])
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_hashed(t)[1]))], ["token"])
+
+    tokens = _texts(docs, id_col, text_col).where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).mapInArrow(run, "token long")
+    top = tokens.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).select("token").toArrow()
+    hot = top.column("token").to_numpy()[::-1].astype(np.int64)
+    order = np.argsort(hot)
+    return hot[order], order
+
+
+def first_shingles(s: np.ndarray, hot: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """As many of a set's first shingles, in the common order, as the longer text of a pair needs."""
+    need = len(s) - int(np.ceil(SIMILAR * len(s) - _EPS)) + 1 if len(s) else 0
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        late = hot[at] == s
+        s = np.concatenate([s[~late], s[late][np.argsort(place[at[late]])]])
+    return s[:need]
+
+
+def text_prints(docs: DataFrame, id_col: str, text_col: str, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (doc_id, k1, k2, fa, fb, p0.., n, tokens): a 128-bit key of the text's words in order, the fingerprint's halves, parities, number of shingles and the first of them."""
+    names = ("k1", "k2", "fa", "fb", *_PARITY)
+    sent = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_SHINGLES pairs of numbers at most
+
+    def majority(h: np.ndarray) -> int:
+        if not len(h):
+            return 0
+        counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        return int(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view("<u8")[0])
+
+    def one(text: bytes | None) -> tuple:
+        from xxhash import xxh64_intdigest
+
+        whole, h = _hashed(text)
+        distinct = np.unique(h)
+        second = distinct * _MIX
+        second = (second ^ (second >> np.uint64(32))) * _MIX
+        s = shingle_set(h)
+        parity = np.packbits((np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1).astype(bool), bitorder="little").view("<u8")
+        return (xxh64_intdigest(whole, 1), xxh64_intdigest(whole, 2), majority(distinct), majority(second ^ (second >> np.uint64(29))), *parity.tolist()), len(s), first_shingles(s, *sent.value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                rows = [one(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                keys = np.array([r[0] for r in rows], dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *(pa.array(keys[:, i]) for i in range(len(names))), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
+                    ["doc_id", *names, "n", "tokens"],
+                )
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in names) + "n long, tokens array<long>")
+
+
+def shingle_sets(docs: DataFrame, which: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (rep, s) for the texts of which (rep, k1, k2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                rows = [_hashed(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                keys = np.array([(xxh64_intdigest(w, 1), xxh64_intdigest(w, 2)) for w, _ in rows], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([shingle_set(h) for _, h in rows], pa.list_(pa.int64()))], ["rep", "k1", "k2", "s"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, k1 long, k2 long, fa long, fb long, n long")
+    texts = _texts(docs, id_col, text_col).join(which.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return texts.mapInArrow(run, "rep long, k1 long, k2 long, s array<long>").join(which, ["rep", "k1", "k2"], "left_semi").select("rep", "s").dropDuplicates(["rep"])
 
 
 def band_anchors(fa: Column, fb: Column) -> Column:
@@ -202,146 +288,106 @@ def band_anchors(fa: Column, fb: Column) -> Column:
     return F.concat(*(of(b) for b in range(BANDS)))
 
 
-def nearest_smaller(anchor: int, fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, groups: np.ndarray, nearest: int, block: int = 512) -> list[tuple[int, int, int, int]]:
-    """Rows (anchor, a, b, more): for each id its closest ones of smaller id and other group within BITS bits, nearest of them at most.
+def nearest_smaller(key: int, fa: np.ndarray, fb: np.ndarray, ids: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
+    """Pairs (a, b): for each id its closest one of smaller id within BITS bits, if any.
 
-    more is 1 where an id has further ones. A pair counts in the first band that brings it together only, so not again at every later one. Memory is bounded by block rows.
+    A pair counts in the first band that could bring it together only, so not again at every later one. Memory is bounded by block rows.
     """
-    bands = [(x >> np.uint64(shift)) & np.uint64(2**31 - 1) for x in (fa.view(np.uint64), fb.view(np.uint64)) for shift in (0, 32)][: anchor >> 31]
+    bands = [(x >> np.uint64(shift)) & np.uint64(2**31 - 1) for x in (fa.view(np.uint64), fb.view(np.uint64)) for shift in (0, 32)][: key >> 31 & 3]
     order = np.argsort(ids, kind="stable")
     bands = [b[order] for b in bands]
-    fa, fb, ids, groups, out = fa[order].view(np.uint64), fb[order].view(np.uint64), ids[order], groups[order], []
+    fa, fb, ids, out = fa[order].view(np.uint64), fb[order].view(np.uint64), ids[order], []
     for s in range(0, len(ids), block):
         e = min(len(ids), s + block)
         d = np.bitwise_count(fa[s:e, None] ^ fa[None, :e]).astype(np.int16) + np.bitwise_count(fb[s:e, None] ^ fb[None, :e])
-        d[(np.arange(e)[None, :] >= np.arange(s, e)[:, None]) | (groups[s:e, None] == groups[None, :e])] = 999
+        d[ids[None, :e] >= ids[s:e, None]] = 999
         for b in bands:
             d[np.bitwise_count(b[s:e, None] ^ b[None, :e]) <= 2] = 999
-        n = (d <= BITS).sum(1)
-        i, j = np.nonzero((d <= BITS) & (n <= nearest)[:, None])
-        out += zip([anchor] * len(i), ids[s + i].tolist(), ids[j].tolist(), [0] * len(i), strict=True)
-        many = np.flatnonzero(n > nearest)
-        if len(many):
-            at = d[many].argmin(1)[:, None] if nearest == 1 else np.argpartition(d[many], nearest - 1, axis=1)[:, :nearest]
-            out += zip([anchor] * at.size, np.repeat(ids[s + many], nearest).tolist(), ids[at.ravel()].tolist(), [1] * at.size, strict=True)
+        at = d.argmin(1)
+        i = np.flatnonzero(d[np.arange(e - s), at] <= BITS)
+        out += zip(ids[s + i].tolist(), ids[at[i]].tolist(), strict=True)
     return out
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) whose texts' five-word shingles have a Jaccard similarity of at least SIMILAR."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    words = texts.select("id", words_of(ascii_lower(F.col("text"))).alias("w"))  # a column of its own: a lambda would split the text for every shingle
-    sets = stage(words.select("id", F.array_distinct(shingle_hashes(F.col("w"), WORDS)).alias("s")).dropDuplicates(["id"]), "near-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+def anchor_pairs(texts: DataFrame, sample: int = HOT_SAMPLE) -> DataFrame:
+    """Pairs (a, b), a > b, of texts that are close in bits. texts: rep, fa, fb. The sample decides the blocks' number only."""
+    at = texts.select(F.explode(band_anchors(F.col("fa"), F.col("fb"))).alias("anchor"), "fa", "fb", "rep")
+    counted = at.where(F.pmod(F.xxhash64("rep"), F.lit(sample)) == 0).groupBy("anchor").agg((F.count("*") * sample).alias("size"))
+    hot = stage(counted.where(F.col("size") > BLOCK).select("anchor", F.ceil(F.col("size") / BLOCK).alias("salts")), "near-hot-anchors")
+    salt = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("salts"))
+    dealt = at.join(hot, "anchor", "left").select(F.col("anchor"), F.coalesce(salt, F.lit(0)).alias("salt"), "fa", "fb", "rep")
+    first = at.join(hot, "anchor").groupBy("anchor").agg(F.min(F.struct("rep", "fa", "fb")).alias("f"), F.first("salts").alias("salts"))
+    first = first.select("anchor", "f.*", F.col("salts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).where(F.col("salt") != salt)
+    rows = dealt.unionByName(first.select("anchor", "salt", "fa", "fb", "rep")).select((F.col("anchor") + F.col("salt") * (1 << 33)).alias("key"), "fa", "fb", "rep")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_per_anchor(nearest_smaller), "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs (a, b) whose texts' five-word shingles have a Jaccard similarity of at least SIMILAR. Only texts of pairs are read into sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    which = stage(texts.join(ids, "rep").select("rep", "k1", "k2"), "near-which")
+    sets = stage(shingle_sets(docs, which, id_col, text_col), "near-sets", "lz4")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-    return shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n")) - 1e-9).select("a", "b")
+    return shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n")) - _EPS).select("a", "b")
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Hashes of a text's distinct five-word shingles, sorted; none for fewer words (such texts are similar only if equal)."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    n = len(words) - WORDS + 1
-    if n < 1:
-        return np.array([], np.int64)
-    h, s = np.array([xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64), np.zeros(n, np.uint64)
-    for k in range(WORDS):
-        s = (s ^ h[k : k + n]) * _MIX
-        s ^= s >> np.uint64(29)
-    return np.unique(s.view(np.int64))
+def _prefix(n: Column, share: float) -> Column:
+    return n - F.ceil(F.lit(share) * n - F.lit(_EPS)) + 1
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep IS NOT NULL")
-
-
-def hot_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample, sorted, and the place of each in the order from rare to frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b""))], ["token"])
+def prefix_pairs(prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of different groups that may be similar: none that is similar is left out.
 
-    sample = _texts(docs, id_col, text_col).where(F.pmod(F.xxhash64("rep"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(run, "token long")
-    top = sample.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).select("token").collect()
-    hot = np.array([r.token for r in reversed(top)], dtype=np.int64)
-    order = np.argsort(hot)
-    return hot[order], order
-
-
-def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (rep, n, tokens): number of distinct shingles and the first of them in the common order."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, id_col, text_col))
-
-    def one(s: np.ndarray, hot: np.ndarray, place: np.ndarray) -> np.ndarray:
-        need = len(s) - int(np.ceil(SIMILAR * len(s) - 1e-9)) + 1 if len(s) else 0
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-            late = hot[at] == s
-            s = np.concatenate([s[~late], s[late][np.argsort(place[at[late]])]])
-        return s[:need]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-            tokens = pa.array([one(s, *sent.value) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), tokens], ["rep", "n", "tokens"])
-
-    return _texts(docs, id_col, text_col).mapInArrow(run, "rep long, n long, tokens array<long>")
-
-
-def prefix_pairs(docs: DataFrame, reps: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b), a > b, of different groups that may be similar: none that is similar is left out."""
-    named = reps.select("rep").distinct().join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    held = prefixes(docs, id_col, text_col).where("n > 0").join(named, "rep").select("rep", "component", "n", F.posexplode("tokens").alias("at", "token"))
-    held = stage(held, "near-prefixes")
+    prints: rep, n, tokens and the parities, one row a text; groups: node, component of texts not alone in theirs.
+    """
+    held = prints.select("rep", "tokens").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    held = held.select("rep", F.coalesce("component", "rep").alias("component"), F.posexplode("tokens").alias("at", "token"))
     shared = stage(held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "near-shared")
-    held = stage(held.join(shared, "token"), "near-shared-prefixes")
-    x, y = (held.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "at"))) for side in "xy")
+    held = stage(held.join(small(shared), "token"), "near-shared-prefixes")
+    sizes = held.groupBy("token", "component").count()
+    largest = sizes.groupBy("token").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
+    split = held.join(largest, "token").withColumn("other", F.col("component") != F.col("largest")).drop("largest")
+    held = stage(split.join(prints.select("rep", "n", *_PARITY), "rep"), "near-split-prefixes")
+    x, y = (held.select("token", *(F.col(c).alias(f"{c}_{side}") for c in held.columns if c != "token")) for side in "xy")
+    y = y.where(F.col("at_y") < _prefix(F.col("n_y"), 2 * SIMILAR / (1 + SIMILAR)))
     rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))  # the most they can share if this is their first common shingle
-    fits = (F.col("rep_x") > F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (rest >= SIMILAR * (F.col("n_x") + F.col("n_y") - rest) - 1e-9)
-    return x.join(y, "token").where(fits).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
-
-
-def similar_groups(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (node, component) of what similar pairs connect. reps: staged rows (rep, fa, fb, n), one a distinct text."""
-    prints, nearest, groups, links, tested, anchors_left = reps.where("n > 0"), 1, None, None, None, None
-    while True:
-        now = prints.withColumn("component", F.col("rep")) if groups is None else prints.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        at = now.select(F.explode(band_anchors(F.col("fa"), F.col("fb"))).alias("anchor"), "fa", "fb", "rep", "component")
-        if anchors_left is not None:
-            at = at.join(anchors_left, "anchor", "left_semi")
-        of = _per_anchor(lambda anchor, *cols, k=nearest: nearest_smaller(anchor, *cols, nearest=k), ("anchor", "a", "b", "more"))
-        found = stage(at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(of, "anchor long, a long, b long, more long"), "near-pairs")
-        pairs = found.select("a", "b").distinct()
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-untested")
-        good = stage(similar_pairs(docs, pairs, id_col, text_col), "near-links")
-        links, tested = (good, pairs) if links is None else (links.unionByName(good), tested.unionByName(pairs))
-        groups = components(links)
-        anchors_left = found.where("more = 1").select("anchor").distinct()
-        if anchors_left.isEmpty():
-            break
-        nearest *= 2
-    pairs = stage(prefix_pairs(docs, reps, groups, id_col, text_col).join(tested, ["a", "b"], "left_anti"), "near-exact")
-    return components(links.unionByName(similar_pairs(docs, pairs, id_col, text_col)))
+    after = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") > F.col("rep_y")))
+    both = F.col("n_x") + F.col("n_y")
+    bits = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in _PARITY), F.lit(0))
+    fits = after & (F.col("component_x") != F.col("component_y")) & (rest >= SIMILAR * (both - rest) - _EPS) & (bits <= (1 - SIMILAR) / (1 + SIMILAR) * both + _EPS)
+    met = x.where("other_x").join(y, "token").where(fits).unionByName(x.where("NOT other_x").join(y.where("other_y"), "token").where(fits))
+    return met.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, prints: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (node, component) of what similar pairs connect. prints: staged rows of text_prints with a row number; texts: staged rows (rep, row, k1, k2), one a distinct text."""
+    of_texts = prints.where("n > 0").join(texts.select("rep", "row"), "row")
+    near = stage(anchor_pairs(of_texts.select("rep", "fa", "fb"), HOT_SAMPLE), "near-pairs")
+    groups = stage(components(similar_pairs(near, docs, texts, id_col, text_col)), "near-groups")
+    far = stage(prefix_pairs(of_texts.select("rep", "n", "tokens", *_PARITY), groups).join(near, ["a", "b"], "left_anti"), "near-exact")
+    more = similar_pairs(far, docs, texts, id_col, text_col)
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, component_id) of documents that are not the smallest of their group. Texts of equal words are copies; so are all without words."""
-    prints = stage(word_fingerprints(docs, id_col, text_col).where("doc_id IS NOT NULL"), "near-prints")
-    reps = stage(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("fa").alias("fa"), F.max("fb").alias("fb"), F.max("n").alias("n")), "near-reps")
-    labels = similar_groups(docs, reps, id_col, text_col)
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, ["k1", "k2"]).where("doc_id <> component_id").select("doc_id", "component_id")
+    """Rows (doc_id, component_id) of documents that are not the smallest of their group. Texts of equal words are copies; so are all without words.
+
+    Rows with a null id are in no group; several texts under one id count as one document, for which the first that was written stands.
+    """
+    prints = stage(text_prints(docs, id_col, text_col, hot_shingles(docs, id_col, text_col, HOT_SAMPLE)).withColumn("row", F.monotonically_increasing_id()), "near-prints")
+    keys = stage(prints.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("rep"), "m.row"), "near-keys")
+    texts = stage(keys.groupBy("rep").agg(F.min(F.struct("row", "k1", "k2")).alias("t")).select("rep", "t.*"), "near-texts")
+    labels = similar_groups(docs, prints, texts, id_col, text_col)
+    named = keys.join(labels, keys["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).where("doc_id <> component_id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies of a document that has a smaller id."""
-    gone = stage(near_copies(docs, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = fresh(docs.columns, "gone")
+    gone = stage(near_copies(docs, id_col, text_col).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
