@@ -2,14 +2,15 @@
 
 Features: which character n-grams (lengths in GRAMS, lower-cased, white space as one blank) a text holds, hashed to
 2**HASH_BITS buckets. r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), from the numbers p and q of toxic and other
-training texts that hold a bucket. The FEATURES buckets of largest |r| * sqrt(texts) with at least MIN_TEXTS texts are kept; on
-them, with value r where held, Spark's logistic regression is trained. A score is its probability for the whole text.
+training texts that hold a bucket. The FEATURES buckets whose shares among toxic and other texts differ most (in standard errors), with at
+least MIN_TEXTS texts, are kept; on them, with value r where held, Spark's logistic regression is trained, both labels weighing the same. A
+score is its probability for the whole text, so it is that of label 1 where both labels are equally frequent.
 
-Training uses at most about TRAIN_PER_LABEL rows a label, by hash of the id (a documented bound); the intercept is then set back
-to the labels' true shares. Counts are summed by bucket. The model is FEATURES weights.
+Training uses at most about TRAIN_PER_LABEL rows a label, by hash of the id (a documented bound). Counts are summed by bucket.
+The model is FEATURES weights.
 
 Cases: null or empty text has no feature and gets the score of the intercept; without both labels in training every score is
-the share of label 1 (0 where there is no label at all); of several labels of one document the greatest counts; null labels and
+the share of label 1 (0 where there is no label at all, 0.5 where the drawn rows have one label only); of several labels of one document the greatest counts; null labels and
 labels of no document do nothing; repeated rows get equal rows; an empty table gives none; whole texts count.
 """
 
@@ -28,29 +29,27 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-GRAMS = (3, 4, 5)
+GRAMS = (4, 5, 6, 7)
 HASH_BITS = 20
 FEATURES = 4096
 MIN_TEXTS = 5
 TRAIN_PER_LABEL = 8000
 CUT = 0.7
-REGULARIZATION = 1e-5
+REGULARIZATION = 1e-4
 MAX_ITERATIONS = 100
 FOLDS = 3
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def buckets(text: str) -> np.ndarray:
     """The hash bucket of each n-gram, repeats included."""
     c = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    out = []
-    for n in GRAMS:
-        if len(c) >= n:
-            h = np.full(len(c) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = (h ^ c[k : len(c) - n + 1 + k]) * _ODD[k]
-                h ^= h >> np.uint64(29)
-            out.append((h * _ODD[0]) >> np.uint64(64 - HASH_BITS))
+    h, out = np.zeros(len(c), np.uint64), []
+    for n in range(1, min(max(GRAMS), len(c)) + 1):  # the hash of an n-gram goes on from that of its first n - 1 characters
+        h = (h[: len(c) - n + 1] ^ c[n - 1 :]) * _ODD
+        h ^= h >> np.uint64(29)
+        if n in GRAMS:
+            out.append(((h + np.uint64(n)) * _ODD) >> np.uint64(64 - HASH_BITS))
     return np.concatenate(out).astype(np.int64) if out else np.array([], np.int64)
 
 
@@ -95,14 +94,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
     sample = stage(docs.join(F.broadcast(taken), "id").select("label", F.coalesce("text", F.lit("")).alias("text")), "toxicity-sample")
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(n) < 2:
-        return Model(none, np.zeros(0), math.log(sizes[1] / sizes[0]))
+        return Model(none, np.zeros(0), 0.0)
 
     counts = _counts(sample).where(F.col("p") + F.col("q") >= MIN_TEXTS)
     ratio = F.log((F.col("p") + 1) / F.lit(n[1] + 2.0)) - F.log((F.col("q") + 1) / F.lit(n[0] + 2.0))
-    weight = F.abs("r") * F.sqrt(F.col("p") + F.col("q"))
+    pooled = (F.col("p") + F.col("q")) / F.lit(float(n[1] + n[0]))
+    spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * F.lit(1 / n[1] + 1 / n[0]))
+    weight = F.abs(F.col("p") / F.lit(n[1]) - F.col("q") / F.lit(n[0])) / spread
     picked = counts.withColumn("r", ratio).select("bucket", "r", weight.alias("w")).orderBy(F.desc("w"), "bucket").limit(FEATURES).collect()
     if not picked:
-        return Model(none, np.zeros(0), math.log(sizes[1] / sizes[0]))
+        return Model(none, np.zeros(0), 0.0)
     r = np.array([x["r"] for x in picked])
     slots = none.copy()
     slots[[x["bucket"] for x in picked]] = np.arange(len(picked))
@@ -113,10 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
         held = np.unique(at[at >= 0])
         return Vectors.sparse(len(r), held, r[held])
 
-    rows = sample.select(F.col("label").cast("double").alias("label"), vector("text").alias("features"))
-    fitted = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=REGULARIZATION, standardization=False).fit(rows)
-    prior = math.log(sizes[1] / sizes[0]) - math.log(n[1] / n[0])
-    return Model(slots, fitted.coefficients.toArray() * r, float(fitted.intercept) + prior)
+    weigh = F.when(F.col("label") == 1, n[0] / n[1]).otherwise(1.0).alias("weight")
+    rows = sample.select(F.col("label").cast("double").alias("label"), weigh, vector("text").alias("features"))
+    fitted = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=REGULARIZATION, standardization=False, weightCol="weight").fit(rows)
+    return Model(slots, fitted.coefficients.toArray() * r, float(fitted.intercept))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
