@@ -6,11 +6,11 @@ language's profile lacks counts TOP. The nearest language wins, the first in ord
 score is 1 - distance / largest possible distance.
 
 Training: at most about TRAIN_PER_LANGUAGE rows a language, by hash of the id (a documented bound); counts are summed
-by (language, n-gram) with a map-side sum. Profiles are TOP rows a language, and languages at most MAX_LANGUAGES,
-the most frequent; so what tasks get is bounded.
+by (language, n-gram) with a map-side sum. Every language is learned; a profile is TOP numbers. Tasks get the profiles in blocks of
+BLOCK languages: a text's nearest language so far goes on from block to block, so what one task holds is bounded.
 
 Cases: null text, and text without a letter, is "und" with score 0; so is all if nothing was learned; repeated rows get equal rows; rows with a
-null id are predicted and not learned from; an empty table gives none; whole texts count, however long.
+null id are predicted and not learned from; an empty table gives none; whole texts count, however long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import stage, table
 
 TOP = 300
 TRAIN_PER_LANGUAGE = 2000
-MAX_LANGUAGES = 200
+BLOCK = 200
 FOLDS = 5
 
 
@@ -58,13 +58,10 @@ def profile(text: str, top: int = TOP) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP, per_language: int = TRAIN_PER_LANGUAGE) -> dict[str, np.ndarray]:
     """Language -> its profile, from rows with a language and an id."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return {}
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))))
+    sizes = stage(rows.groupBy("lang").agg(F.count("*").alias("size")), "language-sizes")
     # The id's hash as a number from 0 to 1.
     chance = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003)
-    sample = rows.where(chance < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    sample = rows.join(sizes, "lang").where(chance < F.lit(float(per_language)) / F.col("size")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,32 +80,43 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {lang: np.array(g, np.int64) for lang, g in out.items()}
 
 
-def nearest(text: str, names: list[str], keys: list[np.ndarray], ranks: list[np.ndarray], top: int = TOP) -> tuple[str, float]:
+def nearest(text: str, names: list[str], keys: list[np.ndarray], ranks: list[np.ndarray], top: int = TOP, known: tuple[str, float] = ("und", 0.0)) -> tuple[str, float]:
+    """The nearest of names and its score, or what is known of names before these if none is nearer."""
     own = profile(text, top)
     if not names or not (own >> 60 == 1).any():
-        return "und", 0.0
+        return known
     at, best = np.arange(len(own)), (np.inf, 0)
     for i, (k, r) in enumerate(zip(keys, ranks, strict=True)):
         j = np.minimum(np.searchsorted(k, own), len(k) - 1)
         d = int(np.where(k[j] == own, np.abs(r[j] - at), top).sum())
         best = min(best, (d, i))
-    return names[best[1]], 1.0 - best[0] / (top * len(own))
+    score = 1.0 - best[0] / (top * len(own))
+    return (names[best[1]], score) if known[0] == "und" or score > known[1] else known
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", top: int = TOP) -> DataFrame:
     """docs' other columns, lang_pred and score. docs must hold the text and columns to carry, no others."""
-    names = sorted(profiles)
-    order = [np.argsort(profiles[n]) for n in names]
-    keys, ranks = [profiles[n][o] for n, o in zip(names, order, strict=True)], order
     carried = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", lang_pred string, score double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried) + f"`{text_col}` string, lang_pred string, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [nearest(t or "", names, keys, ranks, top) for t in b.column(len(carried)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(carried))] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [f.name for f in carried] + ["lang_pred", "score"])
+    def over(names: list[str]):
+        order = [np.argsort(profiles[n]) for n in names]
+        keys, ranks = [profiles[n][o] for n, o in zip(names, order, strict=True)], order
+        at = len(carried)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                known = zip(b.column(at + 1).to_pylist(), b.column(at + 2).to_pylist(), strict=True)
+                found = [nearest(t or "", names, keys, ranks, top, k) for t, k in zip(b.column(at).to_pylist(), known, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at + 1)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*b.schema.names])
 
-    return docs.select(*(f"`{f.name}`" for f in carried), text_col).mapInArrow(run, schema)
+        return run
+
+    out = docs.select(*(f"`{f.name}`" for f in carried), F.col(text_col).cast("string").alias(text_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    names = sorted(profiles)
+    for i in range(0, len(names), BLOCK):
+        out = out.mapInArrow(over(names[i : i + BLOCK]), schema)
+    return out.drop(text_col)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
