@@ -2,6 +2,10 @@
 and returns the columns of documents; the last returns packed pieces. run() writes and rereads between stages.
 
 n_chars follows the text where a stage rewrites it.
+
+Cases, for every stage: null and empty texts are texts without words (the first stage rejects them); rows with a null id pass as documents
+that are nobody's copy; repeated rows each meet the same fate, as copies of one document; an empty table gives none; further columns are
+carried, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permulocus.llm import decontaminate, line_dedup, packing, quality, simhash
-from permulocus.llm.common import stage, table
+from permulocus.llm.common import fresh, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: lines that an earlier document holds go; the document stays, with what is left of it."""
-    out = line_dedup.dedup_lines(docs)
-    changed = F.col("__ld_n_dropped") > 0
-    put = {"text": F.when(changed, F.col("__ld_kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("__ld_kept").cast("long")).otherwise(F.col("n_chars"))}
+    p = fresh(docs.columns, "ld_")
+    out = line_dedup.dedup_lines(docs, prefix=p)
+    changed, kept = F.col(f"{p}n_dropped") > 0, F.col(f"{p}kept")
+    put = {"text": F.when(changed, kept).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*(put[c].alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns))
 
 
