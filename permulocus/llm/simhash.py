@@ -154,8 +154,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #   n - ceil(2 * SIMILAR / (1 + SIMILAR) * n) + 1 of the other (n: a text's shingles), as at least the rest of each must be common;
 # * only shingles of two groups are joined. For each, the group with most texts there is never joined to itself: its texts meet those of the
 #   others only. So a large group costs rows in proportion to itself;
-# * a pair is compared in full if the sizes, what is left of both texts from that shingle on, and the parities allow the similarity: each text
+# * a pair goes on if the sizes, what is left of both texts from that shingle on, and the parities allow the similarity: each text
 #   has PARITIES bits, each the parity of how many of its shingles fall on it, and two texts differ in at least as many shingles as bits.
+#
+# All pairs, of either search, then pass the same test with WIDE_PARITIES bits, so that sets of shingles are made and moved for few of them.
 
 BANDS = 4
 BITS = 26
@@ -165,6 +167,7 @@ WORDS = 5
 HOT_SHINGLES = 100_000
 HOT_SAMPLE = 16
 PARITIES = 256
+WIDE_PARITIES = 2048
 _PARITY = tuple(f"p{i}" for i in range(PARITIES // 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EPS = 1e-9
@@ -220,7 +223,7 @@ def first_shingles(s: np.ndarray, hot: np.ndarray, place: np.ndarray) -> np.ndar
 
 
 def text_prints(docs: DataFrame, id_col: str, text_col: str, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (doc_id, k1, k2, fa, fb, p0.., n, tokens): a 128-bit key of the text's words in order, the fingerprint's halves, parities, number of shingles and the first of them."""
+    """Rows (doc_id, k1, k2, fa, fb, p0.., n, tokens): a 128-bit key of the text's words in order, the fingerprint's halves, parities, number of shingles, the first of them, more parities."""
     names = ("k1", "k2", "fa", "fb", *_PARITY)
     sent = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_SHINGLES pairs of numbers at most
 
@@ -238,8 +241,9 @@ def text_prints(docs: DataFrame, id_col: str, text_col: str, hot: tuple[np.ndarr
         second = distinct * _MIX
         second = (second ^ (second >> np.uint64(32))) * _MIX
         s = shingle_set(h)
-        parity = np.packbits((np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1).astype(bool), bitorder="little").view("<u8")
-        return (xxh64_intdigest(whole, 1), xxh64_intdigest(whole, 2), majority(distinct), majority(second ^ (second >> np.uint64(29))), *parity.tolist()), len(s), first_shingles(s, *sent.value)
+        wide = (np.bincount(s & (WIDE_PARITIES - 1), minlength=WIDE_PARITIES) & 1).astype(bool)
+        parity = np.packbits(np.bitwise_xor.reduce(wide.reshape(-1, PARITIES), axis=0), bitorder="little").view("<u8")
+        return (xxh64_intdigest(whole, 1), xxh64_intdigest(whole, 2), majority(distinct), majority(second ^ (second >> np.uint64(29))), *parity.tolist()), len(s), first_shingles(s, *sent.value), np.packbits(wide, bitorder="little").view("<i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -248,11 +252,11 @@ def text_prints(docs: DataFrame, id_col: str, text_col: str, hot: tuple[np.ndarr
                 rows = [one(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
                 keys = np.array([r[0] for r in rows], dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array(keys[:, i]) for i in range(len(names))), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-                    ["doc_id", *names, "n", "tokens"],
+                    [b.column(0), *(pa.array(keys[:, i]) for i in range(len(names))), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (2, 3))],
+                    ["doc_id", *names, "n", "tokens", "wide"],
                 )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in names) + "n long, tokens array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in names) + "n long, tokens array<long>, wide array<long>")
 
 
 def shingle_sets(docs: DataFrame, which: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -322,8 +326,19 @@ def anchor_pairs(texts: DataFrame, sample: int = HOT_SAMPLE) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_per_anchor(nearest_smaller), "a long, b long").distinct()
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) whose texts' five-word shingles have a Jaccard similarity of at least SIMILAR. Only texts of pairs are read into sets."""
+def _most_different(sizes: Column) -> Column:
+    """How many shingles may be in one text of a similar pair only, if both have so many together."""
+    return (1 - SIMILAR) / (1 + SIMILAR) * sizes + _EPS
+
+
+def similar_pairs(pairs: DataFrame, prints: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs (a, b) whose texts' five-word shingles have a Jaccard similarity of at least SIMILAR. Only texts of pairs that parities allow are read into sets.
+
+    prints: rep, n, wide.
+    """
+    a, b = (prints.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"w{side}")) for side in "ab")
+    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = stage(pairs.join(a, "a").join(b, "b").where(bits <= _most_different(F.col("na") + F.col("nb"))).select("a", "b"), "near-likely")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     which = stage(texts.join(ids, "rep").select("rep", "k1", "k2"), "near-which")
     sets = stage(shingle_sets(docs, which, id_col, text_col), "near-sets", "lz4")
@@ -355,7 +370,7 @@ def prefix_pairs(prints: DataFrame, groups: DataFrame) -> DataFrame:
     after = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") > F.col("rep_y")))
     both = F.col("n_x") + F.col("n_y")
     bits = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in _PARITY), F.lit(0))
-    fits = after & (F.col("component_x") != F.col("component_y")) & (rest >= SIMILAR * (both - rest) - _EPS) & (bits <= (1 - SIMILAR) / (1 + SIMILAR) * both + _EPS)
+    fits = after & (F.col("component_x") != F.col("component_y")) & (rest >= SIMILAR * (both - rest) - _EPS) & (bits <= _most_different(both))
     met = x.where("other_x").join(y, "token").where(fits).unionByName(x.where("NOT other_x").join(y.where("other_y"), "token").where(fits))
     return met.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
 
@@ -364,9 +379,10 @@ def similar_groups(docs: DataFrame, prints: DataFrame, texts: DataFrame, id_col:
     """Rows (node, component) of what similar pairs connect. prints: staged rows of text_prints with a row number; texts: staged rows (rep, row, k1, k2), one a distinct text."""
     of_texts = prints.where("n > 0").join(texts.select("rep", "row"), "row")
     near = stage(anchor_pairs(of_texts.select("rep", "fa", "fb"), HOT_SAMPLE), "near-pairs")
-    groups = stage(components(similar_pairs(near, docs, texts, id_col, text_col)), "near-groups")
+    wide = of_texts.select("rep", "n", "wide")
+    groups = stage(components(similar_pairs(near, wide, docs, texts, id_col, text_col)), "near-groups")
     far = stage(prefix_pairs(of_texts.select("rep", "n", "tokens", *_PARITY), groups).join(near, ["a", "b"], "left_anti"), "near-exact")
-    more = similar_pairs(far, docs, texts, id_col, text_col)
+    more = similar_pairs(far, wide, docs, texts, id_col, text_col)
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
