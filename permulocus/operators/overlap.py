@@ -1,9 +1,10 @@
 """Counting and summing over overlaps of intervals.
 
 Every overlap predicate used here is a difference of two prefix sums over variants' starts or ends, so counts never list pairs.
-Prefix sums are made in two levels, within buckets of BUCKET positions and over bucket totals; a bucket has
-at most BUCKET different positions, since equal positions are summed up before. So neither a long chromosome nor a hot position
-lands in one task. Pairs, where they are wanted, come from a bucketed equi-join.
+Points are summed up by position first, with map-side combine, then made a table with one row a bucket of positions: its different positions, sorted,
+and the running totals there. Regions find their bucket's row by an equi-join and their place in it by bisection. So regions are never
+exploded, made distinct or grouped again; where the table is small, Spark broadcasts it and they are not shuffled at all, else adaptive execution
+splits a hot bucket. Neither a long chromosome nor a hot position lands in one task. Pairs, where they are wanted, come from a bucketed equi-join.
 """
 
 from __future__ import annotations
@@ -12,7 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.staging import written
+
 BUCKET = 1 << 14
+#: Positions that a bucket of prefix sums holds on average.
+FILL = 32
 
 #: predicate -> the two terms (side of variants, position below which to sum), taken as first less second.
 #: count: v.start < end and v.end >= start; point: start < v.end <= end; up: start <= v.start <= end;
@@ -37,71 +42,128 @@ def condition(predicate: str, v_start: Column, v_end: Column, start: Column, end
     }[predicate]
 
 
-def prefix_sums(points: DataFrame, probes: DataFrame, keys: list[str], sums: list[str], bucket: int = BUCKET) -> DataFrame:
-    """probes' distinct (keys, x) with, for each of sums, the total over points of equal keys and smaller x (0 if none).
+def fresh(columns: list[str], name: str) -> str:
+    """A beginning of names that no column begins with (upper and lower case are the same to Spark)."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
+
+def prefix_table(points: DataFrame, keys: list[str], sums: list[str], fill: int = FILL, bucket: int | None = None) -> tuple[DataFrame, int, int]:
+    """Rows (keys, bucket, xs, sums): a bucket's different positions, rising, and for each of sums one running total more than those,
+    the first that of all smaller buckets. Also a bucket's width and the last bucket's number.
 
-    Both have keys (nulls match nothing) and x, a whole number.
+    points: keys (rows with a null among them or in x match nothing), x, a whole number, and sums. A row is there for every bucket from a key's first on. The width makes
+    about fill positions a bucket, so these rows are about points / fill at most; it is no part of results. bucket: another width.
     """
-    at = points.groupBy(*keys, "x").agg(*(F.sum(c).cast(points.schema[c].dataType).alias(c) for c in sums)).withColumn("probe", F.lit(0))
-    ask = probes.select(*keys, "x").distinct().select(*keys, "x", *(F.lit(0).cast(points.schema[c].dataType).alias(c) for c in sums), F.lit(1).alias("probe"))
-    rows = at.unionByName(ask).withColumn("bucket", F.floor(F.col("x") / bucket))
-    totals = rows.groupBy(*keys, "bucket").agg(*(F.sum(c).alias(f"t_{c}") for c in sums))
-    before = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select(*keys, "bucket", *(F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in sums))
-    # At equal positions the probe (1) comes before the point (0): only smaller positions count.
-    within = W.partitionBy(*keys, "bucket").orderBy("x", F.desc("probe")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = rows.select(*keys, "bucket", "x", "probe", *(F.sum(c).over(within).alias(f"l_{c}") for c in sums)).where("probe = 1")
-    out = local.join(base, [*keys, "bucket"])
-    return out.select(*keys, "x", *((F.col(f"l_{c}") + F.col(f"b_{c}")).cast(points.schema[c].dataType).alias(c) for c in sums))
-
-
-def overlap_sums(regions: DataFrame, variants: DataFrame, predicate: str = "count", weights: list[str] | None = None, by: list[str] | None = None, bucket: int = BUCKET) -> DataFrame:
+    known = points.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "x"]))
+    at = written(known.groupBy(*keys, "x").agg(*(F.sum(c).alias(c) for c in sums)), "points")
+    spans = at.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("x") - F.min("x") + 1).alias("span"), F.max("x").alias("last"))
+    all_of = spans.agg(F.sum("n").alias("n"), F.sum("span").alias("span"), F.max("last").alias("last")).first()
+    width = bucket or max(1, fill * (all_of.span or 0) // (all_of.n or 1))
+    last = (all_of.last or 0) // width
+    rows = at.withColumn("bucket", F.floor(F.col("x") / width))
+    upto = W.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = rows.select(*keys, "bucket", F.struct("x", *(F.sum(c).over(upto).alias(c) for c in sums)).alias("p"))
+    local = local.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    by_key = W.partitionBy(*keys).orderBy("bucket")
+    totals = local.select(*keys, "bucket", F.element_at("p", -1).alias("t"))
+    before = by_key.rowsBetween(W.unboundedPreceding, -1)
+    base = totals.select(*keys, "bucket", F.lead("bucket", 1, last + 1).over(by_key).alias("next"), *(F.coalesce(F.sum(f"t.{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in sums), *(F.col(f"t.{c}").alias(f"t_{c}") for c in sums))
+    dense = base.select(*keys, F.col("bucket").alias("own"), F.explode(F.sequence("bucket", F.col("next") - 1)).alias("bucket"), *(F.col(f"{x}_{c}") for x in "bt" for c in sums))
+    dense = dense.select(*keys, "bucket", *((F.col(f"b_{c}") + F.when(F.col("bucket") > F.col("own"), F.col(f"t_{c}")).otherwise(0)).alias(f"b_{c}") for c in sums))
+    table = dense.join(local, [*keys, "bucket"], "left")
+    running = [F.concat(F.array(F.col(f"b_{c}")), F.coalesce(_plus(F.col(f"p.{c}"), F.col(f"b_{c}")), F.array())).alias(c) for c in sums]
+    return written(table.select(*keys, "bucket", F.coalesce("p.x", F.array()).alias("xs"), *running), "prefix"), width, last
+
+
+def _plus(values: Column, base: Column) -> Column:
+    return F.transform(values, lambda v: v + base)
+
+
+def _smaller(xs: Column, x: Column, steps: Column) -> Column:
+    """How many of xs, which rise, are smaller than x: bisection, steps being falling powers of two."""
+    return F.aggregate(steps, F.lit(0), lambda p, step: F.when(F.get(xs, p + step - 1) < x, p + step).otherwise(p))
+
+
+def prefix_sums(regions: DataFrame, table: tuple[DataFrame, int, int], keys: dict[str, Column], asked: dict[str, Column], sums: list[str], name: str) -> DataFrame:
+    """regions with, for each asked position, the totals over smaller ones: columns name + asked's name + "_" + a name of sums."""
+    rows, width, last = table
+    steps = F.array(*(F.lit(1 << i) for i in range(width.bit_length(), -1, -1)))
+    out = regions
+    for ask, x in asked.items():
+        t = rows.select(*(F.col(c).alias(f"{name}t_{c}") for c in rows.columns))
+        on = F.least(F.floor(x / width), F.lit(last)) == F.col(f"{name}t_bucket")
+        for k, v in keys.items():
+            on &= v == F.col(f"{name}t_{k}")
+        out = out.join(t, on, "left").withColumn(f"{name}place", _smaller(F.col(f"{name}t_xs"), x, steps))
+        out = out.select(*(F.col(f"`{c}`") for c in out.columns if not c.startswith(f"{name}t_") and c != f"{name}place"), *(F.coalesce(F.get(f"{name}t_{s}", F.col(f"{name}place")), F.lit(0)).alias(f"{name}{ask}_{s}") for s in sums))
+    return out
+
+
+def overlap_sums(regions: DataFrame, variants: DataFrame, predicate: str = "count", weights: list[str] | None = None, by: list[str] | None = None, bucket: int | None = None) -> DataFrame:
     """regions with n, the number of overlapping variants, and sum_<w>, the total of each weight (null counts 0).
 
     regions and variants: chrom, start, end (start <= end); rows with a null among them are left out. weights: columns of variants that sum exactly (whole numbers, decimals);
-    by: further columns that must be equal (a permutation's number). Regions of equal position share the work.
+    by: further columns that must be equal (a permutation's number). Other columns of regions may have any names but n and sum_<w>.
     """
     weights, keys = weights or [], ["chrom", *(by or [])]
-    terms = PREDICATES[predicate]
-    v = variants.select(*keys, "start", "end", F.lit(1).cast("long").alias("__n"), *(F.coalesce(F.col(w), F.lit(0).cast(variants.schema[w].dataType)).alias(f"__w_{w}") for w in weights))
-    sums = ["__n", *(f"__w_{w}" for w in weights)]
-    sides = F.array(*(F.struct(F.lit(s).alias("s"), F.col(f"`{s}`").alias("x")) for s in sorted({t[0] for t in terms})))
-    points = v.withColumn("__p", F.explode(sides)).select(*keys, F.col("__p.s").alias("__side"), F.col("__p.x").alias("x"), *sums)
-    asked = F.array(*(F.struct(F.lit(t[0]).alias("s"), F.expr(t[1].replace("end", "`end`")).alias("x"), F.lit(sign).alias("sign")) for t, sign in zip(terms, (1, -1), strict=True)))
-    probes = regions.withColumn("__p", F.explode(asked)).withColumns({"__side": F.col("__p.s"), "x": F.col("__p.x"), "__sign": F.col("__p.sign")}).drop("__p")
-    got = prefix_sums(points, probes, [*keys, "__side"], sums, bucket)
-    # Equal rows of regions come together here, and are counted to be given back as often.
-    signed = probes.join(got, [*keys, "__side", "x"]).groupBy(*(F.col(f"`{c}`") for c in regions.columns)).agg(F.count_if(F.col("__sign") == 1).alias("__c"), *(F.sum(F.col(c) * F.col("__sign")).alias(c) for c in sums))
-    once = lambda c, kind: (F.col(c) / F.col("__c")).cast(kind)
-    out = signed.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c"))))
-    return out.select(*(F.col(f"`{c}`") for c in regions.columns), once("__n", "long").alias("n"), *(once(f"__w_{w}", variants.schema[w].dataType).alias(f"sum_{w}") for w in weights))
+    (first_side, first_x), (second_side, second_x) = PREDICATES[predicate]
+    sums = ["n", *(f"w{i}" for i in range(len(weights)))]
+    kinds = ["long", *(variants.schema[w].dataType for w in weights)]
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"`{s}`").alias("x")) for s in sorted({first_side, second_side})))
+    summed = [F.lit(1).cast("long").alias("n"), *(F.coalesce(F.col(f"`{w}`"), F.lit(0).cast(variants.schema[w].dataType)).alias(f"w{i}") for i, w in enumerate(weights))]
+    points = variants.where("`start` IS NOT NULL AND `end` IS NOT NULL").select(*keys, F.explode(sides).alias("p"), *summed).select(*keys, "p.side", "p.x", *sums)
+    table = prefix_table(points, [*keys, "side"], sums, bucket=bucket)
+    name = fresh(regions.columns, "__o")
+    place = lambda x: F.expr(x.replace("end", "`end`"))
+    known = regions.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "start", "end"]))
+    out = known
+    for ask, side, x in (("a", first_side, first_x), ("b", second_side, second_x)):
+        out = prefix_sums(out, table, {k: F.col(f"`{k}`") for k in keys} | {"side": F.lit(side)}, {ask: place(x)}, sums, name)
+    less = lambda s, kind: (F.col(f"{name}a_{s}") - F.col(f"{name}b_{s}")).cast(kind)
+    named = ["n", *(f"sum_{w}" for w in weights)]
+    return out.select(*(F.col(f"`{c}`") for c in regions.columns), *(less(s, kind).alias(c) for s, kind, c in zip(sums, kinds, named, strict=True)))
 
 
 def overlap_pairs(regions: DataFrame, variants: DataFrame, predicate: str = "closed", bucket: int = BUCKET) -> DataFrame:
-    """Each overlapping pair once: regions' columns, then variants' with the prefix v_.
+    """Each overlapping pair once: regions' columns (none may begin with v_), then variants' with the prefix v_.
 
     Both are dealt to all buckets that they touch; a pair is taken in the first bucket that both share.
     """
     touched = lambda s, e: F.sequence(F.floor(s / bucket), F.floor(e / bucket))
-    r = regions.withColumn("__b", F.explode(touched(F.col("start"), F.col("end") + 1)))
-    v = variants.select(*(F.col(f"`{c}`").alias(f"v_{c}") for c in variants.columns)).withColumn("__vb", F.explode(touched(F.col("v_start"), F.col("v_end") + 1)))
-    on = (F.col("chrom") == F.col("v_chrom")) & (F.col("__b") == F.col("__vb")) & condition(predicate, F.col("v_start"), F.col("v_end"), F.col("start"), F.col("end"))
+    own = fresh([*regions.columns, *(f"v_{c}" for c in variants.columns)], "__b")
+    r = regions.withColumn(f"{own}r", F.explode(touched(F.col("start"), F.col("end") + 1)))
+    v = variants.select(*(F.col(f"`{c}`").alias(f"v_{c}") for c in variants.columns)).withColumn(f"{own}v", F.explode(touched(F.col("v_start"), F.col("v_end") + 1)))
+    on = (F.col("chrom") == F.col("v_chrom")) & (F.col(f"{own}r") == F.col(f"{own}v")) & condition(predicate, F.col("v_start"), F.col("v_end"), F.col("start"), F.col("end"))
     first = F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("v_start") / bucket))
-    return r.join(v, on).where(F.col("__b") == first).drop("__b", "__vb")
+    return r.join(v, on).where(F.col(f"{own}r") == first).drop(f"{own}r", f"{own}v")
 
 
 def without_blacklisted(rows: DataFrame, blacklist: DataFrame) -> DataFrame:
     """rows that touch no blacklisted interval (closed predicate)."""
-    return overlap_sums(rows, blacklist, "closed").where("n = 0").drop("n")
+    if "n" not in (c.lower() for c in rows.columns):
+        return overlap_sums(rows, blacklist, "closed").where("n = 0").drop("n")
+    own = next(c for c in rows.columns if c.lower() == "n")  # overlap_sums adds a column of that name
+    name = fresh(rows.columns, "__n")
+    return overlap_sums(rows.withColumnRenamed(own, name), blacklist, "closed").where("n = 0").drop("n").withColumnRenamed(name, own)
 
 
-def interval_means(regions: DataFrame, signal: DataFrame) -> DataFrame:
+def interval_means(regions: DataFrame, signal: DataFrame, bucket: int | None = None) -> DataFrame:
     """regions with mean: signal's average over the bases that it covers, weighted by overlap; 0 where it covers none.
 
-    regions: id and an interval; signal: an interval and value (decimal).
+    regions: an interval; signal: an interval and value (decimal). No pairs are listed: with V(x) and U(x) the sums of value and of value * position over signal's
+    starts below x less those over its ends below x, the signal's sum from 0 to x is x * V(x) - U(x). Its covered bases are that of the value 1.
     """
-    pairs = overlap_pairs(regions, signal, "closed")
-    width = F.least("end", "v_end") - F.greatest("start", "v_start")
-    sums = pairs.select("id", width.alias("w"), "v_value").where("w > 0").groupBy("id").agg(F.sum(F.col("v_value") * F.col("w")).alias("s"), F.sum("w").alias("w"))
-    mean = F.coalesce(F.col("s").cast("double") / F.col("w"), F.lit(0.0))
-    return regions.join(sums, "id", "left").select(*(F.col(f"`{c}`") for c in regions.columns), mean.alias("mean"))
+    exact = "decimal(38,6)"
+    value, start, end = F.col("value").cast(exact), F.col("start"), F.col("end")
+    ends = [F.struct(x.alias("x"), (value * sign).cast(exact).alias("v"), (value * x.cast("decimal(12,0)") * sign).cast(exact).alias("u"), F.lit(sign).cast("long").alias("c"), (x * sign).alias("d")) for x, sign in ((start, 1), (end, -1))]
+    points = signal.where("start IS NOT NULL AND `end` IS NOT NULL AND value IS NOT NULL").select("chrom", F.explode(F.array(*ends)).alias("p")).select("chrom", "p.*")
+    sums, name = ["v", "u", "c", "d"], fresh(regions.columns, "__m")
+    out = prefix_sums(regions, prefix_table(points, ["chrom"], sums, bucket=bucket), {"chrom": F.col("chrom")}, {"a": F.col("start"), "b": F.col("end")}, sums, name)
+    upto = lambda at, x, v, u, kind: (F.col(f"{name}{at}_{v}") * x.cast("decimal(12,0)" if kind == exact else "long")).cast(kind) - F.col(f"{name}{at}_{u}")
+    total = upto("b", F.col("end"), "v", "u", exact) - upto("a", F.col("start"), "v", "u", exact)
+    bases = upto("b", F.col("end"), "c", "d", "long") - upto("a", F.col("start"), "c", "d", "long")
+    mean = F.when(bases > 0, total.cast("double") / bases).otherwise(0.0)
+    return out.select(*(F.col(f"`{c}`") for c in regions.columns), mean.alias("mean"))

@@ -308,7 +308,7 @@ SHORT = (
     CLEAN
     + f"""
 SV AS (SELECT vid, chrom, s % {t.SHORT - 2} + 1 AS s, s % {t.SHORT - 2} + 2 AS e, signal AS extra FROM V),
-SB0 AS (SELECT chrom, s % {t.SHORT - 400} AS s, s % {t.SHORT - 400} + 60 + s % 70 AS e FROM B WHERE s % 5 = 0),
+SB0 AS (SELECT chrom, s % {t.SHORT - 400} AS s, s % {t.SHORT - 400} + 60 + s % 70 AS e FROM B),
 """
     + _merged("SB", "SB0")
     + _tiles("ST", t.SHORT, SHORT_WIDTH)
@@ -339,12 +339,14 @@ def kmer_index_counts(spark, sf_dir):
 
 
 def _drawn(kmer: str, what: str, grp: str = "a.chrom || ':' || a.s", bins: str = "SD", n: int = 4) -> str:
+    """Draws of sites of the same context but the own one; where all are one ('*'), of any."""
+    other = int(kmer != "'*'")
     return f"""
 C0 AS (SELECT {grp} AS grp, q.chrom, q.pos, {kmer} AS kmer FROM {bins} a JOIN Q1 q ON a.chrom = q.chrom AND a.s < q.pos AND q.pos <= a.e WHERE {kmer if kmer != "'*'" else 'q.k1'} NOT LIKE '%N%'),
 C AS (SELECT *, row_number() OVER (PARTITION BY grp, kmer ORDER BY chrom, pos) AS rank, count(*) OVER (PARTITION BY grp, kmer) AS c FROM C0),
-W0 AS (SELECT v.vid, c.grp, c.kmer, c.c, c.rank AS own, unnest(range(1, {n + 1})) AS perm FROM SV v JOIN C c ON c.chrom = v.chrom AND c.pos = v.e WHERE c.c > 1),
-W1 AS (SELECT *, {_u(str(SEED), f"'{what}'", 'vid', 'perm')} % (c - 1) + 1 AS r FROM W0),
-X AS (SELECT W1.vid, W1.perm, C.chrom, C.pos - 1 AS s, C.pos AS e FROM W1 JOIN C ON C.grp = W1.grp AND C.kmer = W1.kmer AND C.rank = W1.r + CASE WHEN W1.r >= own THEN 1 ELSE 0 END),
+W0 AS (SELECT v.vid, c.grp, c.kmer, c.c, c.rank AS own, unnest(range(1, {n + 1})) AS perm FROM SV v JOIN C c ON c.chrom = v.chrom AND c.pos = v.e WHERE c.c > {other}),
+W1 AS (SELECT *, {_u(str(SEED), f"'{what}'", 'vid', 'perm')} % (c - {other}) + 1 AS r FROM W0),
+X AS (SELECT W1.vid, W1.perm, C.chrom, C.pos - 1 AS s, C.pos AS e FROM W1 JOIN C ON C.grp = W1.grp AND C.kmer = W1.kmer AND C.rank = W1.r + CASE WHEN {other} = 1 AND W1.r >= own THEN 1 ELSE 0 END),
 """
 
 
@@ -352,9 +354,9 @@ PERMS = 4
 _X = 'SELECT X.vid, X.perm, X.chrom, X.s AS "start", X.e AS "end", CAST(SV.extra AS DOUBLE) AS extra FROM X JOIN SV ON SV.vid = X.vid'
 
 
-def _permute_short(spark, sf_dir, preserve, k=3, whole=False):
+def _permute_short(spark, sf_dir, preserve, k=3):
     # The plain bins (SHORT_MIN of 1 absorbs none), so that the SQL needs no fold.
-    out = alg.permute_variants(t.short_variants(spark, sf_dir), t.short_blacklist(spark, sf_dir, whole), t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, preserve, k, SEED)
+    out = alg.permute_variants(t.short_variants(spark, sf_dir), t.short_blacklist(spark, sf_dir), t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, preserve, k, SEED)
     return out.withColumn("extra", F.col("extra").cast("double"))
 
 
@@ -387,12 +389,12 @@ def permuted_scores(spark, sf_dir):
     return alg.score(moved, _short_signal(spark, sf_dir)).withColumn("score", F.round("score", 6)).select("vid", "perm", "chrom", "start", "end", "score")
 
 
-SHORT_ANN = f"SA AS (SELECT aid, chrom, s % {t.SHORT - 300} AS s, s % {t.SHORT - 300} + 20 + aid % 80 AS e FROM A WHERE aid % 10 < 5),\n"
+SHORT_ANN = f"SA AS (SELECT aid, chrom, s % {t.SHORT - 300} AS s, s % {t.SHORT - 300} + 20 + aid % 80 AS e FROM A),\n"
 
 
-def _short_annotations(spark, sf_dir, whole=False):
+def _short_annotations(spark, sf_dir):
     start, a = F.col("start") % (t.SHORT - 300), t.annotations(spark, sf_dir)
-    return (a if whole else a.where("aid % 10 < 5")).select("aid", "chrom", start.alias("start"), (start + 20 + F.col("aid") % 80).alias("end"), "name")
+    return a.select("aid", "chrom", start.alias("start"), (start + 20 + F.col("aid") % 80).alias("end"), "name")
 
 
 def _empirical_sql(cols: str) -> str:
@@ -408,10 +410,10 @@ ER AS (SELECT o.aid, o.n_obs, o.sig, p.perm, coalesce(e.n, 0) AS n, coalesce(e.s
     )
 
 
-def _empirical(spark, sf_dir, mode, whole=False):
+def _empirical(spark, sf_dir, mode):
     v = t.short_variants(spark, sf_dir).withColumnRenamed("extra", "signal")
-    moved = alg.permute_variants(v, t.short_blacklist(spark, sf_dir, whole), t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, True, 3, SEED)
-    return alg.empirical_pvalues(v, _short_annotations(spark, sf_dir, whole), t.short_blacklist(spark, sf_dir, whole), moved, mode)
+    moved = alg.permute_variants(v, t.short_blacklist(spark, sf_dir), t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, True, 3, SEED)
+    return alg.empirical_pvalues(v, _short_annotations(spark, sf_dir), t.short_blacklist(spark, sf_dir), moved, mode)
 
 
 @query(_empirical_sql(""))
@@ -429,31 +431,9 @@ def permutation_count(spark, sf_dir):
     return _permute_short(spark, sf_dir, True).select("perm").distinct().agg(F.count("*").alias("n"))
 
 
-# --- the same over all annotations and all blacklist intervals ---
-
-
-def _whole(sql: str) -> str:
-    return sql.replace(" WHERE s % 5 = 0", "").replace(" WHERE aid % 10 < 5", "")
-
-
-@query(_whole(_with(SHORT + _drawn("'*'", "permute0"), _X)))
-def permute_uniform_all(spark, sf_dir):
-    return _permute_short(spark, sf_dir, False, whole=True)
-
-
-@query(_whole(_with(SHORT + _drawn("q.k3", "permute3"), _X)))
-def permute_trimer_all(spark, sf_dir):
-    return _permute_short(spark, sf_dir, True, whole=True)
-
-
-@query(_whole(_with(SHORT + _drawn("q.k5", "permute5"), _X)))
-def permute_pentamer_all(spark, sf_dir):
-    return _permute_short(spark, sf_dir, True, 5, whole=True)
-
-
-@query(_whole(_empirical_sql(f", CAST(sig AS DOUBLE) AS signal_obs, count(*) FILTER (WHERE psig >= sig) / {PERMS} AS signal_p")))
-def empirical_signal_pvalue_all(spark, sf_dir):
-    return _empirical(spark, sf_dir, "p", whole=True).select("aid", "n_obs", "p", F.col("signal_obs").cast("double").alias("signal_obs"), "signal_p")
+# Earlier names of the same queries.
+for _name in ("permute_uniform", "permute_trimer", "permute_pentamer", "empirical_signal_pvalue"):
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
 
 
 # --- covariates, clusters, epochs, simulation ---

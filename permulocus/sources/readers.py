@@ -12,17 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.genome import canonical, is_standard
+from ..functions.staging import written
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        lines = spark.read.text(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise ValueError(f"{path} does not exist") from e
-    if lines.isEmpty():
-        raise ValueError(f"{path} is empty")
+    lines = _found(_read(lambda: spark.read.text(path), path), path)
     return lines.select("value", F.split(F.rtrim("value"), "\t").alias("f"))
 
 
@@ -55,19 +49,48 @@ def signal(spark: SparkSession, path: str) -> DataFrame:
     return _interval(_lines(spark, path), F.get("f", F.lit(3)).try_cast("decimal(18,6)").alias("value")).where("value IS NOT NULL")
 
 
+def _found(df: DataFrame, path: str) -> DataFrame:
+    """df, or ValueError where nothing is there."""
+    if df.isEmpty():
+        raise ValueError(f"{path} is empty")
+    return df
+
+
+def _read(read, path: str) -> DataFrame:
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"{path} does not exist") from e
+
+
 def fasta(spark: SparkSession, folder: str, chunk: int = 1 << 16) -> DataFrame:
     """chrom, chunk_start, bases from {folder}/{chrom}.fa, one header line each; white space is dropped.
 
-    A file is one row while it is cut into chunks, so a chromosome (250 MB at most here) must fit a task.
+    Files are read by lines and split as Spark splits text, so no chromosome is one row or one task: a line's position is the number of bases before
+    it in its block of the file, plus those of earlier blocks. A chunk is the lines that begin in one range of chunk positions, so its length varies by a line.
     """
-    files = spark.read.text(f"{folder}/*.fa", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.fa$", 1).alias("chrom"), "value")
-    bases = files.where(is_standard(F.col("chrom"))).select(canonical(F.col("chrom")).alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s+", "").alias("all"))
-    starts = bases.where("length(all) > 0").select("chrom", "all", F.explode(F.sequence(F.lit(1).cast("long"), F.char_length("all").cast("long"), F.lit(chunk).cast("long"))).alias("chunk_start"))
-    return starts.select("chrom", "chunk_start", F.substr("all", F.col("chunk_start").cast("int"), F.lit(chunk)).alias("bases"))
+    path = f"{folder}/*.fa"
+    text = _read(lambda: spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block")), path)
+    lines = written(_found(text, path).withColumn("i", F.monotonically_increasing_id()), "fasta")
+    in_block = W.partitionBy("file_path", "block").orderBy("i")
+    header = (F.col("block") == 0) & (F.row_number().over(in_block) == 1)
+    bases = lines.select("file_path", "block", "i", header.alias("header"), F.regexp_replace("value", r"\s+", "").alias("b")).where("NOT header").withColumn("n", F.char_length("b").cast("long"))
+    by_file = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = bases.groupBy("file_path", "block").agg(F.sum("n").alias("size")).select("file_path", "block", F.coalesce(F.sum("size").over(by_file), F.lit(0)).alias("before"))
+    at = bases.withColumn("in", F.sum("n").over(in_block) - F.col("n")).join(blocks, ["file_path", "block"]).withColumn("at", F.col("before") + F.col("in")).where("n > 0")
+    name = F.regexp_extract("file_path", r"([^/]+)\.fa$", 1)
+    at = at.withColumn("chrom", name).where(is_standard(F.col("chrom"))).withColumn("chrom", canonical(F.col("chrom")))
+    cut = at.groupBy("chrom", F.floor(F.col("at") / chunk).alias("c")).agg(F.sort_array(F.collect_list(F.struct("at", "b"))).alias("l"))
+    return cut.select("chrom", (F.get("l", F.lit(0))["at"] + 1).alias("chunk_start"), F.array_join(F.col("l.b"), "").alias("bases"))
 
 
 def permutations(spark: SparkSession, folder: str, scored: bool = False) -> DataFrame:
     """perm, chrom, start, end and score or extras from folders perm=1, perm=2, ..."""
-    lines = spark.read.schema("value string, perm int").text(folder).select("perm", F.split("value", "\t").alias("f"))
+    text = _read(lambda: spark.read.text(folder), folder)
+    if "perm" not in text.columns:
+        raise ValueError(f"{folder} has no permutation")
+    lines = _found(text, folder).select(F.col("perm").cast("int").alias("perm"), F.split("value", "\t").alias("f"))
     more = F.get("f", F.lit(3)).try_cast("double").alias("score") if scored else F.slice("f", 4, 1 << 20).alias("extras")
     return _interval(lines, "perm", more)

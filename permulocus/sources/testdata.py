@@ -66,10 +66,9 @@ def short_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vid", "chrom", start.alias("start"), (start + 1).alias("end"), F.col("signal").alias("extra"))
 
 
-def short_blacklist(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Without whole: only intervals whose start divides by five, all of them on chr1."""
+def short_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blacklist intervals on the short contigs."""
     b = blacklist(spark, sf_dir)
-    b = b if whole else b.where(F.col("start") % 5 == 0)
     start = F.col("start") % (SHORT - 400)
     return b.select("chrom", start.alias("start"), (start + 60 + F.col("start") % 70).alias("end"))
 

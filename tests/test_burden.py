@@ -1,5 +1,8 @@
 """Worked examples of each operator, properties, and queries against their SQL."""
 
+import random
+from decimal import Decimal
+
 import duckdb
 import pytest
 from conftest import rows
@@ -163,6 +166,159 @@ def test_files_round_trip(spark, tmp_path):
             readers.variants(spark, str(tmp_path / missing))
 
 
+def test_fasta_over_many_blocks(spark, tmp_path):
+    rng = random.Random(3)
+    want = {}
+    for chrom in ("chr1", "chrMT"):
+        want[chrom.replace("MT", "M")] = bases = "".join(rng.choice("ACGTN") for _ in range(3000))
+        (tmp_path / f"{chrom}.fa").write_text(f">{chrom}\n" + "".join(bases[i : i + 60] + "\n" for i in range(0, len(bases), 60)))
+    (tmp_path / "chr1_random.fa").write_text(">x\nACGT\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        seq = sorted((r.chrom, r.chunk_start, r.bases) for r in readers.fasta(spark, str(tmp_path), chunk=500).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for chrom, bases in want.items():
+        parts = [(at, b) for c, at, b in seq if c == chrom]
+        assert "".join(b for _, b in parts) == bases and len(parts) > 4
+        assert all(bases[at - 1 : at - 1 + len(b)] == b for at, b in parts)
+    assert {c for c, _, _ in seq} == set(want)
+    for missing in ("none", "empty"):
+        (tmp_path / "empty").mkdir(exist_ok=True)
+        with pytest.raises(ValueError):
+            readers.fasta(spark, str(tmp_path / missing))
+        with pytest.raises(ValueError):
+            readers.permutations(spark, str(tmp_path / missing))
+
+
+def test_kmers_over_pieces(spark):
+    rng = random.Random(5)
+    bases = "".join(rng.choice("ACGTNacgt") for _ in range(1500))
+    chunks = [(at, bases[at : at + 600]) for at in range(0, 1500, 600)]
+    seq = spark.createDataFrame([("chr1", at + 1, b) for at, b in chunks], "chrom string, chunk_start long, bases string")
+    for k in (1, 3, 5):
+        want = [(p, bases[p - 1 - k // 2 : p + k // 2].upper()) for p in range(1 + k // 2, 1501 - k // 2)]
+        assert rows(kmers.positions(seq, k), "pos", "kmer") == want
+        near = kmers.positions(seq, k, spark.createDataFrame([("chr1", 300, 310)], IV)).where("pos BETWEEN 301 AND 310")
+        assert rows(near, "pos", "kmer") == [w for w in want if 301 <= w[0] <= 310]
+
+
+@pytest.mark.parametrize("bucket", [None, 1, 7, 1000])
+def test_overlaps_brute_force(spark, bucket):
+    """Ties, repeated rows, nulls, negative positions, clashing names, decimals; and all predicates."""
+    rng = random.Random(6)
+    iv_of = lambda n, far: [(rng.choice(["chr1", "chr2"]), s := rng.randrange(-20, far), s + rng.randrange(0, 40)) for _ in range(n)]
+    r = iv_of(60, 300) * 2 + [("chr3", 1, 5), (None, 1, 5), ("chr1", None, 5), ("chr1", 5, None), ("chr1", 10**9, 10**9 + 5)]
+    v = iv_of(80, 250) * 2 + [("chr1", 40, 41)] * 30 + [(None, 1, 5), ("chr1", None, 7)]
+    reg = spark.createDataFrame([(i, *x) for i, x in enumerate(r)], "__o long, " + IV)
+    var = spark.createDataFrame([(*x, Decimal(i) / 4 if i % 3 else None) for i, x in enumerate(v)], IV + ", __w decimal(18,2)")
+    holds = {
+        "count": lambda s, e, a, b: s < b and e >= a, "point": lambda s, e, a, b: a < e <= b, "up": lambda s, e, a, b: a <= s <= b,
+        "down": lambda s, e, a, b: a <= e <= b, "closed": lambda s, e, a, b: s <= b and e >= a,
+    }
+    for pred, f in holds.items():
+        got = {x[0]: (x.n, x["sum___w"]) for x in overlap.overlap_sums(reg, var, pred, ["__w"], bucket=bucket).collect()}
+        want = {}
+        for i, (c, a, b) in enumerate(r):
+            if None in (c, a, b):
+                continue
+            hit = [j for j, x in enumerate(v) if None not in x and x[0] == c and f(x[1], x[2], a, b)]
+            want[i] = (len(hit), sum((Decimal(j) / 4 for j in hit if j % 3), Decimal(0)))
+        assert got == want, pred
+    assert overlap.overlap_sums(reg, var.limit(0)).where("n = 0").count() == len(r) - 3
+    track = spark.createDataFrame([(*x, Decimal(i)) for i, x in enumerate(v) if None not in x], IV + ", value decimal(18,2)")
+    means = {x[0]: x["mean"] for x in overlap.interval_means(reg, track, bucket).collect()}
+    for i, (c, a, b) in enumerate(r):
+        parts = [(min(b, x[2]) - max(a, x[1]), j) for j, x in enumerate(v) if None not in (*x, c, a, b) and x[0] == c and min(b, x[2]) > max(a, x[1])]
+        assert means[i] == pytest.approx(sum(w * j for w, j in parts) / sum(w for w, _ in parts) if parts else 0), i
+    named = reg.withColumnsRenamed({"__o": "N"})
+    assert rows(overlap.without_blacklisted(named, var), "N") == [(i,) for i, x in enumerate(r) if None not in x and not any(None not in y and y[0] == x[0] and holds["closed"](y[1], y[2], x[1], x[2]) for y in v)]
+
+
+def test_absorb_brute_force(spark):
+    rng = random.Random(8)
+    bins, at = [], 0
+    for _ in range(400):
+        at += rng.choice([0, 0, 0, 3])
+        end = at + rng.choice([1, 2, 5, 9, 30])
+        bins.append([at, end])
+        at = end
+    left, gone = [list(b) for b in bins], [False] * len(bins)
+    for i, (s, e) in enumerate(left):
+        s, e = left[i]
+        if e - s >= 8:
+            continue
+        if i and not gone[i - 1] and left[i - 1][1] == s:
+            left[i - 1][1] = e
+        elif i + 1 < len(left) and left[i + 1][0] == e:
+            left[i + 1][0] = s
+        gone[i] = True
+    want = [tuple(b) for b, g_ in zip(left, gone, strict=True) if not g_]
+    df = spark.createDataFrame([("chr1", 1, *b) for b in bins], "chrom string, ord int, start long, end long")
+    assert rows(intervals.absorb(df, 8), "start", "end") == want
+    assert intervals.absorb(df.limit(0), 8).count() == 0
+
+
+@pytest.mark.parametrize("preserve", [True, False])
+def test_simulation_keeps_its_rules(spark, preserve):
+    """New sites lie in bins of the old site's cluster, have its context where kept, and all other columns stay."""
+    from permulocus.sources import testdata as t
+
+    rng = random.Random(9)
+    genome = t.genome(spark, 2000)
+    seq = {c: "".join(rng.choice("ACGT") for _ in range(2000)) for c in t.CONTIGS}
+    seq_df = spark.createDataFrame([(c, 1, b) for c, b in seq.items()], "chrom string, chunk_start long, bases string")
+    v = spark.createDataFrame([(i, rng.choice(t.CONTIGS), p := rng.randrange(2, 1990), p + 1, f"x{i}") for i in range(60)], "vid long, " + IV + ", alt string")
+    black = spark.createDataFrame([(c, 500, 700) for c in t.CONTIGS], IV)
+    cov = spark.createDataFrame([(c, s, s + 100, Decimal(rng.randrange(4))) for c in t.CONTIGS for s in range(0, 2000, 100)], IV + ", value decimal(18,2)")
+    args = (100, 20, preserve, 3, 3)
+    got = alg.simulate_variants(v, black, genome, seq_df, [cov], 3, *args, seed=1).collect()
+    bins = alg.covariate_features(alg.clean_bins(genome, black, 100, 20), [cov])
+    members, _ = cluster.kmeans(cluster.zscores(bins, ["f0"]), ["f0"], 3, 3)
+    where = [(m.chrom, m.start, m.end, m.cluster) for m in members.collect()]
+    of = lambda c, e: next((k for ch, s, en, k in where if ch == c and s < e <= en), None)
+    old = {r.vid: r for r in v.collect()}
+    assert got and len({(r.vid, r.perm) for r in got}) == len(got)
+    assert {r.vid for r in got} <= {i for i, r in old.items() if of(r.chrom, r.end) is not None}
+    kmer = lambda c, e: seq[c][e - 2 : e + 1]
+    for r in got:
+        o = old[r.vid]
+        assert r.alt == o.alt and r.end == r.start + 1 and of(r.chrom, r.end) == of(o.chrom, o.end)
+        if preserve:
+            assert kmer(r.chrom, r.end) == kmer(o.chrom, o.end) and (r.chrom, r.end) != (o.chrom, o.end)
+    assert preserve or len(got) == 3 * sum(of(r.chrom, r.end) is not None for r in old.values())
+
+
+def test_command_line(spark, tmp_path):
+    from permulocus import cli
+
+    rng = random.Random(10)
+    bases = "".join(rng.choice("ACGT") for _ in range(4000))
+    (tmp_path / "fa").mkdir()
+    (tmp_path / "fa" / "chr21.fa").write_text(">chr21\n" + "\n".join(bases[i : i + 50] for i in range(0, 4000, 50)) + "\n")
+    put = lambda name, lines: (tmp_path / name).write_text("".join("\t".join(map(str, x)) + "\n" for x in lines))
+    put("v.bed", [("chr21", p, p + 1, "A", f"alt{p}") for p in range(100, 3900, 90)])
+    put("a.bed", [("chr21", 200, 400, "one"), ("chr21", 3000, 3100, "two"), ("chrUn", 1, 2, "no")])
+    put("b.bed", [("chr21", 3050, 3060)])
+    put("s.bg", [("chr21", s, s + 100, s / 100) for s in range(0, 4000, 100)])
+    at = lambda name: str(tmp_path / name)
+    run = lambda what, out, *more: cli.main([what, "--variants", at("v.bed"), "--blacklist", at("b.bed"), "--out", at(out), *more], spark)
+    lines = lambda out: [x.split("\t") for f in sorted((tmp_path / out).rglob("part-*")) for x in f.read_text().splitlines()]
+    run("annotations", "p1", "--annotations", at("a.bed"), "-n", "4", "--dmin", "10", "--dmax", "900", "--signal", at("s.bg"), "--mode", "p")
+    assert [x[:4] for x in lines("p1")] == [["chr21", "200", "400", "one"]] and len(lines("p1")[0]) == 7
+    shape = ("--fasta", at("fa"), "--width", "1000", "--min-width", "50", "-n", "2")
+    run("variants", "moved", *shape, "--signal", at("s.bg"))
+    moved = lines("moved")
+    assert len(moved) > 40 and all(len(x) == 6 and x[5].startswith("alt") for x in moved)
+    assert sorted(x.name for x in (tmp_path / "moved").iterdir() if x.is_dir()) == ["perm=1", "perm=2"]
+    run("pvalues", "p2", "--annotations", at("a.bed"), "--permutations", at("moved"), "--signal", at("s.bg"), "--mode", "p")
+    assert [x[3] for x in lines("p2")] == ["one"]
+    run("simulate", "sim", *shape, "--covariate", at("s.bg"), "--clusters", "2", "--context", "n")
+    assert {len(x) for x in lines("sim")} == {5} and len(lines("sim")) > 40
+    with pytest.raises(ValueError):
+        cli.main(["pvalues", "--variants", at("none"), "--blacklist", at("b.bed"), "--out", at("x"), "--annotations", at("a.bed"), "--permutations", at("moved")], spark)
+
+
 FAST = ["std_chrom_filter", "merge_intervals", "clip_intersections", "observed_burden", "perm_annotation_signal_pvalue", "output_format", "subtract_blacklist", "assign_variant_bins", "permute_trimer", "empirical_signal_pvalue", "kmeans_members", "epoch_inverse", "simulate_trimer"]
 
 
