@@ -157,7 +157,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # * a pair goes on if the sizes, what is left of both texts from that shingle on, and the parities allow the similarity: each text
 #   has PARITIES bits, each the parity of how many of its shingles fall on it, and two texts differ in at least as many shingles as bits.
 #
-# All pairs, of either search, then pass the same test with WIDE_PARITIES bits, so that sets of shingles are made and moved for few of them.
+# All pairs, of either search, then pass the same test with WIDE_PARITIES bits, so that texts are moved and made sets of shingles for few of them.
 
 BANDS = 4
 BITS = 26
@@ -259,21 +259,31 @@ def text_prints(docs: DataFrame, id_col: str, text_col: str, hot: tuple[np.ndarr
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in names) + "n long, tokens array<long>, wide array<long>")
 
 
-def shingle_sets(docs: DataFrame, which: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (rep, s) for the texts of which (rep, k1, k2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                rows = [_hashed(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-                keys = np.array([(xxh64_intdigest(w, 1), xxh64_intdigest(w, 2)) for w, _ in rows], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([shingle_set(h) for _, h in rows], pa.list_(pa.int64()))], ["rep", "k1", "k2", "s"])
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (a, b, rep, k1, k2, text) in the order of a and b, rep being either: the pairs whose sets of shingles are similar. A text with other keys than k1 and k2 is not the one that counts."""
+    from xxhash import xxh64_intdigest
 
-    texts = _texts(docs, id_col, text_col).join(which.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "rep long, k1 long, k2 long, s array<long>").join(which, ["rep", "k1", "k2"], "left_semi").select("rep", "s").dropDuplicates(["rep"])
+    key, sets = None, {}
+    for whole in batches:
+        out: list[tuple[int, int]] = []
+        for at in range(0, whole.num_rows, 64):
+            part = whole.slice(at, 64)
+            *numbers, texts = part.columns
+            for a, b, rep, k1, k2, text in zip(*(c.to_pylist() for c in numbers), texts.cast(pa.binary()).to_pylist(), strict=True):
+                if key != (a, b):
+                    key, sets = (a, b), {}
+                if rep in sets:
+                    continue
+                words, hashes = _hashed(text)
+                if (xxh64_intdigest(words, 1), xxh64_intdigest(words, 2)) != (k1 % 2**64, k2 % 2**64):
+                    continue
+                sets[rep] = shingle_set(hashes)
+                if len(sets) == 2:
+                    n, m = len(np.intersect1d(*sets.values(), assume_unique=True)), sum(map(len, sets.values()))
+                    if n >= SIMILAR * (m - n) - _EPS:
+                        out.append(key)
+        x = np.array(out, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
 
 def band_anchors(fa: Column, fb: Column) -> Column:
@@ -332,19 +342,18 @@ def _most_different(sizes: Column) -> Column:
 
 
 def similar_pairs(pairs: DataFrame, prints: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) whose texts' five-word shingles have a Jaccard similarity of at least SIMILAR. Only texts of pairs that parities allow are read into sets.
+    """Those pairs (a, b) whose texts' five-word shingles have a Jaccard similarity of at least SIMILAR. Only texts of pairs that parities allow are read, sent once a pair and made sets there.
 
     prints: rep, n, wide.
     """
-    a, b = (prints.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"w{side}")) for side in "ab")
+    sides = F.explode(F.array("a", "b")).alias("rep")
+    asked = prints.join(small(stage(pairs.select(sides).distinct(), "near-asked")), "rep", "left_semi")
+    a, b = (asked.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"w{side}")) for side in "ab")
     bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = stage(pairs.join(a, "a").join(b, "b").where(bits <= _most_different(F.col("na") + F.col("nb"))).select("a", "b"), "near-likely")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    which = stage(texts.join(ids, "rep").select("rep", "k1", "k2"), "near-which")
-    sets = stage(shingle_sets(docs, which, id_col, text_col), "near-sets", "lz4")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-    return shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n")) - _EPS).select("a", "b")
+    likely = stage(pairs.join(a, "a").join(b, "b").where(bits <= _most_different(F.col("na") + F.col("nb"))).select("a", "b"), "near-likely")
+    wanted = stage(likely.select("a", "b", sides).join(texts, "rep").select("a", "b", "rep", "k1", "k2"), "near-wanted")
+    sent = _texts(docs, id_col, text_col).withColumnRenamed("doc_id", "rep").join(small(wanted), "rep").select("a", "b", "rep", "k1", "k2", "text")
+    return sent.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_compared, "a long, b long")
 
 
 def _prefix(n: Column, share: float) -> Column:
