@@ -9,15 +9,18 @@ splits a hot bucket. Neither a long chromosome nor a hot position lands in one t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..functions.staging import written
 
 BUCKET = 1 << 14
 #: Positions that a bucket of prefix sums holds on average.
-FILL = 32
+FILL = 8
 
 #: predicate -> the two terms (side of variants, position below which to sum), taken as first less second.
 #: count: v.start < end and v.end >= start; point: start < v.end <= end; up: start <= v.start <= end;
@@ -50,9 +53,26 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def prefix_table(points: DataFrame, keys: list[str], sums: list[str], fill: int = FILL, bucket: int | None = None) -> tuple[DataFrame, int, int]:
+class Prefixes(NamedTuple):
+    """A table of prefix sums: rows (keys, bucket, xs, sums), a bucket's width, the last bucket's number and how many positions the fullest bucket holds."""
+
+    rows: DataFrame
+    width: int
+    last: int
+    longest: int
+
+
+class Points(NamedTuple):
+    """Prefix sums over variants' starts and ends, for several questions to the same variants: see variant_points."""
+
+    prefixes: Prefixes
+    by: list[str]
+    weights: dict[str, DataType]
+
+
+def prefix_table(points: DataFrame, keys: list[str], sums: list[str], fill: int = FILL, bucket: int | None = None) -> Prefixes:
     """Rows (keys, bucket, xs, sums): a bucket's different positions, rising, and for each of sums one running total more than those,
-    the first that of all smaller buckets. Also a bucket's width and the last bucket's number.
+    the first that of all smaller buckets.
 
     points: keys (rows with a null among them or in x match nothing), x, a whole number, and sums. A row is there for every bucket from a key's first on. The width makes
     about fill positions a bucket, so these rows are about points / fill at most; it is no part of results. bucket: another width.
@@ -75,7 +95,9 @@ def prefix_table(points: DataFrame, keys: list[str], sums: list[str], fill: int
     dense = dense.select(*keys, "bucket", *((F.col(f"b_{c}") + F.when(F.col("bucket") > F.col("own"), F.col(f"t_{c}")).otherwise(0)).alias(f"b_{c}") for c in sums))
     table = dense.join(local, [*keys, "bucket"], "left")
     running = [F.concat(F.array(F.col(f"b_{c}")), F.coalesce(_plus(F.col(f"p.{c}"), F.col(f"b_{c}")), F.array())).alias(c) for c in sums]
-    return written(table.select(*keys, "bucket", F.coalesce("p.x", F.array()).alias("xs"), *running), "prefix"), width, last
+    fullest = Observation()
+    rows = table.select(*keys, "bucket", F.coalesce("p.x", F.array()).alias("xs"), *running).observe(fullest, F.max(F.size("xs")).alias("longest"))
+    return Prefixes(written(rows, "prefix"), width, last, fullest.get["longest"] or 0)
 
 
 def _plus(values: Column, base: Column) -> Column:
@@ -87,10 +109,10 @@ def _smaller(xs: Column, x: Column, steps: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda p, step: F.when(F.get(xs, p + step - 1) < x, p + step).otherwise(p))
 
 
-def prefix_sums(regions: DataFrame, table: tuple[DataFrame, int, int], keys: dict[str, Column], asked: dict[str, Column], sums: list[str], name: str) -> DataFrame:
+def prefix_sums(regions: DataFrame, table: Prefixes, keys: dict[str, Column], asked: dict[str, Column], sums: list[str], name: str) -> DataFrame:
     """regions with, for each asked position, the totals over smaller ones: columns name + asked's name + "_" + a name of sums."""
-    rows, width, last = table
-    steps = F.array(*(F.lit(1 << i) for i in range(width.bit_length(), -1, -1)))
+    rows, width, last, longest = table
+    steps = F.array(*(F.lit(1 << i) for i in range(max(longest, 1).bit_length() - 1, -1, -1)))
     out = regions
     for ask, x in asked.items():
         t = rows.select(*(F.col(c).alias(f"{name}t_{c}") for c in rows.columns))
@@ -102,29 +124,39 @@ def prefix_sums(regions: DataFrame, table: tuple[DataFrame, int, int], keys: dic
     return out
 
 
-def overlap_sums(regions: DataFrame, variants: DataFrame, predicate: str = "count", weights: list[str] | None = None, by: list[str] | None = None, bucket: int | None = None) -> DataFrame:
+def variant_points(variants: DataFrame, weights: list[str] | None = None, by: list[str] | None = None, sides: tuple[str, ...] = ("end", "start"), bucket: int | None = None) -> Points:
+    """Prefix sums of variants, made once, for overlap_sums: of their number and of weights, by further columns, over the sides that will be asked."""
+    weights, by = weights or [], by or []
+    sums = ["n", *(f"w{i}" for i in range(len(weights)))]
+    dealt = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"`{s}`").alias("x")) for s in sides))
+    kinds = {w: variants.schema[w].dataType for w in weights}
+    summed = [F.lit(1).cast("long").alias("n"), *(F.coalesce(F.col(f"`{w}`"), F.lit(0).cast(kind)).alias(f"w{i}") for i, (w, kind) in enumerate(kinds.items()))]
+    points = variants.where("`start` IS NOT NULL AND `end` IS NOT NULL").select("chrom", *by, F.explode(dealt).alias("p"), *summed).select("chrom", *by, "p.side", "p.x", *sums)
+    return Points(prefix_table(points, ["chrom", *by, "side"], sums, bucket=bucket), by, kinds)
+
+
+def overlap_sums(regions: DataFrame, variants: DataFrame | Points, predicate: str = "count", weights: list[str] | None = None, by: list[str] | None = None, bucket: int | None = None, side: Column | None = None) -> DataFrame:
     """regions with n, the number of overlapping variants, and sum_<w>, the total of each weight (null counts 0).
 
     regions and variants: chrom, start, end (start <= end); rows with a null among them are left out. weights: columns of variants that sum exactly (whole numbers, decimals);
     by: further columns that must be equal (a permutation's number). Other columns of regions may have any names but n and sum_<w>.
+    variants may also be their points, made before with the same by and these weights among theirs. side: start or end, a region's own instead of the predicate's.
     """
-    weights, keys = weights or [], ["chrom", *(by or [])]
-    (first_side, first_x), (second_side, second_x) = PREDICATES[predicate]
-    sums = ["n", *(f"w{i}" for i in range(len(weights)))]
-    kinds = ["long", *(variants.schema[w].dataType for w in weights)]
-    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"`{s}`").alias("x")) for s in sorted({first_side, second_side})))
-    summed = [F.lit(1).cast("long").alias("n"), *(F.coalesce(F.col(f"`{w}`"), F.lit(0).cast(variants.schema[w].dataType)).alias(f"w{i}") for i, w in enumerate(weights))]
-    points = variants.where("`start` IS NOT NULL AND `end` IS NOT NULL").select(*keys, F.explode(sides).alias("p"), *summed).select(*keys, "p.side", "p.x", *sums)
-    table = prefix_table(points, [*keys, "side"], sums, bucket=bucket)
+    weights = weights or []
+    terms = PREDICATES[predicate]
+    points = variants if isinstance(variants, Points) else variant_points(variants, weights, by, ("end", "start") if side is not None else tuple(sorted({s for s, _ in terms})), bucket)
+    if points.by != (by or []):
+        raise ValueError("the points were made by other columns")
+    keys, known_weights = ["chrom", *points.by], list(points.weights)
+    asked = {"n": ("n", "long")} | {f"sum_{w}": (f"w{known_weights.index(w)}", points.weights[w]) for w in weights}
+    sums = [s for s, _ in asked.values()]
     name = fresh(regions.columns, "__o")
     place = lambda x: F.expr(x.replace("end", "`end`"))
-    known = regions.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "start", "end"]))
-    out = known
-    for ask, side, x in (("a", first_side, first_x), ("b", second_side, second_x)):
-        out = prefix_sums(out, table, {k: F.col(f"`{k}`") for k in keys} | {"side": F.lit(side)}, {ask: place(x)}, sums, name)
-    less = lambda s, kind: (F.col(f"{name}a_{s}") - F.col(f"{name}b_{s}")).cast(kind)
-    named = ["n", *(f"sum_{w}" for w in weights)]
-    return out.select(*(F.col(f"`{c}`") for c in regions.columns), *(less(s, kind).alias(c) for s, kind, c in zip(sums, kinds, named, strict=True)))
+    out = regions.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "start", "end"]))
+    for ask, (own, x) in zip("ab", terms, strict=True):
+        out = prefix_sums(out, points.prefixes, {k: F.col(f"`{k}`") for k in keys} | {"side": F.lit(own) if side is None else side}, {ask: place(x)}, sums, name)
+    less = [(F.col(f"{name}a_{s}") - F.col(f"{name}b_{s}")).cast(kind).alias(c) for c, (s, kind) in asked.items()]
+    return out.select(*(F.col(f"`{c}`") for c in regions.columns), *less)
 
 
 def overlap_pairs(regions: DataFrame, variants: DataFrame, predicate: str = "closed", bucket: int = BUCKET) -> DataFrame:
@@ -141,8 +173,8 @@ def overlap_pairs(regions: DataFrame, variants: DataFrame, predicate: str = "clo
     return r.join(v, on).where(F.col(f"{own}r") == first).drop(f"{own}r", f"{own}v")
 
 
-def without_blacklisted(rows: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """rows that touch no blacklisted interval (closed predicate)."""
+def without_blacklisted(rows: DataFrame, blacklist: DataFrame | Points) -> DataFrame:
+    """rows that touch no blacklisted interval (closed predicate). blacklist: intervals or their points."""
     if "n" not in (c.lower() for c in rows.columns):
         return overlap_sums(rows, blacklist, "closed").where("n = 0").drop("n")
     own = next(c for c in rows.columns if c.lower() == "n")  # overlap_sums adds a column of that name

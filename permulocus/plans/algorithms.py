@@ -28,22 +28,23 @@ def prepare(variants: DataFrame, annotations: DataFrame, blacklist: DataFrame) -
     """Standard chromosomes only, names made canonical, blacklist merged and taken out."""
     v, a, b = (df.where(g.is_standard(F.col("chrom"))).withColumn("chrom", g.canonical(F.col("chrom"))) for df in (variants, annotations, blacklist))
     b = written(intervals.merge(b), "blacklist")
-    return written(overlap.without_blacklisted(v, b), "variants"), written(overlap.without_blacklisted(a, b), "annotations"), b
+    out = overlap.variant_points(b)
+    return written(overlap.without_blacklisted(v, out), "variants"), written(overlap.without_blacklisted(a, out), "annotations"), b
 
 
-def observed(annotations: DataFrame, variants: DataFrame, mode: str = "n") -> DataFrame:
-    """annotations with n_obs and, unless mode is n, signal_obs."""
+def observed(annotations: DataFrame, variants: DataFrame | overlap.Points, mode: str = "n") -> DataFrame:
+    """annotations with n_obs and, unless mode is n, signal_obs. variants: intervals, or their points (with signal, unless mode is n)."""
+    if not isinstance(variants, overlap.Points):
+        variants = overlap.variant_points(variants, [] if mode == "n" else ["signal"])
     out = overlap.overlap_sums(annotations, variants, "count").withColumnRenamed("n", "n_obs")
     if mode == "n":
         return out
-    sums = overlap.overlap_sums(annotations, variants, "point", ["signal"]).select("aid", F.col("sum_signal").alias("signal_obs"))
-    return out.join(sums, "aid")
+    return overlap.overlap_sums(out, variants, "point", ["signal"]).drop("n").withColumnRenamed("sum_signal", "signal_obs")
 
 
-def bin_counts(bins: DataFrame, variants: DataFrame, weights: list[str] | None = None) -> DataFrame:
+def bin_counts(bins: DataFrame, variants: DataFrame | overlap.Points, weights: list[str] | None = None) -> DataFrame:
     """Random bins with n (and sum_<w>): upstream bins count variant starts, downstream bins variant ends."""
-    up = overlap.overlap_sums(bins.where("side = 'up'"), variants, "up", weights)
-    return up.unionByName(overlap.overlap_sums(bins.where("side = 'down'"), variants, "down", weights))
+    return overlap.overlap_sums(bins, variants, "up", weights, side=F.when(F.col("side") == "up", "start").otherwise("end"))
 
 
 def _pvalues(obs: DataFrame, perm: DataFrame, n: int | Column, mode: str) -> DataFrame:
@@ -65,10 +66,13 @@ def permute_annotations(variants: DataFrame, annotations: DataFrame, blacklist:
     """annotations with n_obs, p and, by mode, signal_obs (o, p) and signal_p (p). Annotations without room for bins are left out."""
     _checked(mode, "signal" in variants.columns)
     v, a, _ = prepare(variants, annotations, blacklist)
-    bins = permute.random_bins(a, n, dmin, dmax, seed)
-    counts = bin_counts(bins, v, ["signal"] if mode == "p" else None)
+    points = overlap.variant_points(v, [] if mode == "n" else ["signal"])
     fits = F.lit(dmax - dmin) - (F.col("end") - F.col("start") + 1) > 0
-    return _pvalues(observed(a.where(fits), v, mode), counts, n, mode)
+    # Bins are n times as many as annotations: those are spread first, so that few files don't mean few tasks.
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    obs = written(observed(a.where(fits).repartition(tasks, "aid"), points, mode), "observed")
+    bins = permute.random_bins(obs.select("aid", "chrom", "start", "end"), n, dmin, dmax, seed)
+    return _pvalues(obs, bin_counts(bins, points, ["signal"] if mode == "p" else None), n, mode)
 
 
 def clean_bins(genome: DataFrame, blacklist: DataFrame, width: int, min_width: int) -> DataFrame:
@@ -165,8 +169,9 @@ def empirical_pvalues(variants: DataFrame, annotations: DataFrame, blacklist: Da
     # Only annotations near some permuted variant need a row a permutation: all others have count 0 in all of them.
     hit = overlap.overlap_sums(a, permuted, "count").where("n > 0").select("aid", "chrom", "start", "end")
     each = hit.withColumn("perm", F.explode(F.array(*map(F.lit, perms))))
-    counts = overlap.overlap_sums(each, permuted, "count", by=["perm"])
+    points = overlap.variant_points(permuted, ["signal"] if mode == "p" else [], ["perm"])
+    counts = overlap.overlap_sums(each, points, "count", by=["perm"])
     if mode == "p":
-        sums = overlap.overlap_sums(each, permuted, "point", ["signal"], by=["perm"]).select("aid", "perm", "sum_signal")
-        counts = counts.join(sums, ["aid", "perm"])
+        sums = overlap.overlap_sums(counts.withColumnRenamed("n", "count"), points, "point", ["signal"], by=["perm"])
+        counts = sums.drop("n").withColumnRenamed("count", "n")
     return _pvalues(observed(a, v, mode), counts, n, mode)
