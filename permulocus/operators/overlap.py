@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -95,9 +95,8 @@ def prefix_table(points: DataFrame, keys: list[str], sums: list[str], fill: int
     dense = dense.select(*keys, "bucket", *((F.col(f"b_{c}") + F.when(F.col("bucket") > F.col("own"), F.col(f"t_{c}")).otherwise(0)).alias(f"b_{c}") for c in sums))
     table = dense.join(local, [*keys, "bucket"], "left")
     running = [F.concat(F.array(F.col(f"b_{c}")), F.coalesce(_plus(F.col(f"p.{c}"), F.col(f"b_{c}")), F.array())).alias(c) for c in sums]
-    fullest = Observation()
-    rows = table.select(*keys, "bucket", F.coalesce("p.x", F.array()).alias("xs"), *running).observe(fullest, F.max(F.size("xs")).alias("longest"))
-    return Prefixes(written(rows, "prefix"), width, last, fullest.get["longest"] or 0)
+    rows = written(table.select(*keys, "bucket", F.coalesce("p.x", F.array()).alias("xs"), *running), "prefix")
+    return Prefixes(rows, width, last, rows.agg(F.max(F.size("xs"))).first()[0] or 0)
 
 
 def _plus(values: Column, base: Column) -> Column:
