@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from . import chat, decontaminate, language, line_dedup, packing, quality, secrets, simhash, toxicity, warc
+from . import chat, decontaminate, exact_dedup, language, line_dedup, packing, prefix_trie, quality, secrets, simhash, spelling, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
@@ -21,4 +24,7 @@ ORACLES = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_secret_scans": secrets.OP6_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
