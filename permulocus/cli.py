@@ -46,12 +46,12 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _scored(rows, path: str | None, spark: SparkSession, key: str):
+def _scored(rows, path: str | None, spark: SparkSession):
     """rows with signal, the track's mean over each; as they are without a track."""
     if not path:
         return rows
-    means = overlap.interval_means(rows.withColumn("id", F.col(key)), readers.signal(spark, path))
-    return means.withColumn("signal", F.col("mean").cast("decimal(18,6)")).drop("id", "mean")
+    means = overlap.interval_means(rows, readers.signal(spark, path, rows), mean_name="signal")
+    return means.withColumn("signal", F.col("signal").cast("decimal(18,6)"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -59,11 +59,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("permulocus").getOrCreate()
     v, b = readers.variants(spark, a.variants), readers.blacklist(spark, a.blacklist)
     if a.what == "annotations":
-        out = alg.permute_annotations(_scored(v, a.signal, spark, "vid"), readers.annotations(spark, a.annotations), b, a.n, a.dmin, a.dmax, a.mode, a.seed)
+        out = alg.permute_annotations(_scored(v, a.signal, spark), readers.annotations(spark, a.annotations), b, a.n, a.dmin, a.dmax, a.mode, a.seed)
         sinks.write_pvalues(out, a.out)
     elif a.what == "pvalues":
         perms = readers.permutations(spark, a.permutations, scored=bool(a.signal)).withColumn("signal", F.col("score").cast("decimal(18,6)")) if a.signal else readers.permutations(spark, a.permutations)
-        sinks.write_pvalues(alg.empirical_pvalues(_scored(v, a.signal, spark, "vid"), readers.annotations(spark, a.annotations), b, perms, a.mode), a.out)
+        sinks.write_pvalues(alg.empirical_pvalues(_scored(v, a.signal, spark), readers.annotations(spark, a.annotations), b, perms, a.mode), a.out)
     else:
         shape = (genome(spark), readers.fasta(spark, a.fasta))
         flat = v.withColumn("extras", F.array_join("extras", "\t"))
@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             moved = alg.permute_variants(flat, b, *shape, a.n, a.width, a.min_width, a.context == "y", seed=a.seed)
         else:
             moved = alg.simulate_variants(flat, b, *shape, [readers.signal(spark, c) for c in a.covariate], a.n, a.width, a.min_width, a.context == "y", a.clusters, seed=a.seed)
-        sinks.write_permuted(alg.score(moved, readers.signal(spark, a.signal)) if a.signal else moved, a.out)
+        sinks.write_permuted(alg.score(moved, readers.signal(spark, a.signal, moved)) if a.signal else moved, a.out)
 
 
 if __name__ == "__main__":

@@ -1,10 +1,11 @@
-"""Counting and summing over overlaps of intervals.
+"""Counting and summing over overlaps of intervals, and their pairs.
 
 Every overlap predicate used here is a difference of two prefix sums over variants' starts or ends, so counts never list pairs.
-Points are summed up by position first, with map-side combine, then made a table with one row a bucket of positions: its different positions, sorted,
-and the running totals there. Regions find their bucket's row by an equi-join and their place in it by bisection. So regions are never
-exploded, made distinct or grouped again; where the table is small, Spark broadcasts it and they are not shuffled at all, else adaptive execution
-splits a hot bucket. Neither a long chromosome nor a hot position lands in one task. Pairs, where they are wanted, come from a bucketed equi-join.
+Points are summed up by position first, with map-side combine, and indexed by an adaptive directory: a key's range is cut into equal buckets, some
+FILL positions each on average and FAN at most; a bucket of more than MOST positions is cut again by its own range, until none is longer. So a row is bounded for any
+positions, a far outlier or clusters included; each key has its own widths and no rows beyond its own range; and the running totals of a cut are at most FAN rows.
+Regions find their row by equi-joins, one a level (mostly two), and their place in it by bisection: they are never
+exploded, made distinct or grouped again, and are not shuffled at all where the directory is small enough to broadcast. Pairs come from an equi-join over bins of several widths.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from pyspark.sql.types import DataType
 
 from ..functions.staging import written
 
-BUCKET = 1 << 14
-#: Positions that a bucket of prefix sums holds on average.
-FILL = 8
+#: The narrowest bins of the join that lists pairs; each level's are STEP times as wide.
+BUCKET, STEP, LEVELS = 1 << 10, 8, 17
+#: Positions that a bucket holds on average and at most, and into how many a range is cut at most.
+FILL, MOST, FAN = 8, 64, 4096
+#: A level of the directory is broadcast up to so many bytes (8 an entry, and 24 for each of its sums).
+BROADCAST_BYTES = 32 << 20
 
 #: predicate -> the two terms (side of variants, position below which to sum), taken as first less second.
 #: count: v.start < end and v.end >= start; point: start < v.end <= end; up: start <= v.start <= end;
@@ -53,74 +57,116 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-class Prefixes(NamedTuple):
-    """A table of prefix sums: rows (keys, bucket, xs, sums), a bucket's width, the last bucket's number and how many positions the fullest bucket holds."""
+class Level(NamedTuple):
+    """One level of a directory: rows (keys, origin, sub, xs, sums, lo, width, cut), one a bucket. A bucket has either its positions in xs or lo, width and cut, from where
+    and by what width into how many it is cut again."""
 
     rows: DataFrame
-    width: int
-    last: int
     longest: int
+    broadcast: bool
+
+
+class Index(NamedTuple):
+    """Prefix sums by position: root has (keys, lo, width, cut), a row a key."""
+
+    root: DataFrame
+    root_broadcast: bool
+    levels: list[Level]
 
 
 class Points(NamedTuple):
     """Prefix sums over variants' starts and ends, for several questions to the same variants: see variant_points."""
 
-    prefixes: Prefixes
+    index: Index
     by: list[str]
     weights: dict[str, DataType]
 
 
-def prefix_table(points: DataFrame, keys: list[str], sums: list[str], fill: int = FILL, bucket: int | None = None) -> Prefixes:
-    """Rows (keys, bucket, xs, sums): a bucket's different positions, rising, and for each of sums one running total more than those,
-    the first that of all smaller buckets.
+def prefix_index(points: DataFrame, keys: list[str], sums: list[str], most: int | None = None) -> Index:
+    """The directory of points: keys (rows with a null among them or in x match nothing), x, a whole number, and sums, which add exactly.
 
-    points: keys (rows with a null among them or in x match nothing), x, a whole number, and sums. A row is there for every bucket from a key's first on. The width makes
-    about fill positions a bucket, so these rows are about points / fill at most; it is no part of results. bucket: another width.
+    most: another bound on the positions of a row; it is no part of results.
     """
+    most, fill = most or MOST, min(FILL, most or FILL)
     known = points.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "x"]))
-    at = written(known.groupBy(*keys, "x").agg(*(F.sum(c).alias(c) for c in sums)), "points")
-    spans = at.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("x") - F.min("x") + 1).alias("span"), F.max("x").alias("last"))
-    all_of = spans.agg(F.sum("n").alias("n"), F.sum("span").alias("span"), F.max("last").alias("last")).first()
-    width = bucket or max(1, fill * (all_of.span or 0) // (all_of.n or 1))
-    last = (all_of.last or 0) // width
-    rows = at.withColumn("bucket", F.floor(F.col("x") / width))
-    upto = W.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = rows.select(*keys, "bucket", F.struct("x", *(F.sum(c).over(upto).alias(c) for c in sums)).alias("p"))
-    local = local.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    by_key = W.partitionBy(*keys).orderBy("bucket")
-    totals = local.select(*keys, "bucket", F.element_at("p", -1).alias("t"))
-    before = by_key.rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select(*keys, "bucket", F.lead("bucket", 1, last + 1).over(by_key).alias("next"), *(F.coalesce(F.sum(f"t.{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in sums), *(F.col(f"t.{c}").alias(f"t_{c}") for c in sums))
-    dense = base.select(*keys, F.col("bucket").alias("own"), F.explode(F.sequence("bucket", F.col("next") - 1)).alias("bucket"), *(F.col(f"{x}_{c}") for x in "bt" for c in sums))
-    dense = dense.select(*keys, "bucket", *((F.col(f"b_{c}") + F.when(F.col("bucket") > F.col("own"), F.col(f"t_{c}")).otherwise(0)).alias(f"b_{c}") for c in sums))
-    table = dense.join(local, [*keys, "bucket"], "left")
+    at = known.groupBy(*keys, "x").agg(*(F.sum(c).alias(c) for c in sums))
+    stats = at.groupBy(*keys).agg(*_shape(F.min("x"), F.max("x"), F.count("*"), fill))
+    here, levels = at.join(stats, keys), []
+    while True:
+        here = here.withColumn("sub", F.expr("(x - lo) div width")).withColumnRenamed("lo", "origin")
+        rows = written(_buckets(here, keys, sums, most, fill), "prefix")
+        size = F.size("xs") + 1
+        found = rows.agg(F.max(F.size("xs")).alias("longest"), F.count("lo").alias("cut"), F.sum(size).alias("entries"), F.count_if(F.col("sub") == 0).alias("ranges")).first()
+        small = (found.entries or 0) * (8 + 24 * len(sums)) <= BROADCAST_BYTES
+        levels.append(Level(rows, found.longest or 0, small))
+        if len(levels) == 1:
+            root = rows.where("sub = 0").select(*keys, F.col("origin").alias("lo"), F.col("own_width").alias("width"), F.col("own_cut").alias("cut"))
+            root_broadcast = found.ranges * 128 <= BROADCAST_BYTES
+        if not found.cut:
+            return Index(root, root_broadcast, levels)
+        again = rows.where("lo IS NOT NULL").select(*keys, "origin", "sub", "lo", "width", "cut")
+        here = written(here.drop("width", "cut").join(again, [*keys, "origin", "sub"]).select(*keys, "x", *sums, "lo", "width", "cut"), "points")
+
+
+def _shape(lo: Column, hi: Column, n: Column, fill: int) -> tuple[Column, Column, Column]:
+    """lo, width and cut of a range that holds n different positions from lo to hi."""
+    parts = F.least(F.lit(FAN).cast("long"), F.ceil(n / fill))
+    width = F.ceil((hi - lo + 1) / parts).cast("long")
+    return lo.alias("lo"), width.alias("width"), F.floor((hi - lo) / width).alias("cut")
+
+
+def _buckets(points: DataFrame, keys: list[str], sums: list[str], most: int, fill: int) -> DataFrame:
+    """A row for each bucket of each range, empty ones too. points: keys, origin, width, cut, sub, x, sums."""
+    own = [*keys, "origin"]
+    totals = points.groupBy(*own, "sub").agg(F.first("width").alias("own_width"), F.first("cut").alias("own_cut"), F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), *(F.sum(c).alias(f"t_{c}") for c in sums))
+    order = W.partitionBy(*own).orderBy("sub")  # FAN rows at most
+    base = [F.coalesce(F.sum(f"t_{c}").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"b_{c}") for c in sums]
+    known = totals.select("*", *base, F.lead("sub", 1).over(order).alias("next"))
+    dense = known.select("*", F.col("sub").alias("full"), F.explode(F.sequence("sub", F.coalesce(F.col("next") - 1, "own_cut"))).alias("at")).drop("sub").withColumnRenamed("at", "sub")
+    filled, whole = F.col("sub") == F.col("full"), F.col("n") <= most
+    shape = _shape(F.col("least"), F.col("most"), F.col("n"), fill)
+    dense = dense.select(*own, "sub", "own_width", "own_cut", *((F.col(f"b_{c}") + F.when(filled, 0).otherwise(F.col(f"t_{c}"))).alias(f"b_{c}") for c in sums), *(F.when(filled & ~whole, c).alias(n) for c, n in zip(shape, ("lo", "width", "cut"), strict=True)))
+    upto = W.partitionBy(*own, "sub").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    kept = points.join(totals.where(whole).select(*own, "sub"), [*own, "sub"], "left_semi")
+    local = kept.select(*own, "sub", F.struct("x", *(F.sum(c).over(upto).alias(c) for c in sums)).alias("p")).groupBy(*own, "sub").agg(F.sort_array(F.collect_list("p")).alias("p"))
     running = [F.concat(F.array(F.col(f"b_{c}")), F.coalesce(_plus(F.col(f"p.{c}"), F.col(f"b_{c}")), F.array())).alias(c) for c in sums]
-    rows = written(table.select(*keys, "bucket", F.coalesce("p.x", F.array()).alias("xs"), *running), "prefix")
-    return Prefixes(rows, width, last, rows.agg(F.max(F.size("xs"))).first()[0] or 0)
+    return dense.join(local, [*own, "sub"], "left").select(*own, "sub", "own_width", "own_cut", F.coalesce("p.x", F.array()).alias("xs"), *running, "lo", "width", "cut")
 
 
 def _plus(values: Column, base: Column) -> Column:
     return F.transform(values, lambda v: v + base)
 
 
-def _smaller(xs: Column, x: Column, steps: Column) -> Column:
-    """How many of xs, which rise, are smaller than x: bisection, steps being falling powers of two."""
+def _smaller(xs: Column, x: Column, longest: int) -> Column:
+    """How many of xs, which rise, are smaller than x: bisection by falling powers of two."""
+    steps = F.array(*(F.lit(1 << i) for i in range(max(longest, 1).bit_length() - 1, -1, -1)))
     return F.aggregate(steps, F.lit(0), lambda p, step: F.when(F.get(xs, p + step - 1) < x, p + step).otherwise(p))
 
 
-def prefix_sums(regions: DataFrame, table: Prefixes, keys: dict[str, Column], asked: dict[str, Column], sums: list[str], name: str) -> DataFrame:
+def prefix_sums(regions: DataFrame, index: Index, keys: dict[str, Column], asked: dict[str, Column], sums: list[str], name: str) -> DataFrame:
     """regions with, for each asked position, the totals over smaller ones: columns name + asked's name + "_" + a name of sums."""
-    rows, width, last, longest = table
-    steps = F.array(*(F.lit(1 << i) for i in range(max(longest, 1).bit_length() - 1, -1, -1)))
-    out = regions
-    for ask, x in asked.items():
-        t = rows.select(*(F.col(c).alias(f"{name}t_{c}") for c in rows.columns))
-        on = F.least(F.floor(x / width), F.lit(last)) == F.col(f"{name}t_bucket")
-        for k, v in keys.items():
+    out, own = regions, [F.col(f"`{c}`") for c in regions.columns]
+    done: list[Column] = []
+
+    def joined(df: DataFrame, rows: DataFrame, hint: bool, more: dict[str, Column]) -> DataFrame:
+        t, on = rows.select(*(F.col(c).alias(f"{name}t_{c}") for c in rows.columns)), F.lit(True)
+        for k, v in (keys | more).items():
             on &= v == F.col(f"{name}t_{k}")
-        out = out.join(t, on, "left").withColumn(f"{name}place", _smaller(F.col(f"{name}t_xs"), x, steps))
-        out = out.select(*(F.col(f"`{c}`") for c in out.columns if not c.startswith(f"{name}t_") and c != f"{name}place"), *(F.coalesce(F.get(f"{name}t_{s}", F.col(f"{name}place")), F.lit(0)).alias(f"{name}{ask}_{s}") for s in sums))
-    return out
+        return df.join(F.broadcast(t) if hint else t, on, "left")
+
+    shape = [F.col(f"{name}t_{c}").alias(f"{name}{c}") for c in ("lo", "width", "cut")]
+    for ask, x in asked.items():
+        totals = [F.col(f"{name}{ask}_{s}") for s in sums]
+        out = joined(out, index.root, index.root_broadcast, {}).select(*own, *done, *shape)
+        for depth, level in enumerate(index.levels):
+            # At or before the least position of its range, nothing is smaller.
+            sub = F.when(x > F.col(f"{name}lo"), F.least(F.floor((x - F.col(f"{name}lo")) / F.col(f"{name}width")), F.col(f"{name}cut")))
+            rows = level.rows.drop("own_width", "own_cut")
+            out = joined(out, rows, level.broadcast, {"origin": F.col(f"{name}lo"), "sub": sub}).withColumn(f"{name}place", _smaller(F.col(f"{name}t_xs"), x, level.longest))
+            found = [F.coalesce(F.get(F.col(f"{name}t_{s}"), F.col(f"{name}place")), F.lit(0)) + (t if depth else 0) for s, t in zip(sums, totals, strict=True)]
+            out = out.select(*own, *done, *(f.alias(f"{name}{ask}_{s}") for f, s in zip(found, sums, strict=True)), *shape)
+        done += totals
+    return out.select(*own, *done)
 
 
 def variant_points(variants: DataFrame, weights: list[str] | None = None, by: list[str] | None = None, sides: tuple[str, ...] = ("end", "start"), bucket: int | None = None) -> Points:
@@ -131,14 +177,14 @@ def variant_points(variants: DataFrame, weights: list[str] | None = None, by: li
     kinds = {w: variants.schema[w].dataType for w in weights}
     summed = [F.lit(1).cast("long").alias("n"), *(F.coalesce(F.col(f"`{w}`"), F.lit(0).cast(kind)).alias(f"w{i}") for i, (w, kind) in enumerate(kinds.items()))]
     points = variants.where("`start` IS NOT NULL AND `end` IS NOT NULL").select("chrom", *by, F.explode(dealt).alias("p"), *summed).select("chrom", *by, "p.side", "p.x", *sums)
-    return Points(prefix_table(points, ["chrom", *by, "side"], sums, bucket=bucket), by, kinds)
+    return Points(prefix_index(points, ["chrom", *by, "side"], sums, bucket), by, kinds)
 
 
-def overlap_sums(regions: DataFrame, variants: DataFrame | Points, predicate: str = "count", weights: list[str] | None = None, by: list[str] | None = None, bucket: int | None = None, side: Column | None = None) -> DataFrame:
+def overlap_sums(regions: DataFrame, variants: DataFrame | Points, predicate: str = "count", weights: list[str] | None = None, by: list[str] | None = None, bucket: int | None = None, side: Column | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """regions with n, the number of overlapping variants, and sum_<w>, the total of each weight (null counts 0).
 
     regions and variants: chrom, start, end (start <= end); rows with a null among them are left out. weights: columns of variants that sum exactly (whole numbers, decimals);
-    by: further columns that must be equal (a permutation's number). Other columns of regions may have any names but n and sum_<w>.
+    by: further columns that must be equal (a permutation's number). Other columns of regions may have any names but n and sum_<w>; names: other names for these two.
     variants may also be their points, made before with the same by and these weights among theirs. side: start or end, a region's own instead of the predicate's.
     """
     weights = weights or []
@@ -153,36 +199,57 @@ def overlap_sums(regions: DataFrame, variants: DataFrame | Points, predicate: st
     place = lambda x: F.expr(x.replace("end", "`end`"))
     out = regions.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "start", "end"]))
     for ask, (own, x) in zip("ab", terms, strict=True):
-        out = prefix_sums(out, points.prefixes, {k: F.col(f"`{k}`") for k in keys} | {"side": F.lit(own) if side is None else side}, {ask: place(x)}, sums, name)
-    less = [(F.col(f"{name}a_{s}") - F.col(f"{name}b_{s}")).cast(kind).alias(c) for c, (s, kind) in asked.items()]
+        out = prefix_sums(out, points.index, {k: F.col(f"`{k}`") for k in keys} | {"side": F.lit(own) if side is None else side}, {ask: place(x)}, sums, name)
+    less = [(F.col(f"{name}a_{s}") - F.col(f"{name}b_{s}")).cast(kind).alias((names or {}).get(c, c)) for c, (s, kind) in asked.items()]
     return out.select(*(F.col(f"`{c}`") for c in regions.columns), *less)
 
 
+def _level(start: Column, end: Column, bucket: int) -> Column:
+    """The level whose bins are the first as wide as the interval."""
+    return sum((F.when(end - start > bucket * STEP**i, 1).otherwise(0) for i in range(LEVELS - 1) if bucket * STEP**i < 1 << 62), F.lit(0))
+
+
 def overlap_pairs(regions: DataFrame, variants: DataFrame, predicate: str = "closed", bucket: int = BUCKET) -> DataFrame:
-    """Each overlapping pair once: regions' columns (none may begin with v_), then variants' with the prefix v_.
+    """Each overlapping pair once: regions' columns (none may be a column of variants with the prefix v_), then variants' with that prefix. Rows with a null chrom, start or end meet nothing.
 
-    Both are dealt to all buckets that they touch; a pair is taken in the first bucket that both share.
+    Bins have widths bucket, STEP * bucket, and so on. An interval is at home in one bin, that of its start, among the first bins as wide as itself, however long
+    it is. Of a pair the longer (regions' of equals) is at home and the other visits: at each level that the other side lives on, from its own up, the
+    two or three bins whose residents can reach it. Candidates are thus near in proportion to the longer one's length, and each pair meets once.
     """
-    touched = lambda s, e: F.sequence(F.floor(s / bucket), F.floor(e / bucket))
-    own = fresh([*regions.columns, *(f"v_{c}" for c in variants.columns)], "__b")
-    r = regions.withColumn(f"{own}r", F.explode(touched(F.col("start"), F.col("end") + 1)))
-    v = variants.select(*(F.col(f"`{c}`").alias(f"v_{c}") for c in variants.columns)).withColumn(f"{own}v", F.explode(touched(F.col("v_start"), F.col("v_end") + 1)))
+    if clash := {c.lower() for c in regions.columns} & {f"v_{c}".lower() for c in variants.columns}:
+        raise ValueError(f"regions have columns named as variants' would be: {', '.join(sorted(clash))}")
+    r, v = (df.where("chrom IS NOT NULL AND start IS NOT NULL AND `end` IS NOT NULL") for df in (regions, variants))
+    v = v.select(*(F.col(f"`{c}`").alias(f"v_{c}") for c in variants.columns))
+    own = fresh([*r.columns, *v.columns], "__b")
+    r_level, v_level = _level(F.col("start"), F.col("end"), bucket), _level(F.col("v_start"), F.col("v_end"), bucket)
+    lived = [sorted(x[0] for x in df.select(level.alias("l")).distinct().collect()) for df, level in ((r, r_level), (v, v_level))]
+
+    def dealt(side: str, start: Column, end: Column, level: Column, others: list[int], least: Column) -> Column:
+        home = F.array(*(F.struct(F.lit(side).alias("home"), F.lit(i).alias("l"), F.floor(start / (bucket * STEP**i)).alias("b")) for i in lived[side == "v"]))
+        other = "r" if side == "v" else "v"
+
+        def visited(i: int) -> Column:
+            first = F.floor(start / (bucket * STEP**i)) - 1
+            return F.transform(F.sequence(first, F.greatest(F.floor(end / (bucket * STEP**i)), first)), lambda b: F.struct(F.lit(other).alias("home"), F.lit(i).alias("l"), b.alias("b")))
+
+        none = F.array().cast("array<struct<home: string, l: int, b: bigint>>")
+        asked = [F.when(F.lit(i) >= least, visited(i)).otherwise(none) for i in others]
+        return F.explode(F.concat(F.filter(home, lambda h: h["l"] == level), *asked))
+
+    left = r.withColumn(f"{own}r", dealt("r", F.col("start"), F.col("end"), r_level, lived[1], r_level + 1))
+    right = v.withColumn(f"{own}v", dealt("v", F.col("v_start"), F.col("v_end"), v_level, lived[0], v_level))
     on = (F.col("chrom") == F.col("v_chrom")) & (F.col(f"{own}r") == F.col(f"{own}v")) & condition(predicate, F.col("v_start"), F.col("v_end"), F.col("start"), F.col("end"))
-    first = F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("v_start") / bucket))
-    return r.join(v, on).where(F.col(f"{own}r") == first).drop(f"{own}r", f"{own}v")
+    return left.join(right, on).drop(f"{own}r", f"{own}v")
 
 
 def without_blacklisted(rows: DataFrame, blacklist: DataFrame | Points) -> DataFrame:
     """rows that touch no blacklisted interval (closed predicate). blacklist: intervals or their points."""
-    if "n" not in (c.lower() for c in rows.columns):
-        return overlap_sums(rows, blacklist, "closed").where("n = 0").drop("n")
-    own = next(c for c in rows.columns if c.lower() == "n")  # overlap_sums adds a column of that name
     name = fresh(rows.columns, "__n")
-    return overlap_sums(rows.withColumnRenamed(own, name), blacklist, "closed").where("n = 0").drop("n").withColumnRenamed(name, own)
+    return overlap_sums(rows, blacklist, "closed", names={"n": name}).where(F.col(name) == 0).drop(name)
 
 
-def interval_means(regions: DataFrame, signal: DataFrame, bucket: int | None = None) -> DataFrame:
-    """regions with mean: signal's average over the bases that it covers, weighted by overlap; 0 where it covers none.
+def interval_means(regions: DataFrame, signal: DataFrame, bucket: int | None = None, mean_name: str = "mean") -> DataFrame:
+    """regions with mean (or mean_name): signal's average over the bases that it covers, weighted by overlap; 0 where it covers none.
 
     regions: an interval; signal: an interval and value (decimal). No pairs are listed: with V(x) and U(x) the sums of value and of value * position over signal's
     starts below x less those over its ends below x, the signal's sum from 0 to x is x * V(x) - U(x). Its covered bases are that of the value 1.
@@ -192,9 +259,9 @@ def interval_means(regions: DataFrame, signal: DataFrame, bucket: int | None = N
     ends = [F.struct(x.alias("x"), (value * sign).cast(exact).alias("v"), (value * x.cast("decimal(12,0)") * sign).cast(exact).alias("u"), F.lit(sign).cast("long").alias("c"), (x * sign).alias("d")) for x, sign in ((start, 1), (end, -1))]
     points = signal.where("start IS NOT NULL AND `end` IS NOT NULL AND value IS NOT NULL").select("chrom", F.explode(F.array(*ends)).alias("p")).select("chrom", "p.*")
     sums, name = ["v", "u", "c", "d"], fresh(regions.columns, "__m")
-    out = prefix_sums(regions, prefix_table(points, ["chrom"], sums, bucket=bucket), {"chrom": F.col("chrom")}, {"a": F.col("start"), "b": F.col("end")}, sums, name)
+    out = prefix_sums(regions, prefix_index(points, ["chrom"], sums, bucket), {"chrom": F.col("chrom")}, {"a": F.col("start"), "b": F.col("end")}, sums, name)
     upto = lambda at, x, v, u, kind: (F.col(f"{name}{at}_{v}") * x.cast("decimal(12,0)" if kind == exact else "long")).cast(kind) - F.col(f"{name}{at}_{u}")
     total = upto("b", F.col("end"), "v", "u", exact) - upto("a", F.col("start"), "v", "u", exact)
     bases = upto("b", F.col("end"), "c", "d", "long") - upto("a", F.col("start"), "c", "d", "long")
     mean = F.when(bases > 0, total.cast("double") / bases).otherwise(0.0)
-    return out.select(*(F.col(f"`{c}`") for c in regions.columns), mean.alias("mean"))
+    return out.select(*(F.col(f"`{c}`") for c in regions.columns), mean.alias(mean_name))

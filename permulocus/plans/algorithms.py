@@ -29,17 +29,18 @@ def prepare(variants: DataFrame, annotations: DataFrame, blacklist: DataFrame) -
     v, a, b = (df.where(g.is_standard(F.col("chrom"))).withColumn("chrom", g.canonical(F.col("chrom"))) for df in (variants, annotations, blacklist))
     b = written(intervals.merge(b), "blacklist")
     out = overlap.variant_points(b)
-    return written(overlap.without_blacklisted(v, out), "variants"), written(overlap.without_blacklisted(a, out), "annotations"), b
+    return overlap.without_blacklisted(v, out), overlap.without_blacklisted(a, out), b
 
 
 def observed(annotations: DataFrame, variants: DataFrame | overlap.Points, mode: str = "n") -> DataFrame:
     """annotations with n_obs and, unless mode is n, signal_obs. variants: intervals, or their points (with signal, unless mode is n)."""
     if not isinstance(variants, overlap.Points):
         variants = overlap.variant_points(variants, [] if mode == "n" else ["signal"])
-    out = overlap.overlap_sums(annotations, variants, "count").withColumnRenamed("n", "n_obs")
+    out = overlap.overlap_sums(annotations, variants, "count", names={"n": "n_obs"})
     if mode == "n":
         return out
-    return overlap.overlap_sums(out, variants, "point", ["signal"]).drop("n").withColumnRenamed("sum_signal", "signal_obs")
+    unused = overlap.fresh(out.columns, "__n")
+    return overlap.overlap_sums(out, variants, "point", ["signal"], names={"n": unused, "sum_signal": "signal_obs"}).drop(unused)
 
 
 def bin_counts(bins: DataFrame, variants: DataFrame | overlap.Points, weights: list[str] | None = None) -> DataFrame:
@@ -49,17 +50,17 @@ def bin_counts(bins: DataFrame, variants: DataFrame | overlap.Points, weights: l
 
 def _pvalues(obs: DataFrame, perm: DataFrame, n: int | Column, mode: str) -> DataFrame:
     """perm: aid, n and, in mode p, sum_signal; permutations without a row count as 0."""
-    signal = mode == "p"
+    signal, own = mode == "p", overlap.fresh(obs.columns, "__p")
     rows = perm.join(obs.select("aid", "n_obs", *(["signal_obs"] if signal else [])), "aid")
     over = {"over": F.count_if(F.col("n") >= F.col("n_obs")), "rows": F.count("*")} | ({"signal_over": F.count_if(F.col("sum_signal") >= F.col("signal_obs"))} if signal else {})
-    counts = rows.groupBy("aid").agg(*(c.alias(k) for k, c in over.items()))
+    counts = rows.groupBy("aid").agg(*(c.alias(f"{own}{k}") for k, c in over.items()))
     out = obs.join(counts, "aid", "left")
-    missing = F.lit(n) - F.coalesce("rows", F.lit(0))
-    share = lambda k, o: (F.coalesce(F.col(k), F.lit(0)) + F.when(F.col(o) <= 0, missing).otherwise(0)) / F.lit(n)
+    missing = F.lit(n) - F.coalesce(f"{own}rows", F.lit(0))
+    share = lambda k, o: (F.coalesce(F.col(f"{own}{k}"), F.lit(0)) + F.when(F.col(o) <= 0, missing).otherwise(0)) / F.lit(n)
     out = out.withColumn("p", share("over", "n_obs"))
     if signal:
         out = out.withColumn("signal_p", share("signal_over", "signal_obs"))
-    return out.drop("over", "rows", "signal_over")
+    return out.drop(*(f"{own}{k}" for k in over))
 
 
 def permute_annotations(variants: DataFrame, annotations: DataFrame, blacklist: DataFrame, n: int, dmin: int, dmax: int, mode: str = "n", seed: int = 0) -> DataFrame:
@@ -120,10 +121,10 @@ def covariate_features(bins: DataFrame, covariates: list[DataFrame]) -> DataFram
 
     per = bins.groupBy("ord").count().select("ord", (F.sum("count").over(W.orderBy("ord")) - F.col("count")).alias("before"))  # one row a chromosome
     rid = F.row_number().over(W.partitionBy("ord").orderBy("start")) - 1 + F.col("before")
-    out = written(bins.join(F.broadcast(per), "ord").withColumn("rid", rid.cast("long")).drop("before").withColumn("id", F.col("rid")), "features")
+    out = written(bins.join(F.broadcast(per), "ord").withColumn("rid", rid.cast("long")).drop("before"), "features")
     for i, c in enumerate(covariates):
-        out = overlap.interval_means(out, c).withColumnRenamed("mean", f"f{i}")
-    return out.drop("id")
+        out = overlap.interval_means(out, c, mean_name=f"f{i}")
+    return out
 
 
 def simulate_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFrame, seq: DataFrame, covariates: list[DataFrame], n: int, width: int, min_width: int, preserve_context: bool = True, clusters: int = 100, iterations: int = 10, k: int = 3, seed: int = 0) -> DataFrame:
@@ -154,8 +155,7 @@ def simulate_uniform(placed: DataFrame, laid: DataFrame, n: int, seed: int = 0)
 
 def score(permuted: DataFrame, signal: DataFrame) -> DataFrame:
     """permuted with score: the signal's mean over each site."""
-    rows = permuted.withColumn("id", F.concat_ws(":", "vid", "perm"))
-    return overlap.interval_means(rows, signal).withColumnRenamed("mean", "score").drop("id")
+    return overlap.interval_means(permuted, signal, mean_name="score")
 
 
 def empirical_pvalues(variants: DataFrame, annotations: DataFrame, blacklist: DataFrame, permuted: DataFrame, mode: str = "n") -> DataFrame:

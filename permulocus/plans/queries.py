@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import genome as g
 from ..functions import kmers
-from ..functions.staging import written
+from ..functions.staging import shared_path, written
 from ..operators import cluster, epoch, intervals, overlap, permute
-from ..sources import sinks
+from ..sources import bigwig, sinks
 from ..sources import testdata as t
 from . import algorithms as alg
 
@@ -104,7 +104,7 @@ def merge_intervals(spark, sf_dir):
 
 @query(_with(CLEAN, "SELECT a.aid, greatest(a.s, b.s) AS clip_start, least(a.e, b.e) AS clip_end FROM A a JOIN BM b ON a.chrom = b.chrom AND a.s <= b.e AND a.e >= b.s"))
 def clip_intersections(spark, sf_dir):
-    return intervals.clip(t.annotations(spark, sf_dir), intervals.merge(t.blacklist(spark, sf_dir))).select("aid", "clip_start", "clip_end")
+    return intervals.clip(t.annotations(spark, sf_dir), written(intervals.merge(t.blacklist(spark, sf_dir)), "blacklist")).select("aid", "clip_start", "clip_end")
 
 
 def _clean(spark, sf_dir):
@@ -157,8 +157,17 @@ FROM {region} a LEFT JOIN {track} v ON v.chrom = a.chrom AND v.s < a.e AND v.e >
 
 @query(_with(INPUTS, _mean("A", "S1", "aid")))
 def signal_mean_over_interval(spark, sf_dir):
-    a = t.annotations(spark, sf_dir).withColumn("id", F.col("aid"))
-    return overlap.interval_means(a, t.signal(spark, sf_dir)).select("aid", F.round("mean", 9).alias("mean"))
+    return overlap.interval_means(t.annotations(spark, sf_dir), t.signal(spark, sf_dir)).select("aid", F.round("mean", 9).alias("mean"))
+
+
+@query(_with(INPUTS, _mean("A", "S1", "aid")))
+def signal_mean_bigwig(spark, sf_dir):
+    """The same means from a bigWig track: the given track is written as one, and read where annotations lie. The format's 32-bit values have the two decimals whole."""
+    path = shared_path(spark, "track") + ".bw"
+    bigwig.write(t.signal(spark, sf_dir), path)
+    a = t.annotations(spark, sf_dir)
+    track = bigwig.read(spark, path, a).withColumn("value", F.round("value", 2).cast("decimal(18,2)"))
+    return overlap.interval_means(a, track).select("aid", F.round("mean", 9).alias("mean"))
 
 
 @query(_with(CLEAN, f"SELECT {', '.join(f'(SELECT count(*) FROM AF a JOIN VF v ON v.chrom = a.chrom AND {c}) AS n_{k}' for k, c in ON.items())}, 0 AS different"))
@@ -284,7 +293,7 @@ def tile_genome(spark, sf_dir):
 
 @query(_with(BINS, 'SELECT chrom, s AS "start", e AS "end" FROM D'))
 def subtract_blacklist(spark, sf_dir):
-    return intervals.subtract(intervals.tile(t.genome(spark), WIDTH), intervals.merge(t.blacklist(spark, sf_dir))).select("chrom", "start", "end")
+    return intervals.subtract(intervals.tile(t.genome(spark), WIDTH), written(intervals.merge(t.blacklist(spark, sf_dir)), "blacklist")).select("chrom", "start", "end")
 
 
 def _bins(spark, sf_dir):
@@ -298,7 +307,7 @@ def absorb_small_bins(spark, sf_dir):
 
 @query(_with(BINS, "SELECT v.vid, a.s AS bin_start, a.e AS bin_end FROM V v JOIN D a ON v.chrom = a.chrom AND " + ON["point"]))
 def assign_variant_bins(spark, sf_dir):
-    bins = intervals.subtract(intervals.tile(t.genome(spark), WIDTH), intervals.merge(t.blacklist(spark, sf_dir)))
+    bins = _plain_bins(spark, sf_dir)
     return intervals.assign(t.variants(spark, sf_dir), bins).select("vid", "bin_start", "bin_end")
 
 
@@ -328,7 +337,7 @@ def kmer_of_variant(spark, sf_dir):
 
 
 def _short_bins(spark, sf_dir):
-    return intervals.subtract(intervals.tile(t.genome(spark, t.SHORT), SHORT_WIDTH), intervals.merge(t.short_blacklist(spark, sf_dir)))
+    return written(intervals.subtract(intervals.tile(t.genome(spark, t.SHORT), SHORT_WIDTH), written(intervals.merge(t.short_blacklist(spark, sf_dir)), "blacklist")), "bins")
 
 
 @query(_with(SHORT, "SELECT a.chrom || ':' || a.s AS grp, q.k3 AS kmer, count(*) AS n FROM SD a JOIN Q1 q ON a.chrom = q.chrom AND a.s < q.pos AND q.pos <= a.e WHERE q.k3 NOT LIKE '%N%' GROUP BY ALL"))
@@ -431,11 +440,6 @@ def permutation_count(spark, sf_dir):
     return _permute_short(spark, sf_dir, True).select("perm").distinct().agg(F.count("*").alias("n"))
 
 
-# Earlier names of the same queries.
-for _name in ("permute_uniform", "permute_trimer", "permute_pentamer", "empirical_signal_pvalue"):
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
-
-
 # --- covariates, clusters, epochs, simulation ---
 
 COVARIATES = (
@@ -464,7 +468,7 @@ LAST = f"M{ITERATIONS - 1}"
 
 
 def _plain_bins(spark, sf_dir):
-    return intervals.subtract(intervals.tile(t.genome(spark), WIDTH), intervals.merge(t.blacklist(spark, sf_dir)))
+    return written(intervals.subtract(intervals.tile(t.genome(spark), WIDTH), written(intervals.merge(t.blacklist(spark, sf_dir)), "blacklist")), "bins")
 
 
 def _features(spark, sf_dir):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genome import canonical, is_standard
 from ..functions.staging import written
+from . import bigwig
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,8 +45,11 @@ def blacklist(spark: SparkSession, path: str) -> DataFrame:
     return _interval(_lines(spark, path))
 
 
-def signal(spark: SparkSession, path: str) -> DataFrame:
-    """A bedGraph track: chrom, start, end, value."""
+def signal(spark: SparkSession, path: str, regions: DataFrame | None = None) -> DataFrame:
+    """A track, bigWig by its ending (.bw, .bigWig, or a folder of such a name), else bedGraph: chrom, start, end, value. regions: where values are asked, if not everywhere."""
+    if path.rstrip("/").lower().endswith((".bw", ".bigwig")):
+        rows = bigwig.read(spark, path, regions).withColumn("chrom", canonical(F.col("chrom"))).where(is_standard(F.col("chrom")))
+        return rows.withColumn("value", F.col("value").cast("decimal(18,6)"))
     return _interval(_lines(spark, path), F.get("f", F.lit(3)).try_cast("decimal(18,6)").alias("value")).where("value IS NOT NULL")
 
 
