@@ -209,12 +209,12 @@ def _level(start: Column, end: Column, bucket: int) -> Column:
     return sum((F.when(end - start > bucket * STEP**i, 1).otherwise(0) for i in range(LEVELS - 1) if bucket * STEP**i < 1 << 62), F.lit(0))
 
 
-def overlap_pairs(regions: DataFrame, variants: DataFrame, predicate: str = "closed", bucket: int = BUCKET) -> DataFrame:
+def overlap_pairs(regions: DataFrame, variants: DataFrame, predicate: str = "closed", bucket: int = BUCKET, levels: tuple[list[int] | None, list[int] | None] = (None, None)) -> DataFrame:
     """Each overlapping pair once: regions' columns (none may be a column of variants with the prefix v_), then variants' with that prefix. Rows with a null chrom, start or end meet nothing.
 
     Bins have widths bucket, STEP * bucket, and so on. An interval is at home in one bin, that of its start, among the first bins as wide as itself, however long
     it is. Of a pair the longer (regions' of equals) is at home and the other visits: at each level that the other side lives on, from its own up, the
-    two or three bins whose residents can reach it. Candidates are thus near in proportion to the longer one's length, and each pair meets once.
+    two or three bins whose residents can reach it. Candidates are thus near in proportion to the longer one's length, and each pair meets once. levels: those that a side lives on, where they are known; else they are asked first.
     """
     if clash := {c.lower() for c in regions.columns} & {f"v_{c}".lower() for c in variants.columns}:
         raise ValueError(f"regions have columns named as variants' would be: {', '.join(sorted(clash))}")
@@ -222,17 +222,17 @@ def overlap_pairs(regions: DataFrame, variants: DataFrame, predicate: str = "clo
     v = v.select(*(F.col(f"`{c}`").alias(f"v_{c}") for c in variants.columns))
     own = fresh([*r.columns, *v.columns], "__b")
     r_level, v_level = _level(F.col("start"), F.col("end"), bucket), _level(F.col("v_start"), F.col("v_end"), bucket)
-    lived = [sorted(x[0] for x in df.select(level.alias("l")).distinct().collect()) for df, level in ((r, r_level), (v, v_level))]
+    lived = [known or sorted(x[0] for x in df.select(level.alias("l")).distinct().collect()) for df, level, known in ((r, r_level, levels[0]), (v, v_level, levels[1]))]
 
     def dealt(side: str, start: Column, end: Column, level: Column, others: list[int], least: Column) -> Column:
-        home = F.array(*(F.struct(F.lit(side).alias("home"), F.lit(i).alias("l"), F.floor(start / (bucket * STEP**i)).alias("b")) for i in lived[side == "v"]))
+        none = F.array().cast("array<struct<home: string, l: int, b: bigint>>")
+        home = none if not lived[side == "v"] else F.array(*(F.struct(F.lit(side).alias("home"), F.lit(i).alias("l"), F.floor(start / (bucket * STEP**i)).alias("b")) for i in lived[side == "v"]))
         other = "r" if side == "v" else "v"
 
         def visited(i: int) -> Column:
             first = F.floor(start / (bucket * STEP**i)) - 1
             return F.transform(F.sequence(first, F.greatest(F.floor(end / (bucket * STEP**i)), first)), lambda b: F.struct(F.lit(other).alias("home"), F.lit(i).alias("l"), b.alias("b")))
 
-        none = F.array().cast("array<struct<home: string, l: int, b: bigint>>")
         asked = [F.when(F.lit(i) >= least, visited(i)).otherwise(none) for i in others]
         return F.explode(F.concat(F.filter(home, lambda h: h["l"] == level), *asked))
 

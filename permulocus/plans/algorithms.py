@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genome as g
-from ..functions import kmers, rng
+from ..functions import rng
 from ..functions.staging import written
-from ..operators import cluster, epoch, intervals, overlap, permute
+from ..operators import cluster, epoch, intervals, overlap, permute, sites
 
 MODES = ("n", "o", "p")
 
@@ -84,29 +84,17 @@ def clean_bins(genome: DataFrame, blacklist: DataFrame, width: int, min_width: i
     return written(intervals.absorb(intervals.subtract(intervals.tile(genome, width), merged), min_width), "bins")
 
 
-def _kmers(seq: DataFrame, k: int, preserve: bool, used: DataFrame) -> DataFrame:
-    """Sites to draw from, near the used bins: by their context, or all under one name; bases that are N (or have an N around) never."""
-    rows = kmers.positions(seq, k if preserve else 1, used).where(~F.col("kmer").contains("N"))
-    return rows if preserve else rows.withColumn("kmer", F.lit("*"))
-
-
 def permute_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFrame, seq: DataFrame, n: int, width: int, min_width: int, preserve_context: bool = True, k: int = 3, seed: int = 0) -> DataFrame:
     """perm, chrom, start, end and the variants' other columns: each variant at another site of its bin, of its own context, if that is preserved; else at any site of its bin that is no N."""
     if n < 1:
         raise ValueError("n must be at least 1")
     bins = clean_bins(genome, blacklist, width, min_width)
     placed = written(intervals.assign(variants, bins), "placed")
-    grouped = placed.withColumn("grp", F.concat_ws(":", "chrom", "bin_start"))
-    used = placed.select("chrom", F.col("bin_start").alias("start"), F.col("bin_end").alias("end"), F.concat_ws(":", "chrom", "bin_start").alias("grp")).distinct()
-    sites = written(permute.candidates(_kmers(seq, k, preserve_context, used), used), "sites")
-    # Without context a variant may be drawn back onto its own base.
-    return _redrawn(variants, grouped, sites, n, f"permute{k if preserve_context else 0}", seed, exclude_own=preserve_context)
-
-
-def _redrawn(variants: DataFrame, grouped: DataFrame, sites: DataFrame, n: int, what: str, seed: int, exclude_own: bool = True) -> DataFrame:
-    """Variants take the context of their own base; those on an N or outside the sites' groups are dropped, as are those without another site."""
-    own = sites.select("grp", "chrom", F.col("pos").alias("end"), "kmer")
-    drawn = permute.draw_sites(grouped.join(own, ["grp", "chrom", "end"]).select("vid", "chrom", "end", "grp", "kmer"), sites, n, what, seed, exclude_own)
+    used = written(placed.select("chrom", F.col("bin_start").alias("start"), F.col("bin_end").alias("end"), F.concat_ws(":", "chrom", "bin_start").alias("grp")).distinct(), "used")
+    if preserve_context:
+        drawn = sites.draw_contexts(placed, sites.segments(seq, used, k), n, k, f"permute{k}", seed)
+    else:
+        drawn = sites.draw_uniform(placed, sites.runs(seq, used), n, "permute0", seed)
     return _with_extras(drawn, variants)
 
 
@@ -140,9 +128,8 @@ def simulate_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFra
     placed = written(epoch.forward(variants, laid), "placed")
     if not preserve_context:
         return _with_extras(simulate_uniform(placed, laid, n, seed), variants)
-    used = laid.join(placed.select("cluster").distinct(), "cluster").withColumn("grp", F.col("cluster").cast("string"))
-    sites = written(permute.candidates(_kmers(seq, k, True, used), used), "sites")
-    return _redrawn(variants, placed.withColumn("grp", F.col("cluster").cast("string")), sites, n, f"simulate{k}", seed)
+    used = written(laid.join(placed.select("cluster").distinct(), "cluster").withColumn("grp", F.col("cluster").cast("string")), "used")
+    return _with_extras(sites.draw_contexts(placed, sites.segments(seq, used, k), n, k, f"simulate{k}", seed), variants)
 
 
 def simulate_uniform(placed: DataFrame, laid: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genome as g
 from ..functions import kmers
 from ..functions.staging import shared_path, written
-from ..operators import cluster, epoch, intervals, overlap, permute
+from ..operators import cluster, epoch, intervals, overlap, permute, sites
 from ..sources import bigwig, sinks
 from ..sources import testdata as t
 from . import algorithms as alg
@@ -343,8 +343,7 @@ def _short_bins(spark, sf_dir):
 @query(_with(SHORT, "SELECT a.chrom || ':' || a.s AS grp, q.k3 AS kmer, count(*) AS n FROM SD a JOIN Q1 q ON a.chrom = q.chrom AND a.s < q.pos AND q.pos <= a.e WHERE q.k3 NOT LIKE '%N%' GROUP BY ALL"))
 def kmer_index_counts(spark, sf_dir):
     bins = _short_bins(spark, sf_dir).withColumn("grp", F.concat_ws(":", "chrom", "start"))
-    k = kmers.positions(t.sequence(spark), 3).where(~F.col("kmer").contains("N"))
-    return permute.candidates(k, bins).where("rank = 1").select("grp", "kmer", F.col("c").alias("n"))
+    return sites.context_index(sites.segments(t.sequence(spark), bins, 3), 3).groupBy("grp", "kmer").agg(F.sum("c").alias("n"))
 
 
 def _drawn(kmer: str, what: str, grp: str = "a.chrom || ':' || a.s", bins: str = "SD", n: int = 4) -> str:
@@ -544,9 +543,7 @@ def simulate_trimer(spark, sf_dir):
     """Sites drawn over groups of bins of several chromosomes, of the variant's context."""
     bins = _short_bins(spark, sf_dir).withColumn("grp", (F.floor((F.col("start") - 1) / SHORT_WIDTH) % 3).cast("string"))
     v = t.short_variants(spark, sf_dir).drop("extra")
-    placed = intervals.assign(v, bins).withColumn("grp", (F.floor((F.col("bin_start") - 1) / SHORT_WIDTH) % 3).cast("string"))
-    sites = written(permute.candidates(kmers.positions(t.sequence(spark), 3).where(~F.col("kmer").contains("N")), bins), "sites")
-    return alg._redrawn(v, placed, sites, PERMS, "simulate3", SEED)
+    return alg._with_extras(sites.draw_contexts(v, sites.segments(t.sequence(spark), bins, 3), PERMS, 3, "simulate3", SEED), v)
 
 
 @query()
