@@ -17,7 +17,7 @@ from ..operators import cluster, epoch, intervals, overlap, permute, sites
 MODES = ("n", "o", "p")
 
 
-def _checked(mode: str, signal: bool) -> None:
+def checked(mode: str, signal: bool) -> None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     if mode != "n" and not signal:
@@ -48,24 +48,29 @@ def bin_counts(bins: DataFrame, variants: DataFrame | overlap.Points, weights: l
     return overlap.overlap_sums(bins, variants, "up", weights, side=F.when(F.col("side") == "up", "start").otherwise("end"))
 
 
-def _pvalues(obs: DataFrame, perm: DataFrame, n: int | Column, mode: str) -> DataFrame:
-    """perm: aid, n and, in mode p, sum_signal; permutations without a row count as 0."""
-    signal, own = mode == "p", overlap.fresh(obs.columns, "__p")
+def reached(obs: DataFrame, perm: DataFrame, mode: str) -> DataFrame:
+    """aid, rows, over and, in mode p, signal_over: how many rows of perm (aid, n and, in mode p, sum_signal; one a permutation) there are, and how many reach the observed values."""
+    signal = mode == "p"
     rows = perm.join(obs.select("aid", "n_obs", *(["signal_obs"] if signal else [])), "aid")
-    over = {"over": F.count_if(F.col("n") >= F.col("n_obs")), "rows": F.count("*")} | ({"signal_over": F.count_if(F.col("sum_signal") >= F.col("signal_obs"))} if signal else {})
-    counts = rows.groupBy("aid").agg(*(c.alias(f"{own}{k}") for k, c in over.items()))
-    out = obs.join(counts, "aid", "left")
+    over = [F.count("*").alias("rows"), F.count_if(F.col("n") >= F.col("n_obs")).alias("over")] + ([F.count_if(F.col("sum_signal") >= F.col("signal_obs")).alias("signal_over")] if signal else [])
+    return rows.groupBy("aid").agg(*over)
+
+
+def shares(obs: DataFrame, counts: DataFrame, n: int, mode: str) -> DataFrame:
+    """obs with p and, in mode p, signal_p, of n permutations; those without a row in counts (as of reached) have 0."""
+    own = overlap.fresh(obs.columns, "__p")
+    out = obs.join(counts.withColumnsRenamed({c: f"{own}{c}" for c in counts.columns if c != "aid"}), "aid", "left")
     missing = F.lit(n) - F.coalesce(f"{own}rows", F.lit(0))
     share = lambda k, o: (F.coalesce(F.col(f"{own}{k}"), F.lit(0)) + F.when(F.col(o) <= 0, missing).otherwise(0)) / F.lit(n)
     out = out.withColumn("p", share("over", "n_obs"))
-    if signal:
+    if mode == "p":
         out = out.withColumn("signal_p", share("signal_over", "signal_obs"))
-    return out.drop(*(f"{own}{k}" for k in over))
+    return out.drop(*(f"{own}{c}" for c in counts.columns if c != "aid"))
 
 
 def permute_annotations(variants: DataFrame, annotations: DataFrame, blacklist: DataFrame, n: int, dmin: int, dmax: int, mode: str = "n", seed: int = 0) -> DataFrame:
     """annotations with n_obs, p and, by mode, signal_obs (o, p) and signal_p (p). Annotations without room for bins are left out."""
-    _checked(mode, "signal" in variants.columns)
+    checked(mode, "signal" in variants.columns)
     v, a, _ = prepare(variants, annotations, blacklist)
     points = overlap.variant_points(v, [] if mode == "n" else ["signal"])
     fits = F.lit(dmax - dmin) - (F.col("end") - F.col("start") + 1) > 0
@@ -73,7 +78,7 @@ def permute_annotations(variants: DataFrame, annotations: DataFrame, blacklist:
     tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     obs = written(observed(a.where(fits).repartition(tasks, "aid"), points, mode), "observed")
     bins = permute.random_bins(obs.select("aid", "chrom", "start", "end"), n, dmin, dmax, seed)
-    return _pvalues(obs, bin_counts(bins, points, ["signal"] if mode == "p" else None), n, mode)
+    return shares(obs, reached(obs, bin_counts(bins, points, ["signal"] if mode == "p" else None), mode), n, mode)
 
 
 def clean_bins(genome: DataFrame, blacklist: DataFrame, width: int, min_width: int) -> DataFrame:
@@ -145,20 +150,27 @@ def score(permuted: DataFrame, signal: DataFrame) -> DataFrame:
     return overlap.interval_means(permuted, signal, mean_name="score")
 
 
+def exceedances(obs: DataFrame, permuted: DataFrame, mode: str = "n") -> DataFrame:
+    """As reached, counted from the permuted sites' side: a row for an annotation and a permutation is made only where a site meets the annotation.
+
+    obs: aid, chrom, start, end, n_obs (and signal_obs in mode p); permuted: perm, chrom, start, end (and signal).
+    """
+    sites = permuted.select("perm", "chrom", "start", "end", *(["signal"] if mode == "p" else []))
+    hits = overlap.overlap_pairs(obs.select("aid", "chrom", "start", "end"), sites, "closed")
+    holds = lambda predicate: overlap.condition(predicate, F.col("v_start"), F.col("v_end"), F.col("start"), F.col("end"))
+    counted = [F.count_if(holds("count")).alias("n")]
+    if mode == "p":
+        counted.append(F.coalesce(F.sum(F.when(holds("point"), F.col("v_signal"))), F.lit(0)).alias("sum_signal"))
+    return reached(obs, hits.groupBy("aid", F.col("v_perm").alias("perm")).agg(*counted), mode)
+
+
 def empirical_pvalues(variants: DataFrame, annotations: DataFrame, blacklist: DataFrame, permuted: DataFrame, mode: str = "n") -> DataFrame:
     """annotations with n_obs, p and by mode signal_obs and signal_p, against permuted sets (perm, chrom, start, end, signal)."""
-    _checked(mode, "signal" in variants.columns)
-    perms = sorted(r["perm"] for r in permuted.select("perm").distinct().collect())  # as many numbers as there are permutations
-    n = len(perms)
+    checked(mode, "signal" in variants.columns)
+    permuted = written(permuted, "permuted")
+    n = permuted.agg(F.count_distinct("perm")).first()[0]
     if not n:
         raise ValueError("there is no permutation")
     v, a, _ = prepare(variants, annotations, blacklist)
-    # Only annotations near some permuted variant need a row a permutation: all others have count 0 in all of them.
-    hit = overlap.overlap_sums(a, permuted, "count").where("n > 0").select("aid", "chrom", "start", "end")
-    each = hit.withColumn("perm", F.explode(F.array(*map(F.lit, perms))))
-    points = overlap.variant_points(permuted, ["signal"] if mode == "p" else [], ["perm"])
-    counts = overlap.overlap_sums(each, points, "count", by=["perm"])
-    if mode == "p":
-        sums = overlap.overlap_sums(counts.withColumnRenamed("n", "count"), points, "point", ["signal"], by=["perm"])
-        counts = sums.drop("n").withColumnRenamed("count", "n")
-    return _pvalues(observed(a, v, mode), counts, n, mode)
+    obs = written(observed(a, v, mode), "observed")
+    return shares(obs, exceedances(obs, permuted, mode), n, mode)

@@ -269,16 +269,17 @@ def _subtracted(name: str, tiles: str, black: str) -> str:
 
 
 def _absorbed(name: str, src: str, min_width: int) -> str:
-    """The fold as a list reduction over each chromosome's bins."""
-    return f"""{name}L AS (SELECT chrom, ord, list(struct_pack(s := CAST(s AS BIGINT), e := CAST(e AS BIGINT), gone := false) ORDER BY s) AS l FROM {src} GROUP BY chrom, ord),
-{name}F AS (SELECT chrom, ord, list_reduce(list_transform(l, lambda b: [b]), lambda acc, nxt:
-   CASE WHEN NOT acc[-1].gone AND acc[-1].e - acc[-1].s < {min_width} AND (len(acc) < 2 OR acc[-2].gone OR acc[-2].e <> acc[-1].s) AND acc[-1].e = nxt[1].s
-        THEN list_concat(acc[:-2], [struct_pack(s := acc[-1].s, e := acc[-1].e, gone := true), struct_pack(s := acc[-1].s, e := nxt[1].e, gone := false)])
-        WHEN NOT acc[-1].gone AND acc[-1].e - acc[-1].s < {min_width} AND len(acc) >= 2 AND NOT acc[-2].gone AND acc[-2].e = acc[-1].s
-        THEN list_concat(acc[:-3], [struct_pack(s := acc[-2].s, e := acc[-1].e, gone := false), struct_pack(s := acc[-1].s, e := acc[-1].e, gone := true), nxt[1]])
-        WHEN NOT acc[-1].gone AND acc[-1].e - acc[-1].s < {min_width}
-        THEN list_concat(acc[:-2], [struct_pack(s := acc[-1].s, e := acc[-1].e, gone := true), nxt[1]])
-        ELSE list_concat(acc, nxt) END, [struct_pack(s := CAST(-9 AS BIGINT), e := CAST(-9 AS BIGINT), gone := true)]) AS l FROM {name}L),
+    """The fold as a list reduction over each chromosome's bins: the last bin of acc is judged when the next one comes, so a bin far away ends the list."""
+    bin_ = lambda s, e, gone: f"struct_pack(s := CAST({s} AS BIGINT), e := CAST({e} AS BIGINT), gone := {gone})"
+    narrow = f"NOT acc[-1].gone AND acc[-1].e - acc[-1].s < {min_width}"
+    left = "NOT acc[-2].gone AND acc[-2].e = acc[-1].s"
+    return f"""{name}L AS (SELECT chrom, ord, list_append(list({bin_('s', 'e', 'false')} ORDER BY s), {bin_('1e15', '2e15', 'false')}) AS l FROM {src} GROUP BY chrom, ord),
+{name}F AS (SELECT chrom, ord, list_reduce(list_prepend([{bin_('-2e15', '-1e15', 'true')}, {bin_('-2e15', '-1e15', 'true')}], list_transform(l, lambda b: [b])), lambda acc, nxt:
+   CASE WHEN {narrow} AND {left} THEN list_concat(acc[:-3], [{bin_('acc[-2].s', 'acc[-1].e', 'false')}, {bin_('acc[-1].s', 'acc[-1].e', 'true')}, nxt[1]])
+        WHEN {narrow} AND acc[-1].e = nxt[1].s THEN list_concat(acc[:-2], [{bin_('acc[-1].s', 'acc[-1].e', 'true')}, {bin_('acc[-1].s', 'nxt[1].e', 'false')}])
+        WHEN {narrow} THEN list_concat(acc[:-2], [{bin_('acc[-1].s', 'acc[-1].e', 'true')}, nxt[1]])
+        ELSE list_concat(acc, nxt) END) AS l FROM {name}L),
+{name} AS (SELECT chrom, ord, b.s AS s, b.e AS e FROM (SELECT chrom, ord, unnest(l) AS b FROM {name}F) WHERE NOT b.gone AND b.s < 1000000000000000),
 """
 
 
@@ -300,7 +301,7 @@ def _bins(spark, sf_dir):
     return alg.clean_bins(t.genome(spark), t.blacklist(spark, sf_dir), WIDTH, MIN_WIDTH)
 
 
-@query()
+@query(_with(BINS + _absorbed("AB", "D", MIN_WIDTH), 'SELECT chrom, s AS "start", e AS "end" FROM AB'))
 def absorb_small_bins(spark, sf_dir):
     return _bins(spark, sf_dir).select("chrom", "start", "end")
 
@@ -313,6 +314,14 @@ def assign_variant_bins(spark, sf_dir):
 
 # --- contexts and variant permutation, on the short contigs ---
 
+def _bases(length: int) -> str:
+    return f"""
+Q0 AS (SELECT chrom, pos, CASE WHEN pos BETWEEN 7001 AND 7100 THEN 'N' ELSE substr('ACGT', 1 + CAST({_u(str(t.SEQ_SEED), "'base'", 'chrom', 'pos')} % 4 AS INTEGER), 1) END AS b
+  FROM (VALUES ('chr1'), ('chr2'), ('chr3'), ('chrX'), ('chrY')) x(chrom), (SELECT unnest(range(1, {length + 1})) AS pos)),
+Q1 AS (SELECT chrom, pos, b AS k1, lag(b) OVER w || b || lead(b) OVER w AS k3, lag(b, 2) OVER w || lag(b) OVER w || b || lead(b) OVER w || lead(b, 2) OVER w AS k5 FROM Q0 WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
+"""
+
+
 SHORT = (
     CLEAN
     + f"""
@@ -322,12 +331,10 @@ SB0 AS (SELECT chrom, s % {t.SHORT - 400} AS s, s % {t.SHORT - 400} + 60 + s % 7
     + _merged("SB", "SB0")
     + _tiles("ST", t.SHORT, SHORT_WIDTH)
     + _subtracted("SD", "ST", "SB")
-    + f"""
-Q0 AS (SELECT chrom, pos, CASE WHEN pos BETWEEN 7001 AND 7100 THEN 'N' ELSE substr('ACGT', 1 + CAST({_u(str(t.SEQ_SEED), "'base'", 'chrom', 'pos')} % 4 AS INTEGER), 1) END AS b
-  FROM (VALUES ('chr1'), ('chr2'), ('chr3'), ('chrX'), ('chrY')) x(chrom), (SELECT unnest(range(1, {t.SHORT + 1})) AS pos)),
-Q1 AS (SELECT chrom, pos, b AS k1, lag(b) OVER w || b || lead(b) OVER w AS k3, lag(b, 2) OVER w || lag(b) OVER w || b || lead(b) OVER w || lead(b, 2) OVER w AS k5 FROM Q0 WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
-"""
+    + _bases(t.SHORT)
 )
+#: The same names over the whole contigs, of 2,592,001 bases each, with the given coordinates.
+LONG = BINS + "SV AS (SELECT vid, chrom, s, e, signal AS extra FROM V),\nSB AS (SELECT * FROM BM),\nSA AS (SELECT aid, chrom, s, e FROM A),\nSD AS (SELECT * FROM D),\n" + _bases(t.LENGTH)
 
 
 @query(_with(SHORT, "SELECT v.vid, q.k3 AS kmer FROM SV v JOIN Q1 q ON v.chrom = q.chrom AND v.e = q.pos WHERE q.k3 NOT LIKE '%N%'"))
@@ -405,10 +412,10 @@ def _short_annotations(spark, sf_dir):
     return a.select("aid", "chrom", start.alias("start"), (start + 20 + F.col("aid") % 80).alias("end"), "name")
 
 
-def _empirical_sql(cols: str) -> str:
+def _empirical_sql(cols: str, world: str = SHORT + SHORT_ANN) -> str:
     anti = lambda name, src: f"{name} AS (SELECT x.* FROM {src} x WHERE NOT EXISTS (SELECT 1 FROM SB b WHERE b.chrom = x.chrom AND x.s <= b.e AND x.e >= b.s)),\n"
     return _with(
-        SHORT + SHORT_ANN + _drawn("q.k3", "permute3") + anti("EV", "SV") + anti("EA", "SA")
+        world + _drawn("q.k3", "permute3") + anti("EV", "SV") + anti("EA", "SA")
         + f"""EO AS (SELECT a.aid, count(v.vid) FILTER (WHERE v.s < a.e) AS n_obs, coalesce(sum(v.extra) FILTER (WHERE a.s < v.e AND v.e <= a.e), 0) AS sig FROM EA a LEFT JOIN EV v ON v.chrom = a.chrom AND v.s <= a.e AND v.e >= a.s GROUP BY a.aid),
 EX AS (SELECT X.*, SV.extra FROM X JOIN SV ON SV.vid = X.vid),
 EP AS (SELECT a.aid, v.perm, count(*) FILTER (WHERE v.s < a.e) AS n, coalesce(sum(v.extra) FILTER (WHERE a.s < v.e AND v.e <= a.e), 0) AS sig FROM EA a JOIN EX v ON v.chrom = a.chrom AND v.s <= a.e AND v.e >= a.s GROUP BY a.aid, v.perm),
@@ -439,6 +446,39 @@ def permutation_count(spark, sf_dir):
     return _permute_short(spark, sf_dir, True).select("perm").distinct().agg(F.count("*").alias("n"))
 
 
+# --- variant permutation on the whole contigs ---
+
+
+def _permute_long(spark, sf_dir, preserve, k=3, name="extra"):
+    v = t.variants(spark, sf_dir).withColumnRenamed("signal", name)
+    return alg.permute_variants(v, t.blacklist(spark, sf_dir), t.genome(spark), t.sequence(spark, t.LENGTH), PERMS, WIDTH, 1, preserve, k, SEED)
+
+
+def _long(spark, sf_dir, preserve, k=3):
+    return _permute_long(spark, sf_dir, preserve, k).withColumn("extra", F.col("extra").cast("double"))
+
+
+@query(_with(LONG + _drawn("'*'", "permute0"), _X))
+def permute_uniform_all(spark, sf_dir):
+    return _long(spark, sf_dir, False)
+
+
+@query(_with(LONG + _drawn("q.k3", "permute3"), _X))
+def permute_trimer_all(spark, sf_dir):
+    return _long(spark, sf_dir, True)
+
+
+@query(_with(LONG + _drawn("q.k5", "permute5"), _X))
+def permute_pentamer_all(spark, sf_dir):
+    return _long(spark, sf_dir, True, 5)
+
+
+@query(_empirical_sql(f", CAST(sig AS DOUBLE) AS signal_obs, count(*) FILTER (WHERE psig >= sig) / {PERMS} AS signal_p", LONG))
+def empirical_signal_pvalue_all(spark, sf_dir):
+    out = alg.empirical_pvalues(t.variants(spark, sf_dir), t.annotations(spark, sf_dir), t.blacklist(spark, sf_dir), _permute_long(spark, sf_dir, True, name="signal"), "p")
+    return out.select("aid", "n_obs", "p", F.col("signal_obs").cast("double").alias("signal_obs"), "signal_p")
+
+
 # --- covariates, clusters, epochs, simulation ---
 
 COVARIATES = (

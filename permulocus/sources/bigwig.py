@@ -25,10 +25,11 @@ import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..operators.intervals import merge
+from .commit import Files, FolderWriter, listed, opened, own
 
 # Fixed values of the format: magic numbers of the file, its tree of names and its index; kinds of blocks.
 MAGIC, NAMES_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
@@ -42,20 +43,15 @@ BIN = 1 << 16
 SUBTREES, BLOCK_ITEMS, NODE_ITEMS = 256, 1024, 256
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _files(path: str) -> list[str]:
     """The track's files: itself, or those of a folder that don't begin with _ or a dot. ValueError where none is there."""
-    system, inside = _open(path)
+    system, inside = opened(path)
     info = system.get_file_info(inside)
     if info.type == fs.FileType.NotFound:
         raise ValueError(f"{path} does not exist")
     if info.type == fs.FileType.File:
         return [path]
-    names = sorted(posixpath.basename(x.path) for x in system.get_file_info(fs.FileSelector(inside)) if x.type == fs.FileType.File)
-    if not (names := [n for n in names if n[0] not in "_."]):
+    if not (names := [posixpath.basename(x) for x in listed(path) if own(x)]):
         raise ValueError(f"{path} is empty")
     return [f"{path.rstrip('/')}/{n}" for n in names]
 
@@ -73,7 +69,7 @@ class Track:
     """One open file."""
 
     def __init__(self, path: str):
-        system, inside = _open(path)
+        system, inside = opened(path)
         self.file = system.open_input_file(inside)
         head = self._at(0, 64)
         if len(head) < 64:
@@ -213,53 +209,20 @@ class BigWigReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept, strict=True), kinds, strict=True)], ["chrom", "start", "end", "value"])
 
 
-class Written(WriterCommitMessage):
-    """A task's file, None where it had no rows."""
-
-    def __init__(self, temporary: str | None, final: str | None):
-        self.temporary, self.final = temporary, final
-
-
-class BigWigWriter(DataSourceWriter):
+class BigWigWriter(FolderWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        super().__init__(options["path"], overwrite)
         self.items, self.node_items = int(options.get("items", BLOCK_ITEMS)), int(options.get("nodeItems", NODE_ITEMS))
 
-    def write(self, iterator: Iterator) -> Written:
-        system, inside = _open(self.path)
-        name = f"{uuid.uuid4().hex}.bw"
-        temporary = f"{inside}/_{self.job}-{name}"
+    def write(self, iterator: Iterator) -> Files:
         with tempfile.TemporaryFile() as spool:  # this task's own blocks, until what stands before them is known
             blocks, names = spooled(spool, iterator, self.items)
             if not blocks:
-                return Written(None, None)
-            system.create_dir(inside, recursive=True)
+                return Files([])
+            system, temporary = self.temporary()
             with system.open_output_stream(temporary) as out:
                 assembled(out, spool, blocks, names, self.items, self.node_items)
-        return Written(temporary, f"{inside}/{name}")
-
-    def _listed(self) -> list[str]:
-        system, inside = _open(self.path)
-        if system.get_file_info(inside).type == fs.FileType.NotFound:
-            return []
-        return [x.path for x in system.get_file_info(fs.FileSelector(inside)) if x.type == fs.FileType.File]
-
-    def _drop(self, paths: list[str]) -> None:
-        for path in paths:
-            _open(self.path)[0].delete_file(path)
-
-    def commit(self, messages: list) -> None:
-        system, inside = _open(self.path)
-        system.create_dir(inside, recursive=True)
-        before = [x for x in self._listed() if posixpath.basename(x)[0] not in "_."]
-        for m in messages:
-            if m and m.final:
-                system.move(m.temporary, m.final)
-        self._drop(before if self.overwrite else [])
-        self.abort([])  # files of attempts that were lost
-
-    def abort(self, messages: list) -> None:
-        self._drop([x for x in self._listed() if posixpath.basename(x).startswith(f"_{self.job}-")])
+        return Files([(temporary, f"{uuid.uuid4().hex}.bw")])
 
 
 def spooled(spool: BinaryIO, rows: Iterator, items: int = BLOCK_ITEMS) -> tuple[list[Block], list[str]]:

@@ -1,0 +1,46 @@
+"""Permuted sets as a Spark data source to write: one sorted file a permutation, perm=<number>/permutation_<number>.txt.
+
+A permutation is one task's rows in order and is written as a stream, as long as a set is, whatever its size. Files appear when the whole job commits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource
+from pyspark.sql.types import StructType
+
+from .commit import Files, FolderWriter
+
+
+class PermutationWriter(FolderWriter):
+    def write(self, iterator: Iterator) -> Files:
+        files, out, now = [], None, None
+        try:
+            for perm, line in iterator:
+                if out is None or perm != now:
+                    if perm in {p for p, _, _ in files}:
+                        raise ValueError(f"permutation {perm} comes in two stretches")
+                    if out is not None:
+                        out.close()
+                    system, temporary = self.temporary()
+                    out, now = system.open_output_stream(temporary), perm
+                    files.append((perm, temporary, f"perm={perm}/permutation_{perm}.txt"))
+                out.write(f"{line}\n".encode())
+        finally:
+            if out is not None:
+                out.close()
+        return Files([f[1:] for f in files])
+
+
+class PermutationFiles(DataSource):
+    """Format permutation_files, to write only: rows (perm, line), a permutation's rows in one task and together."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "permutation_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> PermutationWriter:
+        if schema.fieldNames() != ["perm", "line"]:
+            raise ValueError("rows are perm, line")
+        return PermutationWriter(self.options["path"], overwrite)

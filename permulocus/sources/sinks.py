@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .commit import listed
+from .permutation_files import PermutationFiles
+
 
 def _line(*cols: Column) -> Column:
     return F.concat_ws("\t", *cols)
@@ -27,13 +30,19 @@ def write_pvalues(results: DataFrame, path: str) -> None:
 
 
 def write_permuted(permuted: DataFrame, path: str, ordered: bool = True) -> None:
-    """One folder a permutation (perm=1, ...): chrom, start, end, score if there, other columns."""
+    """One sorted file a permutation (perm=1/permutation_1.txt, ...): chrom, start, end, score if there, other columns. All files appear at once, when every task has ended.
+
+    ordered=False leaves a file's lines as they come. A folder that holds files raises ValueError.
+    """
     from ..functions.genome import order_of
 
+    if listed(path, deep=True):
+        raise ValueError(f"{path} holds files")
     rest = [c for c in permuted.columns if c not in ("perm", "vid", "chrom", "start", "end", "score")]
     score = [F.format_string("%e", "score")] if "score" in permuted.columns else []
-    line = _line("chrom", F.col("start").cast("string"), F.col("end").cast("string"), *score, *(F.col(c).cast("string") for c in rest))
-    rows = permuted.withColumn("line", line)
-    if ordered:
-        rows = rows.repartitionByRange("perm", order_of(F.col("chrom")), "start").sortWithinPartitions("perm", order_of(F.col("chrom")), "start", "end")
-    rows.select("perm", "line").write.partitionBy("perm").text(path)
+    line = _line("chrom", F.col("start").cast("string"), F.col("end").cast("string"), *score, *(F.col(f"`{c}`").cast("string") for c in rest))
+    place = [order_of(F.col("chrom")), F.col("start"), F.col("end")] if ordered else []
+    rows = permuted.where("perm IS NOT NULL").select(F.col("perm").cast("int").alias("perm"), line.alias("line"), *(c.alias(f"at{i}") for i, c in enumerate(place)))
+    dealt = rows.repartition("perm").sortWithinPartitions("perm", *(f"at{i}" for i in range(len(place))), "line")
+    permuted.sparkSession.dataSource.register(PermutationFiles)
+    dealt.select("perm", "line").write.format("permutation_files").mode("append").save(path)

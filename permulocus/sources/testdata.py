@@ -73,11 +73,16 @@ def short_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("chrom", start.alias("start"), (start + 60 + F.col("start") % 70).alias("end"))
 
 
-def sequence(spark: SparkSession, chunk: int = 5000) -> DataFrame:
+def sequence(spark: SparkSession, length: int = SHORT, chunk: int = 5000) -> DataFrame:
     """chrom, chunk_start, bases: drawn bases, N from 7001 to 7100 and in lower case from 12001 to 13000."""
-    pos = F.col("pos")
-    base = F.substring(F.lit("ACGT"), (F.pmod(rng.draw(SEQ_SEED, "base", F.col("chrom"), pos), F.lit(4)) + 1).cast("int"), F.lit(1))
-    base = F.when(pos.between(7001, 7100), "N").when(pos.between(12001, 13000), F.lower(base)).otherwise(base)
-    contigs = genome(spark, SHORT).select("chrom", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SHORT).cast("long"))).alias("pos"))
-    rows = contigs.select("chrom", "pos", base.alias("b"), (F.floor((pos - 1) / chunk) * chunk + 1).alias("chunk_start"))
-    return written(rows.groupBy("chrom", "chunk_start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]), "").alias("bases")), "sequence")
+
+    def base(chrom: Column, pos: Column) -> Column:
+        drawn = F.substring(F.lit("ACGT"), (F.pmod(rng.draw(SEQ_SEED, "base", chrom, pos), F.lit(4)) + 1).cast("int"), F.lit(1))
+        return F.when(pos.between(7001, 7100), "N").when(pos.between(12001, 13000), F.lower(drawn)).otherwise(drawn)
+
+    at = F.sequence(F.lit(1).cast("long"), F.lit(length).cast("long"), F.lit(chunk).cast("long"))
+    rows = genome(spark, length).select("chrom", F.explode(at).alias("chunk_start"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) if length > SHORT else 1
+    upto = F.least(F.col("chunk_start") + chunk - 1, F.lit(length))
+    bases = F.array_join(F.transform(F.sequence("chunk_start", upto), lambda p: base(F.col("chrom"), p)), "")
+    return written(rows.repartition(tasks).select("chrom", "chunk_start", bases.alias("bases")), "sequence")
