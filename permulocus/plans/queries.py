@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
 from ..functions import genome as g
 from ..functions import kmers
 from ..functions.staging import shared_path, written
 from ..operators import cluster, epoch, intervals, overlap, permute, sites
-from ..sources import bigwig, sinks
+from ..sources import bigwig, readers, sinks
 from ..sources import testdata as t
 from . import algorithms as alg
+from .ledger import ExceedanceLedger
 
 N, DMIN, DMAX, SEED = 10, 1000, 50_000, 7
 WIDTH, MIN_WIDTH, SHORT_WIDTH, SHORT_MIN = 5000, 500, 1000, 100
@@ -287,9 +289,14 @@ TILES = CLEAN + _tiles("T", t.LENGTH, WIDTH)
 BINS = TILES + _subtracted("D", "T", "BM")
 
 
-@query(_with(TILES, 'SELECT chrom, s AS "start", e AS "end" FROM T'))
+_ENDS = "VE AS (SELECT chrom, CASE chrom WHEN 'chr1' THEN 1 WHEN 'chr2' THEN 2 WHEN 'chr3' THEN 3 WHEN 'chrX' THEN 23 ELSE 24 END AS ord, max(e) AS length FROM V GROUP BY chrom),\n"
+
+
+@query(_with(INPUTS + _ENDS, f'SELECT chrom, 1 + i * {WIDTH} AS "start", least(1 + (i + 1) * {WIDTH}, length) AS "end" FROM (SELECT *, unnest(range(0, CAST(ceil((length - 1) / {WIDTH}) AS BIGINT))) AS i FROM VE WHERE length > 1)'))
 def tile_genome(spark, sf_dir):
-    return intervals.tile(t.genome(spark), WIDTH).select("chrom", "start", "end")
+    """Tiles of contigs that are as long as their variants reach."""
+    ends = t.variants(spark, sf_dir).groupBy("chrom").agg(F.max("end").alias("length")).withColumn("ord", g.order_of(F.col("chrom")))
+    return intervals.tile(ends, WIDTH).select("chrom", "start", "end")
 
 
 @query(_with(BINS, 'SELECT chrom, s AS "start", e AS "end" FROM D'))
@@ -441,6 +448,69 @@ def empirical_signal_pvalue(spark, sf_dir):
     return _empirical(spark, sf_dir, "p").select("aid", "n_obs", "p", F.col("signal_obs").cast("double").alias("signal_obs"), "signal_p")
 
 
+@query(_empirical_sql(""))
+def empirical_pvalue_ledger(spark, sf_dir):
+    """The same p-values from a ledger that got the permutations in three sets, some of them twice."""
+    v, black = t.short_variants(spark, sf_dir).withColumnRenamed("extra", "signal"), t.short_blacklist(spark, sf_dir)
+    moved = written(alg.permute_variants(v, black, t.genome(spark, t.SHORT), t.sequence(spark), PERMS, SHORT_WIDTH, 1, True, 3, SEED), "permuted")
+    book = ExceedanceLedger(spark, shared_path(spark, "ledger"))
+    book.begin(v, _short_annotations(spark, sf_dir), black)
+    for some in ("perm = 2", "perm IN (1, 2, 3)", "perm > 0"):
+        book.add(moved.where(some))
+    return book.pvalues().select("aid", "n_obs", "p")
+
+
+# --- from files to files ---
+
+
+def _as_text(df: DataFrame, tag: str, *cols: str) -> str:
+    """The address of df's columns as tab-separated text in the shared folder."""
+    path = shared_path(df.sparkSession, tag)
+    df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in cols))).write.text(path)
+    return path
+
+
+@query(_with(INPUTS, 'SELECT chrom, s AS "start", e AS "end", CAST(vid AS VARCHAR) AS id, CAST(signal AS VARCHAR) AS signal FROM V'))
+def variants_from_text(spark, sf_dir):
+    v = readers.variants(spark, _as_text(t.variants(spark, sf_dir), "variants", "chrom", "start", "end", "vid", "signal"))
+    return v.select("chrom", "start", "end", F.get("extras", F.lit(0)).alias("id"), F.get("extras", F.lit(1)).alias("signal"))
+
+
+@query(_with(INPUTS, 'SELECT chrom, s AS "start", e AS "end", name FROM A'))
+def annotations_from_text(spark, sf_dir):
+    return readers.annotations(spark, _as_text(t.annotations(spark, sf_dir), "annotations", "chrom", "start", "end", "name")).drop("aid")
+
+
+@query(_with(SHORT, "SELECT v.vid, q.k3 AS kmer FROM SV v JOIN Q1 q ON v.chrom = q.chrom AND v.e = q.pos WHERE q.k3 NOT LIKE '%N%'"))
+def kmers_from_fasta(spark, sf_dir):
+    path = shared_path(spark, "fasta")
+    sinks.write_fasta(t.sequence(spark), path)
+    k = kmers.positions(readers.fasta(spark, path), 3).where(~F.col("kmer").contains("N"))
+    return t.short_variants(spark, sf_dir).withColumn("pos", F.col("end")).join(k, ["chrom", "pos"]).select("vid", "kmer")
+
+
+@query(_with(SHORT + _drawn("q.k3", "permute3"), 'SELECT perm, chrom, s AS "start", e AS "end" FROM X'))
+def permutation_files(spark, sf_dir):
+    """Permuted sets written one file a permutation and read back."""
+    path = shared_path(spark, "permutations")
+    sinks.write_permuted(_permute_short(spark, sf_dir, True), path)
+    return readers.permutations(spark, path).select("perm", "chrom", "start", "end")
+
+
+_LINE = "SELECT SA.chrom || chr(9) || SA.s || chr(9) || SA.e || chr(9) || 'ord' || SA.aid || chr(9) || printf('%.6f', p) AS line FROM"
+
+
+@query(_empirical_sql("").replace("SELECT aid, n_obs, count(*)", f"{_LINE} (SELECT aid, n_obs, count(*)").replace("GROUP BY aid, n_obs, sig", "GROUP BY aid, n_obs, sig) JOIN SA USING (aid)"))
+def burden_files_to_files(spark, sf_dir):
+    """The command line's p-values: variants, annotations, blacklist and permuted sets as files, a file of results, read as lines."""
+    perms, out = shared_path(spark, "permutations"), shared_path(spark, "results")
+    sinks.write_permuted(_permute_short(spark, sf_dir, True), perms)
+    inputs = {"variants": (t.short_variants(spark, sf_dir), []), "annotations": (_short_annotations(spark, sf_dir), ["name"]), "blacklist": (t.short_blacklist(spark, sf_dir), [])}
+    args = [x for name, (df, more) in inputs.items() for x in (f"--{name}", _as_text(df, name, "chrom", "start", "end", *more))]
+    cli.main(["pvalues", *args, "--permutations", perms, "--out", out], spark)
+    return spark.read.text(out).withColumnRenamed("value", "line")
+
+
 @query(_with(SHORT + _drawn("q.k3", "permute3"), "SELECT count(DISTINCT perm) AS n FROM X"))
 def permutation_count(spark, sf_dir):
     return _permute_short(spark, sf_dir, True).select("perm").distinct().agg(F.count("*").alias("n"))
@@ -586,7 +656,23 @@ def simulate_trimer(spark, sf_dir):
     return alg._with_extras(sites.draw_contexts(v, sites.segments(t.sequence(spark), bins, 3), PERMS, 3, "simulate3", SEED), v)
 
 
-@query()
+def _simulated(clusters: int, iterations: int, n: int) -> str:
+    """Absorbed short bins, their mean signal, z-scores, Lloyd's steps and draws over clusters."""
+    out = SHORT + SHORT_SIGNAL + _absorbed("AB", "SD", SHORT_MIN) + """
+Y0 AS (SELECT *, row_number() OVER (ORDER BY ord, s) - 1 AS rid FROM AB),
+Y1 AS (SELECT a.rid, coalesce(CAST(sum(v.value * (least(a.e, v.e) - greatest(a.s, v.s))) AS DOUBLE) / sum(least(a.e, v.e) - greatest(a.s, v.s)), 0) AS f FROM Y0 a LEFT JOIN SS v ON v.chrom = a.chrom AND v.s < a.e AND v.e > a.s GROUP BY a.rid),
+YZ AS (SELECT Y0.rid, chrom, ord, s, e, round((f - (SELECT avg(f) FROM Y1)) / (SELECT stddev_pop(f) FROM Y1), 9) AS f FROM Y0 JOIN Y1 ON Y0.rid = Y1.rid),
+"""
+    step = f"(SELECT count(*) // {clusters} FROM YZ)"
+    out += f"YK0 AS (SELECT CAST(rid // {step} AS INTEGER) AS c, f FROM YZ WHERE rid % {step} = 0 AND rid < {clusters} * {step}),\n"
+    for i in range(iterations):
+        out += f"""YM{i} AS MATERIALIZED (SELECT z.rid, arg_min(k.c, struct_pack(d := (z.f - k.f) * (z.f - k.f), c := k.c)) AS cluster FROM YZ z, YK{i} k GROUP BY z.rid),
+YK{i + 1} AS MATERIALIZED (SELECT YM{i}.cluster AS c, round(avg(f), 9) AS f FROM YZ JOIN YM{i} ON YZ.rid = YM{i}.rid GROUP BY YM{i}.cluster),
+"""
+    return out + f"ZB AS (SELECT chrom, s, e, CAST(cluster AS VARCHAR) AS grp FROM YZ JOIN YM{iterations - 1} m ON YZ.rid = m.rid),\n" + _drawn("q.k3", "simulate3", "a.grp", "ZB", n)
+
+
+@query(_with(_simulated(4, 3, 2), _X))
 def simulate_variants(spark, sf_dir):
     """The whole simulation, from covariates to new sites."""
     return alg.simulate_variants(t.short_variants(spark, sf_dir), t.short_blacklist(spark, sf_dir), t.genome(spark, t.SHORT), t.sequence(spark), [_short_signal(spark, sf_dir)], 2, SHORT_WIDTH, SHORT_MIN, True, 4, 3, 3, SEED).withColumn("extra", F.col("extra").cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .commit import listed
-from .permutation_files import PermutationFiles
+from .text_files import TextFiles
 
 
 def _line(*cols: Column) -> Column:
@@ -36,13 +36,26 @@ def write_permuted(permuted: DataFrame, path: str, ordered: bool = True) -> None
     """
     from ..functions.genome import order_of
 
-    if listed(path, deep=True):
-        raise ValueError(f"{path} holds files")
     rest = [c for c in permuted.columns if c not in ("perm", "vid", "chrom", "start", "end", "score")]
     score = [F.format_string("%e", "score")] if "score" in permuted.columns else []
     line = _line("chrom", F.col("start").cast("string"), F.col("end").cast("string"), *score, *(F.col(f"`{c}`").cast("string") for c in rest))
     place = [order_of(F.col("chrom")), F.col("start"), F.col("end")] if ordered else []
-    rows = permuted.where("perm IS NOT NULL").select(F.col("perm").cast("int").alias("perm"), line.alias("line"), *(c.alias(f"at{i}") for i, c in enumerate(place)))
-    dealt = rows.repartition("perm").sortWithinPartitions("perm", *(f"at{i}" for i in range(len(place))), "line")
-    permuted.sparkSession.dataSource.register(PermutationFiles)
-    dealt.select("perm", "line").write.format("permutation_files").mode("append").save(path)
+    file = F.format_string("perm=%d/permutation_%d.txt", F.col("perm").cast("int"), F.col("perm").cast("int"))
+    _write_files(permuted.where("perm IS NOT NULL").select(file.alias("file"), line.alias("line"), *(c.alias(f"at{i}") for i, c in enumerate([*place, line]))), path)
+
+
+def write_fasta(seq: DataFrame, path: str, width: int = 50) -> None:
+    """{path}/{chrom}.fa from chunks (chrom, chunk_start, bases): a header, then lines of width bases; a chunk's last line may be shorter."""
+    at = F.posexplode(F.sequence(F.lit(1), F.greatest(F.char_length("bases"), F.lit(1)), F.lit(width)))
+    lines = seq.select("chrom", "chunk_start", "bases", at.alias("i", "from")).select("chrom", "chunk_start", "i", F.expr(f"substring(bases, `from`, {width})").alias("line"))
+    heads = seq.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("chunk_start"), F.lit(0).alias("i"), F.concat(F.lit(">"), "chrom").alias("line"))
+    _write_files(heads.unionByName(lines).select(F.concat("chrom", F.lit(".fa")).alias("file"), "line", F.col("chunk_start").alias("at0"), F.col("i").alias("at1")), path)
+
+
+def _write_files(rows: DataFrame, path: str) -> None:
+    """rows: file, line and the columns they are sorted by."""
+    if listed(path, deep=True):
+        raise ValueError(f"{path} holds files")
+    rows.sparkSession.dataSource.register(TextFiles)
+    dealt = rows.repartition("file").sortWithinPartitions("file", *(c for c in rows.columns if c not in ("file", "line")))
+    dealt.select("file", "line").write.format("text_files").mode("append").save(path)
