@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         perms = readers.permutations(spark, a.permutations, scored=bool(a.signal)).withColumn("signal", F.col("score").cast("decimal(18,6)")) if a.signal else readers.permutations(spark, a.permutations)
         sinks.write_pvalues(alg.empirical_pvalues(_scored(v, a.signal, spark), readers.annotations(spark, a.annotations), b, perms, a.mode), a.out)
     else:
-        shape = (genome(spark), readers.fasta(spark, a.fasta))
+        shape = (genome(spark), lambda used: readers.fasta(spark, a.fasta, regions=used))
         flat = v.withColumn("extras", F.array_join("extras", "\t"))
         if a.what == "variants":
             moved = alg.permute_variants(flat, b, *shape, a.n, a.width, a.min_width, a.context == "y", seed=a.seed)

@@ -6,7 +6,9 @@ Zero variants give counts of 0; p-values are the share of permutations that reac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genome as g
@@ -89,13 +91,17 @@ def clean_bins(genome: DataFrame, blacklist: DataFrame, width: int, min_width: i
     return written(intervals.absorb(intervals.subtract(intervals.tile(genome, width), merged), min_width), "bins")
 
 
-def permute_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFrame, seq: DataFrame, n: int, width: int, min_width: int, preserve_context: bool = True, k: int = 3, seed: int = 0) -> DataFrame:
-    """perm, chrom, start, end and the variants' other columns: each variant at another site of its bin, of its own context, if that is preserved; else at any site of its bin that is no N."""
+def permute_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFrame, seq: DataFrame | Callable[[DataFrame], DataFrame], n: int, width: int, min_width: int, preserve_context: bool = True, k: int = 3, seed: int = 0) -> DataFrame:
+    """perm, chrom, start, end and the variants' other columns: each variant at another site of its bin, of its own context, if that is preserved; else at any site of its bin that is no N.
+
+    seq: chrom, chunk_start, bases, or a function that gives them for the bins in use, so that a reader need not read the rest.
+    """
     if n < 1:
         raise ValueError("n must be at least 1")
     bins = clean_bins(genome, blacklist, width, min_width)
     placed = written(intervals.assign(variants, bins), "placed")
     used = written(placed.select("chrom", F.col("bin_start").alias("start"), F.col("bin_end").alias("end"), F.concat_ws(":", "chrom", "bin_start").alias("grp")).distinct(), "used")
+    seq = seq(used) if callable(seq) else seq
     if preserve_context:
         drawn = sites.draw_contexts(placed, sites.segments(seq, used, k), n, k, f"permute{k}", seed)
     else:
@@ -120,7 +126,7 @@ def covariate_features(bins: DataFrame, covariates: list[DataFrame]) -> DataFram
     return out
 
 
-def simulate_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFrame, seq: DataFrame, covariates: list[DataFrame], n: int, width: int, min_width: int, preserve_context: bool = True, clusters: int = 100, iterations: int = 10, k: int = 3, seed: int = 0) -> DataFrame:
+def simulate_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFrame, seq: DataFrame | Callable[[DataFrame], DataFrame], covariates: list[DataFrame], n: int, width: int, min_width: int, preserve_context: bool = True, clusters: int = 100, iterations: int = 10, k: int = 3, seed: int = 0) -> DataFrame:
     """Like permute_variants, over all bins of the cluster of bins with like covariates instead of the own bin."""
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -134,6 +140,7 @@ def simulate_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFra
     if not preserve_context:
         return _with_extras(simulate_uniform(placed, laid, n, seed), variants)
     used = written(laid.join(placed.select("cluster").distinct(), "cluster").withColumn("grp", F.col("cluster").cast("string")), "used")
+    seq = seq(used) if callable(seq) else seq
     return _with_extras(sites.draw_contexts(placed, sites.segments(seq, used, k), n, k, f"simulate{k}", seed), variants)
 
 

@@ -13,12 +13,25 @@ from pyspark.sql import functions as F
 
 from ..functions.genome import canonical, is_standard
 from ..functions.staging import written
-from . import bigwig
+from . import bigwig, fasta_ranges
+from .commit import listed, opened
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    lines = _found(_read(lambda: spark.read.text(path), path), path)
-    return lines.select("value", F.split(F.rtrim("value"), "\t").alias("f"))
+    lines = _found(_read(lambda: spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block")), path), path)
+    return lines.select("value", "file_path", "block", F.split(F.rtrim("value"), "\t").alias("f"))
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows (value, file_path, block, ...) with an id: the line's hash and its number among equal lines. Numbers go by blocks of files and offsets, so a line that is
+    very often there is no single task's."""
+    here = ["value", "file_path", "block"]
+    per_block = rows.groupBy(*here).agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("value").orderBy("file_path", "block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_block.select(*here, F.sum("n").over(earlier).alias("before")).where("before > 0")
+    own = F.row_number().over(W.partitionBy(*here).orderBy("start"))
+    number = (F.col("own") + F.coalesce("before", F.lit(0))).cast("int")
+    return rows.withColumn("own", own).join(offsets, here, "left").withColumn(name, F.xxhash64("value", number))
 
 
 def _interval(lines: DataFrame, *more) -> DataFrame:
@@ -29,16 +42,14 @@ def _interval(lines: DataFrame, *more) -> DataFrame:
 
 def variants(spark: SparkSession, path: str) -> DataFrame:
     """vid, chrom, start, end, extras (all further columns). vid is a row's hash and its number among equal rows."""
-    rows = _interval(_lines(spark, path), F.slice("f", 4, 1 << 20).alias("extras"), "value")
-    same = F.row_number().over(W.partitionBy("value").orderBy("start"))
-    return rows.withColumn("vid", F.xxhash64("value", same)).select("vid", "chrom", "start", "end", "extras")
+    rows = _interval(_lines(spark, path), F.slice("f", 4, 1 << 20).alias("extras"), "value", "file_path", "block")
+    return _numbered(rows, "vid").select("vid", "chrom", "start", "end", "extras")
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """aid, chrom, start, end, name."""
-    rows = _interval(_lines(spark, path), F.get("f", F.lit(3)).alias("name"), "value")
-    same = F.row_number().over(W.partitionBy("value").orderBy("start"))
-    return rows.withColumn("aid", F.xxhash64("value", same)).select("aid", "chrom", "start", "end", "name")
+    rows = _interval(_lines(spark, path), F.get("f", F.lit(3)).alias("name"), "value", "file_path", "block")
+    return _numbered(rows, "aid").select("aid", "chrom", "start", "end", "name")
 
 
 def blacklist(spark: SparkSession, path: str) -> DataFrame:
@@ -69,18 +80,54 @@ def _read(read, path: str) -> DataFrame:
         raise ValueError(f"{path} does not exist") from e
 
 
-def fasta(spark: SparkSession, folder: str, chunk: int = 1 << 16) -> DataFrame:
+def _fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Written: file_path, block (of the file, where Spark split it), i (order in it), header, n (bases, white space left out), b, and the line's bytes, its end as one."""
+    text = _read(lambda: spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block")), path)
+    lines = written(_found(text, path).withColumn("i", F.monotonically_increasing_id()), "fasta")
+    first = (F.col("block") == 0) & (F.row_number().over(W.partitionBy("file_path", "block").orderBy("i")) == 1)
+    bases = F.regexp_replace("value", r"\s+", "")
+    return lines.select("file_path", "block", "i", first.alias("header"), bases.alias("b"), F.char_length(bases).cast("long").alias("n"), (F.octet_length("value") + 1).alias("bytes"))
+
+
+def index_fasta(spark: SparkSession, folder: str) -> list[str]:
+    """Writes {name}.fa.fai beside each {folder}/{name}.fa whose lines are of one length, the last aside, and end in one byte; gives those names. One pass over the files."""
+    rows = fasta_ranges.index_rows(_fasta_lines(spark, f"{folder}/*.fa")).collect()  # one row a file
+    system, inside = opened(folder)
+    done = []
+    for r in rows:
+        name = r.file_path.rsplit("/", 1)[-1].removesuffix(".fa")
+        size = system.get_file_info(f"{inside}/{name}.fa").size
+        ends = r.length + -(-r.length // r.width)  # one byte ends each line; the last one's may be missing
+        if r.bytes == r.width + 1 and size - r.offset in (ends, ends - 1):
+            with system.open_output_stream(f"{inside}/{name}.fa.fai") as out:
+                out.write(f"{name}\t{r.length}\t{r.offset}\t{r.width}\t{r.bytes}\n".encode())
+            done.append(name)
+    return sorted(done)
+
+
+def fasta(spark: SparkSession, folder: str, chunk: int = 1 << 16, regions: DataFrame | None = None) -> DataFrame:
     """chrom, chunk_start, bases from {folder}/{chrom}.fa, one header line each; white space is dropped.
 
-    Files are read by lines and split as Spark splits text, so no chromosome is one row or one task: a line's position is the number of bases before
+    regions (chrom, start, end): only the sequence near these is needed. Of files with an index (see index_fasta) only its byte ranges are read then; others are read whole.
+    Whole files are read by lines and split as Spark splits text, so no chromosome is one row or one task: a line's position is the number of bases before
     it in its block of the file, plus those of earlier blocks. A chunk is the lines that begin in one range of chunk positions, so its length varies by a line.
     """
-    path = f"{folder}/*.fa"
-    text = _read(lambda: spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block")), path)
-    lines = written(_found(text, path).withColumn("i", F.monotonically_increasing_id()), "fasta")
+    if regions is None:
+        return _whole_fasta(spark, f"{folder}/*.fa", chunk)
+    runs = fasta_ranges.asked_runs(regions)
+    known = {n: "chrM" if n == "chrMT" else n for n in fasta_ranges.indexes(folder)}
+    by_range = {n: runs[c] for n, c in known.items() if c in runs}
+    files = {x.rsplit("/", 1)[-1].removesuffix(".fa") for x in listed(folder) if x.endswith(".fa")}
+    whole = [n for n in sorted(files - set(by_range)) if ("chrM" if n == "chrMT" else n) in runs]
+    parts = [fasta_ranges.read(spark, folder, by_range).withColumn("chrom", canonical(F.col("chrom")))] if by_range or not whole else []
+    if whole:
+        parts.append(_whole_fasta(spark, [f"{folder}/{n}.fa" for n in whole], chunk))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
+def _whole_fasta(spark: SparkSession, path: str | list[str], chunk: int) -> DataFrame:
+    bases = _fasta_lines(spark, path).where("NOT header")
     in_block = W.partitionBy("file_path", "block").orderBy("i")
-    header = (F.col("block") == 0) & (F.row_number().over(in_block) == 1)
-    bases = lines.select("file_path", "block", "i", header.alias("header"), F.regexp_replace("value", r"\s+", "").alias("b")).where("NOT header").withColumn("n", F.char_length("b").cast("long"))
     by_file = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = bases.groupBy("file_path", "block").agg(F.sum("n").alias("size")).select("file_path", "block", F.coalesce(F.sum("size").over(by_file), F.lit(0)).alias("before"))
     at = bases.withColumn("in", F.sum("n").over(in_block) - F.col("n")).join(blocks, ["file_path", "block"]).withColumn("at", F.col("before") + F.col("in")).where("n > 0")
