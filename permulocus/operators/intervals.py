@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .overlap import BUCKET, overlap_pairs
+from ..functions.staging import written
+from .overlap import overlap_pairs
 
 
 def _carried(rows: DataFrame, value: Column, keys: list[str], name: str) -> DataFrame:
@@ -19,6 +17,10 @@ def _carried(rows: DataFrame, value: Column, keys: list[str], name: str) -> Data
     return rows.join(totals.select(*keys, "bucket", F.max("m").over(before).alias(name)), [*keys, "bucket"])
 
 
+#: Bases of a bucket of merge's two levels.
+BUCKET = 1 << 14
+
+
 def merge(intervals: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The islands of intervals that overlap or touch, in two levels: within buckets of the start and over buckets."""
     keys = ["chrom"]
@@ -58,37 +60,40 @@ def subtract(bins: DataFrame, blacklist: DataFrame) -> DataFrame:
     return free.unionByName(gaps)
 
 
-def absorb(bins: DataFrame, min_width: int, stretch: int = 1 << 22) -> DataFrame:
+def absorb(bins: DataFrame, min_width: int) -> DataFrame:
     """Bins narrower than min_width go: into the bin before if that touches and is left, else into the bin after if
-    that touches; both grow. The fold runs from left to right over runs of touching bins, which are independent.
+    that touches; both grow. The rule runs from left to right over runs of touching bins.
 
-    Runs are dealt to tasks by chromosome and stretch of the genome, each run whole.
+    After a wide bin the rule always stands the same: the narrow bin behind it joins it. A narrow bin whose left neighbour is gone or missing grows to the right up to the
+    bin that holds its start + min_width, and what it has become takes in one more narrow bin behind; then the next one stands as it did. So the rule is a function from
+    such a bin to the next, found by joins on touching ends and one overlap join. Functions are composed by doubling, and those that a run's beginning or a wide bin leads to are marked: as
+    many rounds as the logarithm of the longest stretch of narrow bins, over narrow bins alone, and no bin waits for all before it.
     """
-    keys = W.partitionBy("chrom").orderBy("start")
-    gap = F.lag("end").over(keys)
-    run = bins.withColumn("opens", F.when(gap.isNull() | (gap != F.col("start")), F.col("start")))
-    run = run.withColumn("run", F.last("opens", ignorenulls=True).over(keys.rowsBetween(W.unboundedPreceding, W.currentRow)))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["run", "start"])
-        out = [r for _, g in pdf.groupby("run", sort=True) for r in _absorb_run(g[["start", "end"]].to_numpy().tolist(), min_width)]
-        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "ord": pdf["ord"].iloc[0], "start": [int(r[0]) for r in out], "end": [int(r[1]) for r in out]})
-
-    return run.withColumn("stretch", F.floor(F.col("run") / stretch)).groupBy("chrom", "stretch").applyInPandas(fold, "chrom string, ord int, start long, end long")
-
-
-def _absorb_run(bins: list[list[int]], min_width: int) -> Iterator[list[int]]:
-    """One run of touching bins. A bin whose left neighbour is gone has no left neighbour, whatever was further left."""
-    gone = [False] * len(bins)
-    for i, (start, end) in enumerate(bins):
-        if end - start >= min_width:
-            continue
-        if i and not gone[i - 1]:
-            bins[i - 1][1] = end
-        elif i + 1 < len(bins):
-            bins[i + 1][0] = start
-        gone[i] = True
-    return (b for b, g in zip(bins, gone, strict=True) if not g)
+    own = written(bins.select("chrom", "ord", "start", "end"), "whole-bins")
+    narrow = F.col("end") - F.col("start") < min_width
+    if own.where(narrow).isEmpty():
+        return own
+    right = own.select("chrom", F.col("start").alias("end"), F.col("end").alias("r_end"), narrow.alias("r_narrow"))
+    left = own.select("chrom", F.col("end").alias("start"), F.lit(True).alias("touched"))
+    rows = own.join(right, ["chrom", "end"], "left").join(left, ["chrom", "start"], "left")
+    takes = F.coalesce("r_narrow", F.lit(False))
+    rows = written(rows.select("chrom", "ord", "start", "end", narrow.alias("narrow"), F.coalesce("touched", F.lit(False)).alias("touched"), F.when(takes, F.col("r_end")).otherwise(F.col("end")).alias("reach"), F.when(takes, F.col("r_end")).alias("node")), "neighbours")
+    small = rows.where("narrow").select("chrom", "start", "end")
+    inside = overlap_pairs(merge(own).select("chrom", "start", "end"), small, "point").where(F.col("v_start") + min_width <= F.col("end"))
+    at = F.col("v_start") + min_width
+    asked = inside.select("chrom", (at - 1).alias("start"), at.alias("end"), F.col("v_start").alias("from"))
+    grown = overlap_pairs(rows.drop("narrow", "touched"), asked, "point", levels=(None, [0]))
+    hops = written(grown.select("chrom", "ord", F.col("v_from").alias("from"), F.col("start").alias("into"), "reach", "node"), "hops")
+    steps = [written(hops.where("node IS NOT NULL").select("chrom", "from", F.col("node").alias("to")).join(small.select("chrom", F.col("start").alias("to")), ["chrom", "to"], "left_semi"), "steps")]
+    while not steps[-1].isEmpty():
+        onward = steps[-1].select("chrom", F.col("from").alias("to"), F.col("to").alias("next"))
+        steps.append(written(steps[-1].join(onward, ["chrom", "to"]).select("chrom", "from", F.col("next").alias("to")), "steps"))
+    marked = rows.where("narrow AND NOT touched").select("chrom", F.col("start").alias("from")).unionByName(rows.where("NOT narrow AND node IS NOT NULL").select("chrom", F.col("node").alias("from"))).distinct()
+    for step in steps[-2::-1]:
+        marked = written(marked.unionByName(step.join(marked, ["chrom", "from"], "left_semi").select("chrom", F.col("to").alias("from"))).distinct(), "marked")
+    pieces = hops.join(marked, ["chrom", "from"], "left_semi").select("chrom", "ord", "into", F.col("from").alias("start"), F.col("reach").alias("end"))
+    wide = rows.where("NOT narrow").select("chrom", "ord", F.col("start").alias("into"), "start", F.col("reach").alias("end"))
+    return pieces.unionByName(wide).groupBy("chrom", "ord", "into").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("into")
 
 
 def assign(variants: DataFrame, bins: DataFrame) -> DataFrame:
