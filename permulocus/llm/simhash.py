@@ -223,7 +223,7 @@ def first_shingles(s: np.ndarray, hot: np.ndarray, place: np.ndarray) -> np.ndar
 
 
 def text_prints(docs: DataFrame, id_col: str, text_col: str, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (doc_id, k1, k2, fa, fb, p0.., n, tokens): a 128-bit key of the text's words in order, the fingerprint's halves, parities, number of shingles, the first of them, more parities."""
+    """Rows (doc_id, text_hash, k1, k2, fa, fb, p0.., n, tokens): a hash of the text as it stands, a 128-bit key of the text's words in order, the fingerprint's halves, parities, number of shingles, the first of them, more parities."""
     names = ("k1", "k2", "fa", "fb", *_PARITY)
     sent = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_SHINGLES pairs of numbers at most
 
@@ -252,11 +252,11 @@ def text_prints(docs: DataFrame, id_col: str, text_col: str, hot: tuple[np.ndarr
                 rows = [one(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
                 keys = np.array([r[0] for r in rows], dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array(keys[:, i]) for i in range(len(names))), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (2, 3))],
-                    ["doc_id", *names, "n", "tokens", "wide"],
+                    [b.column(0), b.column(2), *(pa.array(keys[:, i]) for i in range(len(names))), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (2, 3))],
+                    ["doc_id", "text_hash", *names, "n", "tokens", "wide"],
                 )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in names) + "n long, tokens array<long>, wide array<long>")
+    return _texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, " + "".join(f"{c} long, " for c in names) + "n long, tokens array<long>, wide array<long>")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,23 +396,24 @@ def similar_groups(docs: DataFrame, prints: DataFrame, texts: DataFrame, id_col:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, component_id) of documents that are not the smallest of their group. Texts of equal words are copies; so are all without words.
+    """Rows (doc_id, text_hash, component_id) of texts that have a copy under a smaller id, which is their component's. Texts of equal words are copies; so are all without words.
 
-    Rows with a null id are in no group; several texts under one id count as one document, for which the first that was written stands.
+    Rows with a null id are in no group. Of several texts under one id each is judged by itself; of those that have no copy of equal words under a smaller id, one is also compared
+    with other documents' texts for similarity, and the others stay.
     """
     prints = stage(text_prints(docs, id_col, text_col, hot_shingles(docs, id_col, text_col, HOT_SAMPLE)).withColumn("row", F.monotonically_increasing_id()), "near-prints")
     keys = stage(prints.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("rep"), "m.row"), "near-keys")
-    texts = stage(keys.groupBy("rep").agg(F.min(F.struct("row", "k1", "k2")).alias("t")).select("rep", "t.*"), "near-texts")
-    labels = similar_groups(docs, prints, texts, id_col, text_col)
-    named = keys.join(labels, keys["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    return prints.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).where("doc_id <> component_id").select("doc_id", "component_id")
+    texts = stage(keys.groupBy("rep").agg(F.min(F.struct("k1", "k2", "row")).alias("t")).select("rep", "t.*"), "near-texts")
+    labels = similar_groups(docs, prints, texts, id_col, text_col).join(texts.select(F.col("rep").alias("node"), "k1", "k2"), "node")
+    named = keys.join(labels, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "text_hash", "k1", "k2").join(named, ["k1", "k2"]).where("doc_id <> component_id").select("doc_id", "text_hash", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies of a document that has a smaller id."""
-    name = fresh(docs.columns, "gone")
-    gone = stage(near_copies(docs, id_col, text_col).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    """docs without the rows whose text is a near copy of one with a smaller id."""
+    doc, text_hash = fresh(docs.columns, "gone"), fresh(docs.columns, "hash")
+    gone = stage(near_copies(docs, id_col, text_col).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).distinct(), "near-gone")
+    return docs.join(gone, (F.col(id_col) == F.col(doc)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text_hash)), "left_anti")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,3 +219,16 @@ def test_trie_turnless_and_empty(spark):
     c = next(c for c in range(1, 1000) if c % 5 and zlib.crc32(str(c).encode()) % 9 >= 2)
     assert trie(spark, [(c, 0, "user", "only")]) == [(c, 0, None, 1, 0, 1, 0, sha(str(c)))]
     assert prefix_trie.trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# --- near copies, by text ---
+
+
+def test_keep_one_judges_texts_not_ids(spark):
+    from permulocus.llm import simhash
+
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(rng.choice("lorem ipsum dolor sit amet vita nova terra aqua ignis ventus luna sol stella mare".split()) + str(rng.randrange(400)) for _ in range(80)) for _ in range(5))
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (5, d), (9, c), (9, c), (7, None), (8, ""), (None, a), (11, e + " one more"), (10, e)], "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter([(1, a), (5, b), (5, d), (9, c), (9, c), (7, None), (None, a), (10, e)])
