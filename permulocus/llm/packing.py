@@ -26,7 +26,7 @@ from .common import shared_dir, table
 SEQ_LEN = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a Python worker keeps; then the cache starts anew. About 150 bytes each.
+#: Distinct words whose ids a Python worker keeps; then the cache starts anew. About 250 bytes each, held as long as the worker lives, beside whatever runs there later.
 CACHE_WORDS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,11 +44,11 @@ class WordIds(dict):
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.full, self.dtype = Tokenizer.from_file(path), dtype
+        self.full, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
         self.model, self.pieces = self.full.model, {}
         spec = str(self.full.normalizer) + str(self.full.pre_tokenizer)
         #: The short way holds for this normalizer and pre-tokenizer only.
@@ -60,13 +60,13 @@ class WordIds(dict):
     def piece(self, p: str) -> bytes:
         ids = self.pieces.get(p)
         if ids is None:
-            if len(self.pieces) >= CACHE_WORDS // 2:
+            if len(self.pieces) >= self.most // 2:
                 self.pieces.clear()
             ids = self.pieces[p] = np.array([t.id for t in self.model.tokenize(p.translate(self.spelled))], self.dtype).tobytes()
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         w = word.decode()
         if self.short and "<|" not in w and self.PLAIN.fullmatch(w):
@@ -77,22 +77,22 @@ class WordIds(dict):
         return ids
 
 
-_WORDS: dict[str, WordIds] = {}
+_WORDS: dict[tuple[str, int], WordIds] = {}
 
 
-def _tokenizer(path: str, dtype: str) -> WordIds:
+def _tokenizer(path: str, dtype: str, most: int) -> WordIds:
     """One cache a Python worker, kept from task to task."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path, dtype)
-    return _WORDS[path]
+    if (path, most) not in _WORDS:
+        _WORDS[path, most] = WordIds(path, dtype, most)
+    return _WORDS[path, most]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Rows (doc_id, part, before, n, ids): ids in 2 bytes each where the vocabulary allows, before: ids of the partition's earlier rows."""
     dtype = "<u2" if max(vocab_size, end_id + 1) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _tokenizer(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
+        words, end = _tokenizer(tokenizer_path, dtype, cache_words), np.array([end_id], dtype).tobytes()
         part, before, width = TaskContext.get().partitionId(), 0, len(end)
         for batch in batches:
             ids = [b"".join(map(words.__getitem__, (t or b"").split())) + end for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -104,14 +104,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int)
     return docs.mapInArrow(run, _TOKENS)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of documents in sequences of seq_len tokens; with_ids adds the ids themselves."""
+def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of documents in sequences of seq_len tokens; with_ids adds the ids themselves. cache_words bounds what a worker remembers, no result."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     vocab = Tokenizer.from_file(tokenizer_path).get_vocab_size()
     path = shared_dir(spark, "packing")
-    tokens = tokenize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), tokenizer_path, end_id, vocab)
+    tokens = tokenize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), tokenizer_path, end_id, vocab, cache_words)
     tokens.write.option("compression", "zstd").parquet(path)
     staged = spark.read.schema(tokens.schema).parquet(path)
     # One row a partition of pass 1: the prefix sums are as many numbers as that pass had tasks.
