@@ -30,7 +30,7 @@ def write_pvalues(results: DataFrame, path: str) -> None:
 
 
 def write_permuted(permuted: DataFrame, path: str, ordered: bool = True) -> None:
-    """One sorted file a permutation (perm=1/permutation_1.txt, ...): chrom, start, end, score if there, other columns. All files appear at once, when every task has ended.
+    """One sorted file a permutation (perm=1/part-1.txt, ...): chrom, start, end, score if there, other columns. All files appear at once, when every task has ended.
 
     ordered=False leaves a file's lines as they come. A folder that holds files raises ValueError.
     """
@@ -40,7 +40,7 @@ def write_permuted(permuted: DataFrame, path: str, ordered: bool = True) -> None
     score = [F.format_string("%e", "score")] if "score" in permuted.columns else []
     line = _line("chrom", F.col("start").cast("string"), F.col("end").cast("string"), *score, *(F.col(f"`{c}`").cast("string") for c in rest))
     place = [order_of(F.col("chrom")), F.col("start"), F.col("end")] if ordered else []
-    file = F.format_string("perm=%d/permutation_%d.txt", F.col("perm").cast("int"), F.col("perm").cast("int"))
+    file = F.format_string("perm=%d/part-%d.txt", F.col("perm").cast("int"), F.col("perm").cast("int"))
     _write_files(permuted.where("perm IS NOT NULL").select(file.alias("file"), line.alias("line"), *(c.alias(f"at{i}") for i, c in enumerate([*place, line]))), path)
 
 

@@ -85,9 +85,9 @@ def test_one_sorted_file_a_permutation(spark, tmp_path):
     data = [(p, i, rng.choice(["chr2", "chr10", "chrX"]), s := rng.randrange(1000), s + 1, "é" * (i % 3)) for p in (1, 2, 11) for i in range(300)]
     df = spark.createDataFrame(data, f"perm int, vid long, {IV}, alt string").repartition(5)
     sinks.write_permuted(df, f"{tmp_path}/perms")
-    assert files(tmp_path / "perms") == [f"perm={p}/permutation_{p}.txt" for p in (1, 11, 2)]
+    assert files(tmp_path / "perms") == [f"perm={p}/part-{p}.txt" for p in (1, 11, 2)]
     for p in (1, 2, 11):
-        lines = (tmp_path / f"perms/perm={p}/permutation_{p}.txt").read_text().split("\n")[:-1]
+        lines = (tmp_path / f"perms/perm={p}/part-{p}.txt").read_text().split("\n")[:-1]
         order = [(["chr2", "chr10", "chrX"].index(x[0]), int(x[1]), int(x[2])) for x in (line.split("\t") for line in lines)]
         assert len(lines) == 300 and order == sorted(order)
     back = readers.permutations(spark, f"{tmp_path}/perms")
@@ -102,4 +102,4 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
         sinks.write_permuted(df, f"{tmp_path}/perms")
     assert files(tmp_path / "perms") == []
     sinks.write_permuted(df.where("perm < 1 AND id < 50"), f"{tmp_path}/perms")
-    assert files(tmp_path / "perms") == ["perm=0/permutation_0.txt"]
+    assert files(tmp_path / "perms") == ["perm=0/part-0.txt"]
