@@ -101,6 +101,38 @@ def test_containment_brute_force(spark):
     assert decontaminate.contained_items(docs.limit(0), frame).count() == 0 and decontaminate.contained_items(docs, frame.limit(0)).count() == 0
 
 
+def test_containment_asks_little(spark):
+    """An item of one shingle has a random hash; what documents ask for does not follow it. A document too short for a partition does not ask it."""
+    rng = random.Random(21)
+    text = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    items = ["one", "a b c d e", text(30), text(300)]
+    docs = docs_of(spark, [text(2000) for _ in range(20)] + [items[2] + " " + text(2000), items[3], "one", "x a b c d e y", items[3][: len(items[3]) // 2], items[3] + " " + items[3]])
+    item = decontaminate.sketched(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    sketch = item.select("item", "upper", "least_hits", F.explode(F.slice(F.sort_array("h"), F.lit(1), F.col("width"))).alias("h"))
+    whole = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), decontaminate.plain_words(F.col("text")).alias("w"))
+    asked = decontaminate.asked_hashes(whole, item, sketch).collect()
+    true = sketch.count()
+    assert len(asked) < 4 * true + 20 * 2000 // 16  # of 43,000 shingles
+    assert {r.upper for r in asked if r.doc in (22, 23)} == {1} and {r.upper for r in asked if r.doc == 24} <= {1, 32}
+    got = {(r.doc, r.item_id): (r.shared, r.item_shingles) for r in decontaminate.contained_items(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(20, 2): (26, 26), (21, 3): (296, 296), (22, 0): (1, 1), (23, 1): (1, 1), (25, 3): (296, 296)}
+
+
+def test_containment_odd_tables(spark):
+    """Null ids, repeated rows, items with equal shingles, an item id on two texts, a full filter, columns of any name."""
+    docs = spark.createDataFrame([(None, "a b c d e f", 1), (3, "a b c d e f", 2), (3, "a b c d e f", 2), (3, "none of it at all here", 4)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, "A, b c D e f"), (2, "a b c d e f"), (2, "b c d e f"), (3, None), (None, "a b c d e f")], "item_id long, text string")
+    for bits in (64, 1 << 20):
+        decontaminate.FILTER_BITS, before = bits, decontaminate.FILTER_BITS
+        try:
+            got = Counter((r.doc, r.item_id, r.shared) for r in decontaminate.contained_items(docs, items).collect())
+        finally:
+            decontaminate.FILTER_BITS = before
+        assert got == Counter({(d, i, 2): 1 for d in (None, 3) for i in (1, 2, None)})
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and [r["item_id"] for r in left.collect()] == [4]
+
+
 # --- 3 ---
 
 
