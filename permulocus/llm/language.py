@@ -10,7 +10,7 @@ by (language, n-gram) with a map-side sum. Every language is learned; a profile
 BLOCK languages: a text's nearest language so far goes on from block to block, so what one task holds is bounded.
 
 Cases: null text, and text without a letter, is "und" with score 0; so is all if nothing was learned; repeated rows get equal rows; rows with a
-null id are predicted and not learned from; an empty table gives none; whole texts count, however long; other columns are ignored.
+null id are predicted and not learned from; a language may itself be called und; an empty table gives none; whole texts count, however long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 keys, n = ngrams("\n".join(texts))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= top)
@@ -80,18 +80,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {lang: np.array(g, np.int64) for lang, g in out.items()}
 
 
-def nearest(text: str, names: list[str], keys: list[np.ndarray], ranks: list[np.ndarray], top: int = TOP, known: tuple[str, float] = ("und", 0.0)) -> tuple[str, float]:
-    """The nearest of names and its score, or what is known of names before these if none is nearer."""
+def nearest(text: str, names: list[str], keys: list[np.ndarray], ranks: list[np.ndarray], top: int = TOP, known: tuple[str, float] | None = None) -> tuple[str, float]:
+    """The nearest of names and its score, or what is known of names before these (None: there were none) if none is nearer."""
     own = profile(text, top)
     if not names or not (own >> 60 == 1).any():
-        return known
+        return known or ("und", 0.0)
     at, best = np.arange(len(own)), (np.inf, 0)
     for i, (k, r) in enumerate(zip(keys, ranks, strict=True)):
         j = np.minimum(np.searchsorted(k, own), len(k) - 1)
         d = int(np.where(k[j] == own, np.abs(r[j] - at), top).sum())
         best = min(best, (d, i))
     score = 1.0 - best[0] / (top * len(own))
-    return (names[best[1]], score) if known[0] == "und" or score > known[1] else known
+    return (names[best[1]], score) if known is None or score > known[1] else known
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", top: int = TOP) -> DataFrame:
@@ -99,14 +99,14 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
     carried = [f for f in docs.schema.fields if f.name != text_col]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried) + f"`{text_col}` string, lang_pred string, score double"
 
-    def over(names: list[str]):
+    def over(names: list[str], first: bool):
         order = [np.argsort(profiles[n]) for n in names]
         keys, ranks = [profiles[n][o] for n, o in zip(names, order, strict=True)], order
         at = len(carried)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                known = zip(b.column(at + 1).to_pylist(), b.column(at + 2).to_pylist(), strict=True)
+                known = [None] * b.num_rows if first else zip(b.column(at + 1).to_pylist(), b.column(at + 2).to_pylist(), strict=True)
                 found = [nearest(t or "", names, keys, ranks, top, k) for t, k in zip(b.column(at).to_pylist(), known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at + 1)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*b.schema.names])
 
@@ -115,7 +115,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
     out = docs.select(*(f"`{f.name}`" for f in carried), F.col(text_col).cast("string").alias(text_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     names = sorted(profiles)
     for i in range(0, len(names), BLOCK):
-        out = out.mapInArrow(over(names[i : i + BLOCK]), schema)
+        out = out.mapInArrow(over(names[i : i + BLOCK], i == 0), schema)
     return out.drop(text_col)
 
 

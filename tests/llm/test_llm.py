@@ -317,6 +317,95 @@ def test_language_odd_texts(spark):
     assert {r.lang_pred for r in language.predict(docs_of(spark, ["x", None]).select("doc_id", "text"), {}).collect()} == {"und"}
 
 
+def _grams_brute(text):
+    runs = "".join(c if c.isalpha() else " " for c in text.lower())
+    s = " " + " ".join(runs.split(" ")) + " "
+    while "  " in s:
+        s = s.replace("  ", " ")
+    n = Counter(c for c in s if c != " ")
+    for k in (2, 3):
+        n.update(s[i : i + k] for i in range(len(s) - k + 1))
+    return n
+
+
+def _profile_brute(text, top):
+    """Equals go by length, then code points, a word end being the smallest."""
+    code = lambda g: [0 if c == " " else ord(c) for c in g]
+    n = _grams_brute(text)
+    return sorted(n, key=lambda g: (-n[g], len(g), code(g)))[:top]
+
+
+@pytest.mark.parametrize("block", [1, 2, 200])
+def test_language_brute_force(spark, monkeypatch, block):
+    """Profiles, out-of-place distances and ties, in blocks of any size; one language is called und, two are equal, null ids are not learned from."""
+    monkeypatch.setattr(language, "BLOCK", block)
+    rng = random.Random(12)
+    make = lambda abc: " ".join("".join(rng.choice(abc) for _ in range(rng.randrange(1, 8))) for _ in range(60))
+    abcs = {"aa": "abcdeé", "b": "bcdefg", "und": "efghi", "z": "ghijkß"}
+    learned = [(i, make(abc), lang) for i, (lang, abc) in enumerate(abcs.items())] + [(9, None, "b")]
+    learned += [(10, learned[1][1], "twin"), (10, learned[1][1], "twin")]
+    df = spark.createDataFrame([*learned, (None, make("xyz"), "b"), (11, make("xyz"), None)], "doc_id long, text string, lang string")
+    texts = [make(rng.choice([*abcs.values(), "abcdefghijk"])) for _ in range(25)] + [learned[1][1], "", None, "12 !", "b", "b", "Ab-bA" * 3000]
+    top = 40
+    by = {}
+    for _, t, lang in learned:
+        by[lang] = by.get(lang, "") + "\n" + (t or "")
+    profiles = {lang: _profile_brute(t, top) for lang, t in by.items()}
+    want = []
+    for t in texts:
+        own = _profile_brute(t or "", top)
+        if not any(c.isalpha() for c in t or ""):
+            want.append(("und", 0.0))
+            continue
+        far = {lang: sum(abs(p.index(g) - i) if g in p else top for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=lambda x: far[x])
+        want.append((best, 1 - far[best] / (top * len(own))))
+    model = language.train(df, top=top)
+    assert sorted(model) == sorted(profiles)
+    got = language.predict(docs_of(spark, texts).select("doc_id", "text"), model, top=top).orderBy("doc_id").collect()
+    assert [(r.lang_pred, pytest.approx(r.score)) for r in got] == want
+    assert language.predict(docs_of(spark, []).select("doc_id", "text"), model, top=top).count() == 0
+
+
+def test_toxicity_brute_force(spark, monkeypatch):
+    """Counts of texts by n-gram, log-count ratios, the chosen features and the scores that given weights make."""
+    monkeypatch.setattr(toxicity, "FEATURES", 30)
+    rng = random.Random(13)
+    vocabulary = ["vile", "muck", "good", "day", "Tree", "river", "süß"]
+    texts = [" ".join(rng.choice(vocabulary[: 7 if i % 2 else 5]) for _ in range(6)) for i in range(60)] + [None, "", LONG]
+    label = [int("vile" in (t or "") and "muck" in t) for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "vile")], "id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([*enumerate(label), (999, 1)], "id long, label int"))
+
+    def grams(t):
+        s = " " + " ".join((t or "").lower().split()) + " "
+        return {s[i : i + n] for n in toxicity.GRAMS for i in range(len(s) - n + 1)}
+
+    bucket = lambda t: set(toxicity.buckets(t or "").tolist())
+    assert all(len(bucket(t)) <= len(grams(t)) and (len(bucket(t)) > 0) == (len(grams(t)) > 0) for t in texts)
+    n = Counter(label)
+    p, q = Counter(), Counter()
+    for t, k in zip(texts, label, strict=True):
+        (p if k else q).update(bucket(t))
+
+    def worth(b):
+        pooled = (p[b] + q[b]) / len(texts)
+        return abs(p[b] / n[1] - q[b] / n[0]) / math.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / n[1] + 1 / n[0]))
+
+    able = [b for b in p | q if p[b] + q[b] >= toxicity.MIN_TEXTS]
+    chosen = sorted(able, key=lambda b: (-round(worth(b), 12), b))[:30]
+    held = set(np.flatnonzero(model.slots >= 0).tolist())
+    least = min(worth(b) for b in chosen)
+    assert len(held) == 30 and all(worth(b) >= least - 1e-9 for b in held)
+    given = toxicity.Model(model.slots, np.arange(30) / 10 - 1, -0.5)
+    sent = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    for r in toxicity.score(sent, given).collect():
+        z = -0.5 + sum(given.weights[model.slots[b]] for b in bucket(texts[r.doc_id]) & held)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z))) and r.predicted == int(r.score >= 0.7)
+    fitted = toxicity.score(sent, model).collect()
+    assert len(fitted) == 2 * len(texts) and sum((r.score >= 0.5) == bool(label[r.doc_id]) for r in fitted) > 1.8 * len(texts)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op10_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
