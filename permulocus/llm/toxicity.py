@@ -1,12 +1,15 @@
 """Operator 10, toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features: which character n-grams (lengths in GRAMS, lower-cased, white space as one blank) a text holds, hashed to
-2**HASH_BITS buckets. r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), from the numbers p and q of toxic and other
-training texts that hold a bucket. The FEATURES buckets whose shares among toxic and other texts differ most (in standard errors), with at
+Features: which character n-grams (lengths in GRAMS, lower-cased, white space as one blank) a text holds once, twice or three times
+at least (LEVELS), hashed to 2**HASH_BITS buckets; a bucket at a level is a feature of its own. r = log((p + 1) / |p + 1|) -
+log((q + 1) / |q + 1|), from the numbers p and q of toxic and other
+training texts that hold a feature. The FEATURES ones whose shares among toxic and other texts differ most (in standard errors), with at
 least MIN_TEXTS texts, are kept; on them, with value r where held, Spark's logistic regression is trained, both labels weighing the same. A
 score is its probability for the whole text, so it is that of label 1 where both labels are equally frequent.
 
-Training uses at most about TRAIN_PER_LABEL rows a label, by hash of the id (a documented bound). Counts are summed by bucket.
+Levels, FEATURES and REGULARIZATION were chosen by cross-validation on training rows, equal texts in one fold.
+
+Training uses at most about TRAIN_PER_LABEL rows a label, by hash of the id (a documented bound). Counts are summed by feature.
 The model is FEATURES weights.
 
 Cases: null or empty text has no feature and gets the score of the intercept; without both labels in training every score is
@@ -31,11 +34,12 @@ from .common import stage, table
 
 GRAMS = (4, 5, 6, 7)
 HASH_BITS = 20
+LEVELS = (1, 2, 3)
 FEATURES = 4096
 MIN_TEXTS = 5
 TRAIN_PER_LABEL = 8000
 CUT = 0.7
-REGULARIZATION = 1e-4
+REGULARIZATION = 1e-3
 MAX_ITERATIONS = 100
 FOLDS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -53,39 +57,53 @@ def buckets(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.array([], np.int64)
 
 
+def held(found: np.ndarray) -> np.ndarray:
+    """The features that n-grams of these buckets make: bucket + 2**HASH_BITS * k where one is there LEVELS[k] times or more."""
+    at, n = np.unique(found, return_counts=True)
+    return np.concatenate([at[n >= least] + (k << HASH_BITS) for k, least in enumerate(LEVELS)])
+
+
 @dataclass
 class Model:
-    slots: np.ndarray  # bucket -> feature or -1
+    slots: np.ndarray  # feature -> its place among the chosen ones, or -1
     weights: np.ndarray  # by feature, already times r
     intercept: float
 
+    def __post_init__(self) -> None:
+        self.asked = (self.slots.reshape(len(LEVELS), -1) >= 0).any(0)  # buckets with a chosen level
+
+    def places(self, text: str) -> np.ndarray:
+        """Places of the chosen features that the text holds, each once, ascending."""
+        found = buckets(text)
+        at = self.slots[held(found[self.asked[found]])]
+        return np.sort(at[at >= 0])
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            at = self.slots[buckets(t or "")]
-            out[i] = self.intercept + self.weights[np.unique(at[at >= 0])].sum()
+            out[i] = self.intercept + self.weights[self.places(t or "")].sum()
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """Rows (bucket, p, q): how many texts of label 1 and 0 hold it."""
+    """Rows (feature, p, q): how many texts of label 1 and 0 hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 << HASH_BITS), np.int64)
+        n = np.zeros((2, len(LEVELS) << HASH_BITS), np.int32)  # 24 MB a task, fixed by HASH_BITS
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n[label, np.unique(buckets(text))] += 1
-        held = np.flatnonzero(n.any(0))
-        for part in np.array_split(held, max(1, len(held) // 100_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[1, part]), pa.array(n[0, part])], ["bucket", "p", "q"])
+                n[label, held(buckets(text))] += 1
+        some = np.flatnonzero(n.any(0))
+        for part in np.array_split(some, max(1, len(some) // 100_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (part, n[1, part], n[0, part])], ["feature", "p", "q"])
 
-    return sample.select("label", "text").mapInArrow(run, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return sample.select("label", "text").mapInArrow(run, "feature long, p long, q long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) -> Model:
     """docs: id, text; labels: id, label (0 or 1), one row an id. Only the drawn ids are broadcast, about 2 * per_label."""
     sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    none = np.full(1 << HASH_BITS, -1, np.int32)
+    none = np.full(len(LEVELS) << HASH_BITS, -1, np.int32)
     if len(sizes) < 2:
         return Model(none, np.zeros(0), -math.inf if 1 not in sizes else math.inf)
     share = {k: min(1.0, per_label / n) for k, n in sizes.items()}
@@ -101,18 +119,19 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
     pooled = (F.col("p") + F.col("q")) / F.lit(float(n[1] + n[0]))
     spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * F.lit(1 / n[1] + 1 / n[0]))
     weight = F.abs(F.col("p") / F.lit(n[1]) - F.col("q") / F.lit(n[0])) / spread
-    picked = counts.withColumn("r", ratio).select("bucket", "r", weight.alias("w")).orderBy(F.desc("w"), "bucket").limit(FEATURES).collect()
+    picked = counts.withColumn("r", ratio).select("feature", "r", weight.alias("w")).orderBy(F.desc("w"), "feature").limit(FEATURES).collect()
     if not picked:
         return Model(none, np.zeros(0), 0.0)
     r = np.array([x["r"] for x in picked])
     slots = none.copy()
-    slots[[x["bucket"] for x in picked]] = np.arange(len(picked))
+    slots[[x["feature"] for x in picked]] = np.arange(len(picked))
+
+    chosen = docs.sparkSession.sparkContext.broadcast(Model(slots, r, 0.0))
 
     @F.udf(VectorUDT())
     def vector(text: str):
-        at = slots[buckets(text)]
-        held = np.unique(at[at >= 0])
-        return Vectors.sparse(len(r), held, r[held])
+        at = chosen.value.places(text)
+        return Vectors.sparse(len(r), at, r[at])
 
     weigh = F.when(F.col("label") == 1, n[0] / n[1]).otherwise(1.0).alias("weight")
     rows = sample.select(F.col("label").cast("double").alias("label"), weigh, vector("text").alias("features"))
@@ -124,7 +143,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CU
     """docs' other columns, score and predicted. docs must hold the text and columns to carry, no others."""
     carried = [f for f in docs.schema.fields if f.name != text_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", score double, predicted int"
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB of slots, fixed by HASH_BITS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 13 MB of slots, fixed by HASH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

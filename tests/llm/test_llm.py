@@ -381,8 +381,12 @@ def test_toxicity_brute_force(spark, monkeypatch):
         s = " " + " ".join((t or "").lower().split()) + " "
         return {s[i : i + n] for n in toxicity.GRAMS for i in range(len(s) - n + 1)}
 
-    bucket = lambda t: set(toxicity.buckets(t or "").tolist())
-    assert all(len(bucket(t)) <= len(grams(t)) and (len(bucket(t)) > 0) == (len(grams(t)) > 0) for t in texts)
+    def bucket(t):
+        n = Counter(toxicity.buckets(t or "").tolist())
+        return {b + k * 2**toxicity.HASH_BITS for b in n for k, least in enumerate((1, 2, 3)) if n[b] >= least}
+
+    once = lambda t: {b for b in bucket(t) if b < 2**toxicity.HASH_BITS}
+    assert all(len(once(t)) <= len(grams(t)) and (len(once(t)) > 0) == (len(grams(t)) > 0) for t in texts)
     n = Counter(label)
     p, q = Counter(), Counter()
     for t, k in zip(texts, label, strict=True):
@@ -410,7 +414,7 @@ def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op10_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
     hit = sum(r.toxic == 1 and r.predicted == 1 for r in got)
-    assert hit / max(1, sum(r.toxic == 1 for r in got)) > 0.7 and hit / max(1, sum(r.predicted == 1 for r in got)) > 0.9
+    assert hit / max(1, sum(r.toxic == 1 for r in got)) >= 0.9 and hit / max(1, sum(r.predicted == 1 for r in got)) > 0.9
     assert all(0 <= r.score <= 1 for r in got)
 
 
