@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import running, table
 
 START, SEP, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Escaped inside texts: the template's own strings and those of other common templates.
@@ -121,18 +121,16 @@ def format_turns(df: DataFrame) -> DataFrame:
     safe = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == LEARNED).alias("learned")))
     out = df.withColumn("__safe", F.coalesce(safe, F.array().cast("array<struct<role:string,text:string,learned:boolean>>")))
     # Positions: each turn's head and text lengths, summed up in turn order.
-    lengths = F.transform("__safe", lambda t: F.struct((F.char_length(t["role"]) + len(START + SEP)).alias("head"), F.char_length(t["text"]).alias("text"), t["learned"].alias("learned")))
-    spans = "array<struct<start:int,length:int>>"
-    walk = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")),
-        lambda s, t: F.struct(
-            (s["at"] + t["head"] + t["text"] + len(END)).alias("at"),
-            F.when(t["learned"], F.concat(s["out"], F.array(F.struct((s["at"] + t["head"]).alias("start"), t["text"].alias("length"))))).otherwise(s["out"]).alias("out"),
-        ),
-    )["out"]
+    head = lambda t: F.char_length(t["role"]) + len(START + SEP)
+    placed = running(
+        F.col("__safe"),
+        lambda t: head(t) + F.char_length(t["text"]) + len(END),
+        lambda t, at: F.struct((at.cast("int") + head(t)).alias("start"), F.char_length(t["text"]).alias("length"), t["learned"].alias("learned")),
+        "struct<start:int,length:int,learned:boolean>",
+    )
+    spans = F.transform(F.filter(placed, lambda p: p["learned"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
     text = F.array_join(F.transform("__safe", lambda t: F.concat(F.lit(START), t["role"], F.lit(SEP), t["text"], F.lit(END))), "")
-    return out.withColumns({"formatted": text, "loss_spans": walk}).drop("__safe")
+    return out.withColumns({"formatted": text, "loss_spans": spans}).drop("__safe")
 
 
 def parse(formatted: Column) -> Column:

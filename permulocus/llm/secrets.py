@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, table
+from .common import running, shared_dir, table
 
 
 def _any_case(word: str) -> str:
@@ -42,19 +42,21 @@ _EMPTY = "array<struct<start:int,kind:int,stop:int>>"
 
 def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Spans (start, kind, stop) of one rule, leftmost and non-overlapping, the failing ones dropped."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    step = F.transform(found, lambda m, i: F.struct(F.char_length(F.get(between, i)).alias("gap"), F.char_length(m).alias("len"), F.char_length(F.get(counted, i)).alias("counted")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out"))
-    walk = F.aggregate(
-        step,
-        start,
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(x["counted"] >= least, F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (s["at"] + x["gap"] + x["len"]).alias("stop"))))).otherwise(s["out"]).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(pattern), walk).otherwise(F.array().cast(_EMPTY))
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.char_length)
+    gaps = F.transform(F.split(text, pattern), F.char_length)  # one more than matches: what follows the last
+    # Lists are zipped: one that is named inside a lambda would be made anew for each match.
+    sized = F.zip_with(gaps, lengths(0), lambda gap, n: F.struct(gap.alias("gap"), n.alias("len")))
+    if group:
+        sized = F.zip_with(sized, lengths(group), lambda x, n: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), n.alias("counted")))
+    counted = "counted" if group else "len"
+    spans = running(
+        F.filter(sized, lambda x: x["len"].isNotNull()),
+        lambda x: x["gap"] + x["len"],
+        lambda x, at: F.struct((at.cast("int") + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at.cast("int") + x["gap"] + x["len"]).alias("stop"), (x[counted] >= least).alias("holds")),
+        "struct<start:int,kind:int,stop:int,holds:boolean>",
+    )
+    kept = F.transform(F.filter(spans, lambda x: x["holds"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
+    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(_EMPTY))
 
 
 def _written(spans: Column) -> Column:
@@ -102,7 +104,7 @@ class BlobLedger:
         texts = blobs.join(unseen, (blobs["blob"] == unseen["blob"]) & blobs["__id"].eqNullSafe(unseen["rep"]), "left_semi")
         found = scan(texts.select("blob", "text")).dropDuplicates(["blob"])  # the same row may be there twice
         found.withColumn("rules", F.lit(RULES_VERSION)).write.mode("append").parquet(self.path)
-        findings = self.read().where(F.col("rules") == RULES_VERSION).drop("rules")
+        findings = self.read().where(F.col("rules") == RULES_VERSION).drop("rules").dropDuplicates(["blob"])  # two scans at once may both have added it
         return paths.join(findings, "blob").select(F.col("__id").alias(id_col), "n_assign", "n_access", "n_hex", "base", "spans")
 
 
