@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType, VariantType
 
 from ..functions.staging import written
 
@@ -25,6 +25,8 @@ BUCKET, STEP, LEVELS = 1 << 10, 8, 17
 FILL, MOST, FAN = 8, 64, 4096
 #: A level of the directory is broadcast up to so many bytes (8 an entry, and 24 for each of its sums).
 BROADCAST_BYTES = 32 << 20
+#: A side of the join that lists pairs is broadcast up to so many bytes in memory.
+PAIRS_BYTES = 16 << 20
 
 #: predicate -> the two terms (side of variants, position below which to sum), taken as first less second.
 #: count: v.start < end and v.end >= start; point: start < v.end <= end; up: start <= v.start <= end;
@@ -209,35 +211,60 @@ def _level(start: Column, end: Column, bucket: int) -> Column:
     return sum((F.when(end - start > bucket * STEP**i, 1).otherwise(0) for i in range(LEVELS - 1) if bucket * STEP**i < 1 << 62), F.lit(0))
 
 
+def _lived(rows: DataFrame, level: Column) -> tuple[list[int], int, int]:
+    """The levels that rows live on, their number, and about how many bytes they take in memory: 16 a field, and those of strings. Other kinds of columns may be of any size."""
+    strings = [f.name for f in rows.schema if isinstance(f.dataType, StringType)]
+    if any(isinstance(f.dataType, (ArrayType, BinaryType, MapType, StructType, VariantType)) for f in rows.schema):
+        size = F.lit(PAIRS_BYTES + 1)
+    else:
+        size = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c in strings), F.lit(16 * len(rows.columns)))
+    found = rows.groupBy(level.alias("l")).agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes")).collect()
+    return sorted(x.l for x in found), sum(x.n for x in found), sum(x.bytes for x in found)
+
+
 def overlap_pairs(regions: DataFrame, variants: DataFrame, predicate: str = "closed", bucket: int = BUCKET, levels: tuple[list[int] | None, list[int] | None] = (None, None)) -> DataFrame:
     """Each overlapping pair once: regions' columns (none may be a column of variants with the prefix v_), then variants' with that prefix. Rows with a null chrom, start or end meet nothing.
 
     Bins have widths bucket, STEP * bucket, and so on. An interval is at home in one bin, that of its start, among the first bins as wide as itself, however long
     it is. Of a pair the longer (regions' of equals) is at home and the other visits: at each level that the other side lives on, from its own up, the
     two or three bins whose residents can reach it. Candidates are thus near in proportion to the longer one's length, and each pair meets once. levels: those that a side lives on, where they are known; else they are asked first.
+    Predicates that ask for one side of variants take them as points there. A side that was asked and is small is broadcast; else both are sorted and merged, as the sizes of
+    compressed files, by which Spark would choose, say little of the rows dealt to bins.
     """
     if clash := {c.lower() for c in regions.columns} & {f"v_{c}".lower() for c in variants.columns}:
         raise ValueError(f"regions have columns named as variants' would be: {', '.join(sorted(clash))}")
     r, v = (df.where("chrom IS NOT NULL AND start IS NOT NULL AND `end` IS NOT NULL") for df in (regions, variants))
     v = v.select(*(F.col(f"`{c}`").alias(f"v_{c}") for c in variants.columns))
     own = fresh([*r.columns, *v.columns], "__b")
-    r_level, v_level = _level(F.col("start"), F.col("end"), bucket), _level(F.col("v_start"), F.col("v_end"), bucket)
-    lived = [known or sorted(x[0] for x in df.select(level.alias("l")).distinct().collect()) for df, level, known in ((r, r_level, levels[0]), (v, v_level, levels[1]))]
-
-    def dealt(side: str, start: Column, end: Column, level: Column, others: list[int], least: Column) -> Column:
+    asked_sides = {s for s, _ in PREDICATES[predicate]}
+    v_from, v_to = (F.col(f"v_{next(iter(asked_sides))}"),) * 2 if len(asked_sides) == 1 else (F.col("v_start"), F.col("v_end"))
+    r_level, v_level = _level(F.col("start"), F.col("end"), bucket), _level(v_from, v_to, bucket)
+    lived, sizes = [], []
+    for df, level, known in ((r, r_level, levels[0]), (v, v_level, levels[1] or ([0] if len(asked_sides) == 1 else None))):
+        found, rows, size = (known, None, None) if known else _lived(df, level)
+        lived.append(found)
+        sizes.append((rows, size))
+    # At home only where the other side visits: from its own level up (variants) or above it (regions).
+    homes = {"r": [i for i in lived[0] if i >= min(lived[1], default=LEVELS)], "v": [i for i in lived[1] if i > min(lived[0], default=LEVELS)]}
+
+    def dealt(side: str, start: Column, end: Column, level: Column, least: Column) -> Column:
         none = F.array().cast("array<struct<home: string, l: int, b: bigint>>")
-        home = none if not lived[side == "v"] else F.array(*(F.struct(F.lit(side).alias("home"), F.lit(i).alias("l"), F.floor(start / (bucket * STEP**i)).alias("b")) for i in lived[side == "v"]))
+        home = none if not homes[side] else F.array(*(F.struct(F.lit(side).alias("home"), F.lit(i).alias("l"), F.floor(start / (bucket * STEP**i)).alias("b")) for i in homes[side]))
         other = "r" if side == "v" else "v"
 
         def visited(i: int) -> Column:
             first = F.floor(start / (bucket * STEP**i)) - 1
             return F.transform(F.sequence(first, F.greatest(F.floor(end / (bucket * STEP**i)), first)), lambda b: F.struct(F.lit(other).alias("home"), F.lit(i).alias("l"), b.alias("b")))
 
-        asked = [F.when(F.lit(i) >= least, visited(i)).otherwise(none) for i in others]
+        asked = [F.when(F.lit(i) >= least, visited(i)).otherwise(none) for i in homes[other]]
         return F.explode(F.concat(F.filter(home, lambda h: h["l"] == level), *asked))
 
-    left = r.withColumn(f"{own}r", dealt("r", F.col("start"), F.col("end"), r_level, lived[1], r_level + 1))
-    right = v.withColumn(f"{own}v", dealt("v", F.col("v_start"), F.col("v_end"), v_level, lived[0], v_level))
+    left = r.withColumn(f"{own}r", dealt("r", F.col("start"), F.col("end"), r_level, r_level + 1))
+    right = v.withColumn(f"{own}v", dealt("v", v_from, v_to, v_level, v_level))
+    # A row goes to its home and to three bins a level; there its place takes some 64 bytes more.
+    taken = [None if rows is None else (size + 64 * rows) * (1 + 3 * len(homes[other])) for (rows, size), other in zip(sizes, "vr", strict=True)]
+    small = min((i for i in (0, 1) if taken[i] is not None and taken[i] <= PAIRS_BYTES), key=lambda i: taken[i], default=None)
+    left, right = F.broadcast(left) if small == 0 else left, F.broadcast(right) if small == 1 else right if small == 0 else right.hint("merge")
     on = (F.col("chrom") == F.col("v_chrom")) & (F.col(f"{own}r") == F.col(f"{own}v")) & condition(predicate, F.col("v_start"), F.col("v_end"), F.col("start"), F.col("end"))
     return left.join(right, on).drop(f"{own}r", f"{own}v")
 
