@@ -53,7 +53,7 @@ def bin_counts(bins: DataFrame, variants: DataFrame | overlap.Points, weights: l
 def reached(obs: DataFrame, perm: DataFrame, mode: str) -> DataFrame:
     """aid, rows, over and, in mode p, signal_over: how many rows of perm (aid, n and, in mode p, sum_signal; one a permutation) there are, and how many reach the observed values."""
     signal = mode == "p"
-    rows = perm.join(obs.select("aid", "n_obs", *(["signal_obs"] if signal else [])), "aid")
+    rows = perm.join(obs.select("aid", "n_obs", *(["signal_obs"] if signal else [])).hint("merge"), "aid")
     over = [F.count("*").alias("rows"), F.count_if(F.col("n") >= F.col("n_obs")).alias("over")] + ([F.count_if(F.col("sum_signal") >= F.col("signal_obs")).alias("signal_over")] if signal else [])
     return rows.groupBy("aid").agg(*over)
 
@@ -61,7 +61,7 @@ def reached(obs: DataFrame, perm: DataFrame, mode: str) -> DataFrame:
 def shares(obs: DataFrame, counts: DataFrame, n: int, mode: str) -> DataFrame:
     """obs with p and, in mode p, signal_p, of n permutations; those without a row in counts (as of reached) have 0."""
     own = overlap.fresh(obs.columns, "__p")
-    out = obs.join(counts.withColumnsRenamed({c: f"{own}{c}" for c in counts.columns if c != "aid"}), "aid", "left")
+    out = obs.join(counts.withColumnsRenamed({c: f"{own}{c}" for c in counts.columns if c != "aid"}).hint("merge"), "aid", "left")
     missing = F.lit(n) - F.coalesce(f"{own}rows", F.lit(0))
     share = lambda k, o: (F.coalesce(F.col(f"{own}{k}"), F.lit(0)) + F.when(F.col(o) <= 0, missing).otherwise(0)) / F.lit(n)
     out = out.withColumn("p", share("over", "n_obs"))
@@ -111,7 +111,7 @@ def permute_variants(variants: DataFrame, blacklist: DataFrame, genome: DataFram
 
 def _with_extras(drawn: DataFrame, variants: DataFrame) -> DataFrame:
     extras = variants.drop("chrom", "start", "end")
-    return drawn.join(extras, "vid") if len(extras.columns) > 1 else drawn
+    return drawn.join(extras.hint("merge"), "vid") if len(extras.columns) > 1 else drawn
 
 
 def covariate_features(bins: DataFrame, covariates: list[DataFrame]) -> DataFrame:
