@@ -3,7 +3,8 @@
 Contexts: the sequence inside the groups' bins is cut into segments; the index counts (group, context, segment) and keeps running totals, so a rank picks its segment,
 and only drawn segments are walked. Uniform draws: runs without N with running lengths, where a rank is arithmetic. Ranks go by
 (chrom, position) within a group, as if every base were listed. A rank finds its row by the join over bins of overlap_pairs, on the axis of ranks, so
-a group of very many segments is no candidate list. Windows are over a group's segments or runs, not its bases.
+a group of very many segments is no candidate list. Windows are over a group's segments or runs, not its bases. Joins with the index and segments are sorted and merged: their
+compressed files are small enough for Spark to broadcast them, their rows are not.
 
 Groups' bins are disjoint: grp, chrom, start, end, base p inside if start < p <= end. A group may have bins on several chromosomes.
 """
@@ -72,12 +73,12 @@ def draw_contexts(variants: DataFrame, segs: DataFrame, n: int, k: int, what: st
     own = inside.select(F.col("v_vid").alias("vid"), "grp", "chrom", "start", F.when(at > 0, F.substring("bases", at, F.lit(k))).alias("kmer"), F.expr("left(bases, v_end + " + str(half) + " - first + 1)").alias("upto"))
     own = own.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).select("vid", "grp", "kmer", "chrom", "start", (F.size(_parts(F.col("upto"))) - 1 + _begins(F.col("upto"))).alias("nth"))
     total = index.groupBy("grp", "kmer").agg(F.sum("c").alias("total"))
-    ranked = own.join(index.drop("c"), ["grp", "kmer", "chrom", "start"]).join(total, ["grp", "kmer"]).select("vid", "grp", "kmer", (F.col("before") + F.col("nth")).alias("own_rank"), (F.col("total") - 1).alias("room"))
+    ranked = own.join(index.drop("c").hint("merge"), ["grp", "kmer", "chrom", "start"]).join(total.hint("merge"), ["grp", "kmer"]).select("vid", "grp", "kmer", (F.col("before") + F.col("nth")).alias("own_rank"), (F.col("total") - 1).alias("room"))
     each = written(ranked.where("room > 0"), "ranked").select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("perm"))
     r = rng.below(F.col("room"), seed, what, F.col("vid"), F.col("perm")) + 1
     draws = each.select("vid", "perm", "grp", "kmer", (r + F.when(r >= F.col("own_rank"), 1).otherwise(0)).alias("rank"))
     drawn = _at_rank(draws, index, ["grp", "kmer"])
-    walked = drawn.join(segs.withColumnsRenamed({"chrom": "seg_chrom", "start": "seg_start"}), ["grp", "seg_chrom", "seg_start"])
+    walked = drawn.join(segs.withColumnsRenamed({"chrom": "seg_chrom", "start": "seg_start"}).hint("merge"), ["grp", "seg_chrom", "seg_start"])
     earlier = F.array_join(F.slice(_parts(F.col("bases")), F.lit(1), (F.col("local") - _begins(F.col("bases"))).cast("int")), "")
     pos = F.col("first") + F.char_length(earlier) + half
     return walked.select("vid", "perm", F.col("seg_chrom").alias("chrom"), (pos - 1).alias("start"), pos.alias("end"))
