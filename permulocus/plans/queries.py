@@ -175,14 +175,15 @@ def signal_mean_bigwig(spark, sf_dir):
 @query(_with(CLEAN, f"SELECT {', '.join(f'(SELECT count(*) FROM AF a JOIN VF v ON v.chrom = a.chrom AND {c}) AS n_{k}' for k, c in ON.items())}, 0 AS different"))
 def rank_diff_vs_bucket_check(spark, sf_dir):
     v, a, _ = _clean(spark, sf_dir)
-    rows = None
+    v, a, rows = written(v, "clean-variants"), written(a, "clean-annotations"), None
     for p in ON:
-        sums = overlap.overlap_sums(a, v, p).select("aid", F.col("n").alias("x"))
-        pairs = overlap.overlap_pairs(a, v, p).groupBy("aid").agg(F.count("*").alias("y"))
-        both = sums.join(pairs, "aid", "left").select(F.lit(p).alias("p"), "x", F.coalesce("y", F.lit(0)).alias("y"))
-        rows = both if rows is None else rows.unionByName(both)
-    of = lambda p: F.sum(F.when(F.col("p") == p, F.col("x")).otherwise(0)).alias(f"n_{p}")
-    return rows.agg(*(of(p) for p in ON), F.sum((F.col("x") != F.col("y")).cast("int")).alias("different"))
+        sums = overlap.overlap_sums(a, v, p).select(F.lit(p).alias("p"), "aid", F.col("n").alias("x"), F.lit(0).cast("long").alias("y"))
+        pairs = overlap.overlap_pairs(a, v, p).groupBy("aid").agg(F.count("*").alias("y")).select(F.lit(p).alias("p"), "aid", F.lit(0).cast("long").alias("x"), "y")
+        rows = sums.unionByName(pairs) if rows is None else rows.unionByName(sums).unionByName(pairs)
+    each = rows.groupBy("p", "aid").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))  # noqa: E731  (where no annotation is left, all are 0)
+    of = lambda p: total(F.when(F.col("p") == p, F.col("x")).otherwise(0)).alias(f"n_{p}")
+    return each.agg(*(of(p) for p in ON), total((F.col("x") != F.col("y")).cast("int")).alias("different"))
 
 
 # --- annotation permutation ---

@@ -351,3 +351,20 @@ def test_whole_input_equals_sql(spark, name):
     assert got == expected
     if name.startswith("empirical"):
         assert {r[names.index("aid")] % 10 < 5 for r in got} == {True, False}
+
+
+def test_rank_check_without_annotations_equals_sql(spark, tmp_path):
+    """A blacklist that leaves no annotation: all counts are 0."""
+    con = duckdb.connect()
+    small = SF.rsplit("/", 1)[0] + "/sf0.001"
+    for t in ("events", "orders"):
+        con.execute(f"COPY (SELECT * FROM '{small}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    con.execute(f"COPY (SELECT i AS s_suppkey FROM range(100000) x(i)) TO '{tmp_path}/supplier.parquet'")
+    for t in ("events", "orders", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    for t in ("part", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    want = con.execute(q.ORACLES["rank_diff_vs_bucket_check"])
+    names = [c[0] for c in want.description]
+    got = [tuple(r) for r in q.QUERIES["rank_diff_vs_bucket_check"](spark, str(tmp_path)).select(*names).collect()]
+    assert got == want.fetchall() == [(0,) * len(names)]
