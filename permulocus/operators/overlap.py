@@ -132,7 +132,7 @@ def _buckets(points: DataFrame, keys: list[str], sums: list[str], most: int, fil
     kept = points.join(totals.where(whole).select(*own, "sub"), [*own, "sub"], "left_semi")
     local = kept.select(*own, "sub", F.struct("x", *(F.sum(c).over(upto).alias(c) for c in sums)).alias("p")).groupBy(*own, "sub").agg(F.sort_array(F.collect_list("p")).alias("p"))
     running = [F.concat(F.array(F.col(f"b_{c}")), F.coalesce(_plus(F.col(f"p.{c}"), F.col(f"b_{c}")), F.array())).alias(c) for c in sums]
-    return dense.join(local, [*own, "sub"], "left").select(*own, "sub", "own_width", "own_cut", F.coalesce("p.x", F.array()).alias("xs"), *running, "lo", "width", "cut")
+    return dense.join(local.hint("merge"), [*own, "sub"], "left").select(*own, "sub", "own_width", "own_cut", F.coalesce("p.x", F.array()).alias("xs"), *running, "lo", "width", "cut")
 
 
 def _plus(values: Column, base: Column) -> Column:
@@ -154,7 +154,7 @@ def prefix_sums(regions: DataFrame, index: Index, keys: dict[str, Column], asked
         t, on = rows.select(*(F.col(c).alias(f"{name}t_{c}") for c in rows.columns)), F.lit(True)
         for k, v in (keys | more).items():
             on &= v == F.col(f"{name}t_{k}")
-        return df.join(F.broadcast(t) if hint else t, on, "left")
+        return df.join(F.broadcast(t) if hint else t.hint("merge"), on, "left")
 
     shape = [F.col(f"{name}t_{c}").alias(f"{name}{c}") for c in ("lo", "width", "cut")]
     for ask, x in asked.items():

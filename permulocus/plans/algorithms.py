@@ -122,7 +122,7 @@ def covariate_features(bins: DataFrame, covariates: list[DataFrame]) -> DataFram
     rid = F.row_number().over(W.partitionBy("ord").orderBy("start")) - 1 + F.col("before")
     out = written(bins.join(F.broadcast(per), "ord").withColumn("rid", rid.cast("long")).drop("before"), "features")
     for i, c in enumerate(covariates):
-        out = overlap.interval_means(out, c, mean_name=f"f{i}")
+        out = written(overlap.interval_means(out, c, mean_name=f"f{i}"), "features")  # asked several times by what follows
     return out
 
 
