@@ -91,7 +91,8 @@ def prefix_index(points: DataFrame, keys: list[str], sums: list[str], most: int
     """
     most, fill = most or MOST, min(FILL, most or FILL)
     known = points.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "x"]))
-    at = known.groupBy(*keys, "x").agg(*(F.sum(c).alias(c) for c in sums))
+    # Written, as each level asks for it several times, and what is before it may be long (files, a blacklist).
+    at = written(known.groupBy(*keys, "x").agg(*(F.sum(c).alias(c) for c in sums)), "positions")
     stats = at.groupBy(*keys).agg(*_shape(F.min("x"), F.max("x"), F.count("*"), fill))
     here, levels = at.join(stats, keys), []
     while True:

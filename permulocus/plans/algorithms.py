@@ -159,15 +159,15 @@ def score(permuted: DataFrame, signal: DataFrame) -> DataFrame:
 
 def exceedances(obs: DataFrame, permuted: DataFrame, mode: str = "n") -> DataFrame:
     """As reached, counted from the permuted sites' side: a row for an annotation and a permutation is made only where a site meets the annotation.
+    Sites of a permutation that are the same place are one with their number and sum, so pairs follow annotations and places, not annotations times variants.
 
     obs: aid, chrom, start, end, n_obs (and signal_obs in mode p); permuted: perm, chrom, start, end (and signal).
     """
-    sites = permuted.select("perm", "chrom", "start", "end", *(["signal"] if mode == "p" else []))
+    summed = [F.count("*").alias("times")] + ([F.sum("signal").alias("signal")] if mode == "p" else [])
+    sites = written(permuted.groupBy("perm", "chrom", "start", "end").agg(*summed), "sites")
     hits = overlap.overlap_pairs(obs.select("aid", "chrom", "start", "end"), sites, "closed")
-    holds = lambda predicate: overlap.condition(predicate, F.col("v_start"), F.col("v_end"), F.col("start"), F.col("end"))
-    counted = [F.count_if(holds("count")).alias("n")]
-    if mode == "p":
-        counted.append(F.coalesce(F.sum(F.when(holds("point"), F.col("v_signal"))), F.lit(0)).alias("sum_signal"))
+    total = lambda predicate, c: F.coalesce(F.sum(F.when(overlap.condition(predicate, F.col("v_start"), F.col("v_end"), F.col("start"), F.col("end")), F.col(c))), F.lit(0))
+    counted = [total("count", "v_times").alias("n")] + ([total("point", "v_signal").alias("sum_signal")] if mode == "p" else [])
     return reached(obs, hits.groupBy("aid", F.col("v_perm").alias("perm")).agg(*counted), mode)
 
 

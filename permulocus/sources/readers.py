@@ -24,20 +24,22 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
     """rows (value, file_path, block, ...) with an id: the line's hash and its number among equal lines. Numbers go by blocks of files and offsets, so a line that is
-    very often there is no single task's."""
-    here = ["value", "file_path", "block"]
+    very often there is no single task's. Lines are dealt and sorted by hashes of themselves and of their blocks, not by long texts and paths; where two clash, a number is left out."""
+    rows = rows.withColumns({"line": F.xxhash64("value"), "place": F.xxhash64("file_path", "block")}).drop("file_path", "block")
+    here = ["line", "place"]
     per_block = rows.groupBy(*here).agg(F.count("*").alias("n"))
-    earlier = W.partitionBy("value").orderBy("file_path", "block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("line").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_block.select(*here, F.sum("n").over(earlier).alias("before")).where("before > 0")
-    own = F.row_number().over(W.partitionBy(*here).orderBy("start"))
+    own = F.row_number().over(W.partitionBy(*here).orderBy("value"))
     number = (F.col("own") + F.coalesce("before", F.lit(0))).cast("int")
     return rows.withColumn("own", own).join(offsets, here, "left").withColumn(name, F.xxhash64("value", number))
 
 
 def _interval(lines: DataFrame, *more) -> DataFrame:
+    """chrom, start, end and more. Fields come from a generator of one row, below which Spark moves no filter: there it would split each line anew for each condition."""
     at = lambda i: F.get("f", F.lit(i))
-    out = lines.select(canonical(at(0)).alias("chrom"), at(1).try_cast("long").alias("start"), at(2).try_cast("long").alias("end"), *more)
-    return out.where(is_standard(F.col("chrom")) & F.col("start").isNotNull() & F.col("end").isNotNull())
+    fields = F.struct(canonical(at(0)).alias("chrom"), at(1).try_cast("long").alias("start"), at(2).try_cast("long").alias("end"), *more)
+    return lines.select(F.inline(F.array(fields))).where(is_standard(F.col("chrom")) & F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
 def variants(spark: SparkSession, path: str) -> DataFrame:
